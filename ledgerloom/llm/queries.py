@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import language_id, quality_rules
+from ledgerloom.llm import language_id, packing, quality_rules, toxicity
 from ledgerloom.llm._spark import held_out, table
 
 
@@ -17,13 +17,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"), language_id.fit(docs))
+    predicted = (F.col("score") >= toxicity.DECISION).cast("int")
+    return toxicity.score(docs, network).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "language")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op9_quality_rules)}
+    return {f.__name__: f for f in (op4_language_id, op8_toxicity, op9_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
