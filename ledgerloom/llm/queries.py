@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import language_id, packing, quality_rules, toxicity
+from ledgerloom.llm import decontamination, language_id, packing, quality_rules, toxicity
 from ledgerloom.llm._spark import held_out, table
 
 
@@ -17,6 +17,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"), language_id.fit(docs))
@@ -34,7 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op8_toxicity, op9_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op4_language_id, op7_benchmark_decontamination, op8_toxicity, op9_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
