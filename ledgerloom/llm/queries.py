@@ -7,16 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, language_id, packing, quality_rules, toxicity
+from ledgerloom.llm import decontamination, language_id, line_dedup, packing, quality_rules, token_counts, toxicity
 from ledgerloom.llm._spark import held_out, table
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.classify(docs, language_id.fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op7_benchmark_decontamination, op8_toxicity, op9_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_line_dedup, op7_benchmark_decontamination, op8_toxicity, op9_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
