@@ -1,0 +1,27 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.llm._spark import cut
+
+
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component) of every node of (a, b); the component is its least node.
+
+    Each round takes the least label of the neighbours and then that label's own label, so a chain shortens by a
+    factor every round and a star is done after two.  Labels are stored by checkpoint after each round.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    for _ in range(max_rounds):
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        labels_new = cut(step.join(jump, "component").select("node", "before", F.least("component", "root").alias("component")))
+        if not labels_new.where(F.col("before") != F.col("component")).limit(1).count():
+            break
+        labels = labels_new.select("node", "component")
+    return labels
