@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, language_id, line_dedup, packing, quality_rules, token_counts, toxicity
+from ledgerloom.llm import decontamination, language_id, line_dedup, near_dedup, packing, quality_rules, token_counts, toxicity
 from ledgerloom.llm._spark import held_out, table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_language_id, op5_line_dedup, op7_benchmark_decontamination, op8_toxicity, op9_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_order_minhash, op3_token_counts, op4_language_id, op5_line_dedup, op7_benchmark_decontamination, op8_toxicity, op9_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
