@@ -63,17 +63,18 @@ def scatter(bucket: np.ndarray, columns: Sequence[np.ndarray], kind: int = 0) ->
     return pa.RecordBatch.from_arrays([pa.array(sorted_[edge], pa.int32()), pa.array(np.full(len(edge), kind), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, tie, text, *keep): doc_id with LAST_ID for null; tie tells rows of one doc_id apart, by their texts' order.
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rest: bool = False) -> DataFrame:
+    """(doc_id, tie, text): doc_id with LAST_ID for null; tie tells rows of one doc_id apart, by their texts' order.
 
-    Ids are counted first, over the id column alone; only where one repeats does a window number its rows.
+    Ids are counted first, over the id column alone; only where one repeats does a window number its rows.  With
+    ``rest`` a struct of all columns comes along, whatever their names.
     """
-    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("rest")] if rest else []))
     if chosen.groupBy("doc_id").count().where("count > 1").limit(1).count():
         tie = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))).cast("long")
     else:
         tie = F.lit(0).cast("long")
-    return chosen.select("doc_id", tie.alias("tie"), "text", *keep)
+    return chosen.select("doc_id", tie.alias("tie"), "text", *(["rest"] if rest else []))
 
 
 def document_bucket(doc_id: np.ndarray, n: int) -> np.ndarray:

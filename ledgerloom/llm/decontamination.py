@@ -81,11 +81,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     Contaminated: at least one word in ``share`` is hit.
     """
+    base = _keyed(docs, id_col, text_col)
+    return _judged(base, benchmark, window, share).drop("id_key", "text_key")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, with their columns."""
+    bad = _judged(_keyed(docs, id_col, text_col), benchmark, window, share).where("contaminated").select("id_key", "text_key").distinct()
+    id_key, text_key = _keys(id_col, text_col)
+    return docs.select(F.struct("*").alias("rest"), id_key.alias("id_key"), text_key.alias("text_key")).join(bad, ["id_key", "text_key"], "left_anti").select("rest.*")
+
+
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    id_key, text_key = _keys(id_col, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), id_key.alias("id_key"), text_key.alias("text_key"))
+
+
+def _judged(base: DataFrame, benchmark: DataFrame, window: int, share: int) -> DataFrame:
     windows = benchmark_windows(benchmark, window=window)
     found = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``window`` rows
     lengths, rows = sorted(r["length"] for r in found), sum(r["n"] for r in found)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = base.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), F.coalesce("doc_id", F.lit(-1)).alias("id_key"))
 
     low = base.select("id_key", "text_key", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     low = low.select("id_key", "text_key", word_array(F.col("low"), F.col("low")).alias("l"))
@@ -111,4 +130,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     out = base.select("doc_id", *key, F.size(word_array(F.col("text"))).cast("long").alias("n_words")).join(covered, key, "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce(F.transform("items", lambda i: i.cast("string")), F.array().cast("array<string>"))
     digest = F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256)
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), digest.alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("id_key", "text_key", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), digest.alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))

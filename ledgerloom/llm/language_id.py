@@ -16,11 +16,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,17 +100,25 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     return LanguageModel(tuple((lang, raw) for lang, raw in content if len(raw) > 8))
 
 
-def classify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, margin, rejected) and the columns ``keep``, for every document."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+def _predictor(docs: DataFrame, model: LanguageModel, min_margin: float):
+    """A column function: text to lang_pred, score, margin and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES times DICTIONARY_BYTES
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(1)]
-            arrays = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64()), pa.array([x[0] == "und" or x[2] < min_margin for x in found], pa.bool_()), *(batch.column(2 + i) for i in range(len(keep)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", "margin", "rejected", *keep])
+    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        found = pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "margin"])
+        return found.assign(rejected=(found["lang_pred"] == "und") | (found["margin"] < min_margin))
 
-    extra = "".join(f", `{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(predict, "doc_id long, lang_pred string, score double, margin double, rejected boolean" + extra)
+    return predict
+
+
+def classify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """(doc_id, lang_pred, score, margin, rejected) of every document."""
+    predict = _predictor(docs, model, min_margin)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), predict(F.col(text_col).cast("string")).alias("found")).select("doc_id", "found.*")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The documents that aren't rejected, with their columns."""
+    predict = _predictor(docs, model, min_margin)
+    return docs.select(F.struct("*").alias("rest"), predict(F.col(text_col).cast("string")).alias("found")).where(~F.col("found.rejected")).select("rest.*")

@@ -296,9 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The first document of each class, with all columns."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    numbered = X.numbered(docs, keep=others)
-    first = classes(numbered).where((F.col("doc_id") == F.col("class_doc")) & (F.col("tie") == F.col("class_tie"))).select("doc_id", "tie").distinct()
-    out = numbered.join(first, ["doc_id", "tie"], "left_semi")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id"))).select(*docs.columns)
+    """The first document of each class, with all columns; one of equal rows."""
+    numbered = X.numbered(docs, rest=True)
+    first = classes(numbered.drop("rest")).where((F.col("doc_id") == F.col("class_doc")) & (F.col("tie") == F.col("class_tie"))).select("doc_id", "tie").distinct()
+    return numbered.join(first, ["doc_id", "tie"], "left_semi").select("rest.*")

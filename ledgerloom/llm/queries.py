@@ -7,14 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, language_id, line_dedup, near_dedup, packing, quality_rules, token_counts, toxicity
+import corpus_pipeline
+from ledgerloom.llm import decontamination, language_id, line_dedup, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 from ledgerloom.llm._spark import held_out, table
 
 
+#: Windows of 13 words of items and documents, compared as text; n_hit counts words within matching windows.
+OP7_SQL = r"""
+WITH item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), item_window AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s : s + least(13, len(w)) - 1], ' ') AS words
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS s FROM item WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM item_window),
+doc_window AS (
+  SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS words
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM doc JOIN lengths ON len(w) >= n)
+), hit AS (
+  SELECT d.doc_id, d.s, d.n, i.item_id FROM doc_window d JOIN item_window i ON d.n = i.n AND d.words = i.words
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(i.joined, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
+
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -29,6 +62,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,9 +86,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op3_token_counts, op4_language_id, op5_line_dedup, op7_benchmark_decontamination, op8_toxicity, op9_quality_rules, op10_best_fit_packing)}
+    every = (
+        op1_order_minhash,
+        op2_substring_dedup,
+        op3_token_counts,
+        op4_language_id,
+        op5_line_dedup,
+        op6_suffix_array_dedup,
+        op7_benchmark_decontamination,
+        op8_toxicity,
+        op9_quality_rules,
+        op10_best_fit_packing,
+        pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Statements only where one can express the whole result on whole tables."""
+    return {"op7_benchmark_decontamination": OP7_SQL}

@@ -119,7 +119,7 @@ def removals(docs: DataFrame, firsts: DataFrame, paths: DataFrame, k: int, n: in
             again[K.ranges(first[doc] + start, count)] = False
             removed = A.cover(len(starts), np.flatnonzero(again[:-1]), k)
             texts = _kept_bytes(padded, offsets, starts, ends, ~removed)
-            columns = [pa.array(ids).filter(pa.array(ids != LAST_ID)) if False else pa.array(ids, mask=ids == LAST_ID), pa.array(n_words), pa.array(A.segment_sums(removed, first)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+            columns = [pa.array(ids, mask=ids == LAST_ID), pa.array(n_words), pa.array(A.segment_sums(removed, first)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
                 columns.append(pa.array([t.decode("utf-8", "replace") for t in texts]))
