@@ -8,6 +8,7 @@ pieces of about ``PIECE_BYTES`` at document borders; only a single longer docume
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
     return x
 
 
@@ -116,39 +116,61 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; spans ascend and don't overlap, empty ones hash alike."""
-    out = np.zeros(len(starts), np.uint64)
-    full = np.flatnonzero(ends > starts)
-    if len(full):
-        s, e = starts[full], ends[full]
-        length = e - s
-        edge = np.concatenate([[0], np.cumsum(length)])
-        place = np.arange(edge[-1], dtype=np.int64) - np.repeat(edge[:-1], length)
-        taken = data[place + np.repeat(s, length)]
-        codes = BYTE_CODES[taken] * _PLACES[place & 4095]
-        long = place > 4095
-        if long.any():
-            codes[long] *= mix(place[long].astype(np.uint64) >> np.uint64(12)) | np.uint64(1)
-        out[full] = mix(np.add.reduceat(codes, edge[:-1]) + length.astype(np.uint64) * _STEP)
+    """64-bit hash of the bytes of each span, read in words of eight bytes; empty spans hash alike."""
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * _STEP + np.uint64(1))
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), 0, (1,))
+    left, at, rows = length, starts, None
+    while True:
+        more = np.flatnonzero(left > 0)
+        if not len(more):
+            return out
+        left, at = left[more], at[more]
+        rows = more if rows is None else rows[more]
+        taken = eight[at] & _MASKS[np.minimum(left, 8)]
+        out[rows] = join2(out[rows], taken)
+        left, at = left - 8, at + 8
+
+
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+_BLOCK = 1 << 20
+_BASE = int(_PLACES[7])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    size, power = 1, base
+    while size < n:
+        out[size : 2 * size] = out[: min(size, n - size)] * np.uint64(power)
+        power = power * power % 2**64
+        size *= 2
     return out
 
 
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    return _powers(_BASE, 2 * _BLOCK), _powers(pow(_BASE, -1, 2**64), _BLOCK)
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive hashes; shorter than h by k - 1."""
-    if len(h) < k:
+    """Hash of every run of k consecutive hashes (a mixed polynomial modulo 2**64); shorter than h by k - 1."""
+    n = len(h) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    result, done, power, size = None, 0, h, 1
-    left = k
-    while left:
-        if left & 1:
-            part = power[done : done + len(h) - k + 1] if done else power[: len(h) - k + 1]
-            result = part if result is None else join2(result, part)
-            done += size
-        left >>= 1
-        if left:
-            power = join2(power[: len(power) - size], power[size:])
-            size *= 2
-    return mix(result + np.uint64(k))
+    if k > _BLOCK:  # one run of a very long document's start: folded
+        return join2(window_hashes(h[: len(h) - k // 2], k - k // 2), window_hashes(h[k - k // 2 :], k // 2))
+    up, down = _tables()
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, _BLOCK):
+        own = h[lo : lo + _BLOCK + k - 1]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * up[: len(own)], out=sums[1:])
+        d = sums[k:] - sums[:-k]
+        d *= down[: len(d)]
+        d += np.uint64(k)
+        out[lo : lo + _BLOCK] = mix(d)
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -163,6 +185,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """The same as a stable argsort, by two vectorized sorts: of the keys, and of places within equal keys."""
+    order = np.argsort(keys)
+    if len(keys) < 2 or len(keys) >= 1 << 32:
+        return np.argsort(keys, kind="stable")
+    s = keys[order]
+    group = np.zeros(len(keys), np.uint64)
+    np.cumsum(s[1:] != s[:-1], out=group[1:])
+    return (np.sort((group << np.uint64(32)) | order.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values[first[i]:first[i + 1]]."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

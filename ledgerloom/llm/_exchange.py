@@ -21,11 +21,12 @@ from ledgerloom.llm import _arrays as A
 from ledgerloom.llm._spark import LAST_ID, shuffle_partitions
 
 BLOBS = "bucket int, kind int, blob binary"
-BUCKETS_PER_PARTITION = 4
+#: Documents that are compressed together, in bytes.
+TEXT_BYTES = 8 << 20
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+    return shuffle_partitions(docs.sparkSession)
 
 
 def pack(columns: Sequence[np.ndarray]) -> bytes:
@@ -108,10 +109,10 @@ def packed_texts(docs: DataFrame, n: int) -> DataFrame:
         for own in np.split(order, edges[1:]):
             texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in own]
             head = np.concatenate([[len(own)], ids[own], ties[own], [len(t) for t in texts]]).astype(np.int64)
-            rows.append((int(bucket[own[0]]), TEXT, zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(texts))))
+            rows.append((int(bucket[own[0]]), TEXT, zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(texts))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
 
-    return over_pieces(docs, run, BLOBS)
+    return over_pieces(docs, run, BLOBS, TEXT_BYTES)
 
 
 def unpacked_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

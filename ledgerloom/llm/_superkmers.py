@@ -3,9 +3,10 @@
 Every window of k units (words or bytes) has a minimizer, the run of m units with the smallest hash in it; consecutive
 windows with one minimizer form a super-k-mer, of about half as many windows as a window has runs.  Equal windows have
 equal minimizers, so all that can decide about a window meets in its minimizer's bucket, and a record for each
-super-k-mer is enough there: if all super-k-mers of a minimizer have one content, the earliest is first and the others
-repeat it.  Only where a minimizer stands in several contents must single windows be compared; those super-k-mers
-are called open.
+super-k-mer is enough there: of equal contents the earliest is first and the others repeat it.  Different contents of one
+minimizer may still share windows.  A window has half of the units beside its minimizer on its left or on its right, so
+two contents that share one agree in the flank of that length on one side; super-k-mers that agree in a flank with
+another content are called open, and only their windows must be compared one by one.
 """
 
 from __future__ import annotations
@@ -20,17 +21,18 @@ from ledgerloom.llm import _exchange as X
 #: Units of one document that are looked at together; a longer document is cut with an overlap of k - 1.
 CHUNK = 4 << 20
 
-_RECORD = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int32)  # minimizer, content, doc_id, tie, start, windows
+#: Minimizer (40 bits), content (56 bits), left and right flank (16 bits, 0: none), doc_id, tie, start, windows.
+_RECORD = (np.uint64, np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.int64, np.int32)
 #: What comes back to a document: doc_id, tie, start, windows, open, bucket.
 FIRST = (np.int64, np.int64, np.int64, np.int32, np.uint8, np.int32)
 FIRSTS, SPANS = 1, 2  # kinds of blobs beside a document
 
 
 def super_kmers(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """(document, start in it, number of windows, minimizer, content) of the super-k-mers of documents of unit hashes."""
+    """(document, start in it, number of windows, minimizer, content, left flank, right flank) of the super-k-mers of documents of unit hashes."""
     n, w = len(h), k - m + 1
     if n < k:
-        return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)))
+        return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.uint16) for _ in range(2)))
     if n > 2 * CHUNK:
         parts = []
         for i in range(len(first) - 1):
@@ -54,14 +56,20 @@ def super_kmers(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.nd
     count = np.diff(np.append(begin, len(at)))
     start, a = at[begin], a[begin]
     content = A.join2(A.join2(windows[start], windows[start + count - 1]), (count * 65536 + (a - start)).astype(np.uint64))
-    return doc[start], start - first[doc[start]], count, grams[a], content
+    half = (k - m + 1) // 2
+    flank = A.window_hashes(h, half)
+    short = lambda at, there: np.where(there, (flank[np.clip(at, 0, len(flank) - 1)] >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.uint16)
+    left, right = short(a - half, start <= a - half), short(a + m, start + count - 1 + k >= a + m + half)
+    return doc[start], start - first[doc[start]], count, grams[a] >> np.uint64(24), content >> np.uint64(8), left, right
 
 
 def _leaders(order_keys: list[np.ndarray], gram: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by gram, content and coordinates; where a new content begins; where a new gram begins)."""
-    order = np.lexsort(order_keys[::-1])
-    order = order[np.argsort(content[order], kind="stable")]
-    order = order[np.argsort(gram[order], kind="stable")]
+    ids, _, start = order_keys
+    ascending = len(ids) < 2 or bool(((ids[1:] > ids[:-1]) | ((ids[1:] == ids[:-1]) & (start[1:] > start[:-1]))).all())
+    order = np.arange(len(ids)) if ascending else np.lexsort(order_keys[::-1])
+    both = A.join2(gram, content)
+    order = order[A.stable_order(both[order])]
     g, c = gram[order], content[order]
     new_gram = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
     new = new_gram.copy()
@@ -85,21 +93,25 @@ def firsts(docs: DataFrame, units, k: int, m: int, n: int, *, across: bool, limi
 
     def send(ids, ties, data, offsets):
         h, first = units(data, offsets)
-        doc, start, count, gram, content = super_kmers(h, first, k, m)
+        doc, start, count, gram, content, left, right = super_kmers(h, first, k, m)
         if not len(doc):
             return
         own, tie = ids[doc], ties[doc]
         rows = np.sort(chosen(*_leaders([own, tie, start], gram, content)[:2], own)[0])
         bucket = (A.mix(gram[rows]) % np.uint64(n)).astype(np.int32)
-        yield X.scatter(bucket, [gram[rows], content[rows], own[rows], tie[rows], start[rows], count[rows].astype(np.int32)])
+        yield X.scatter(bucket, [c[rows] for c in (gram, content, left, right, own, tie, start, count.astype(np.int32))])
 
     def settle(bucket, found):
-        gram, content, own, tie, start, count = X.gather(found[0], _RECORD)
-        order, new, new_gram = _leaders([own, tie, start], gram, content)
-        group = np.cumsum(new_gram) - 1
-        contents = np.bincount(group[new], minlength=group[-1] + 1 if len(group) else 0)
+        gram, content, left, right, own, tie, start, count = X.gather(found[0], _RECORD)
+        order, new, _ = _leaders([own, tie, start], gram, content)
+        lead = order[new]
+        open_ = np.zeros(len(lead), bool)
+        for flank in (left, right):
+            side = np.flatnonzero(flank[lead] > 0)
+            _, back, size = np.unique(A.join2(gram[lead[side]], flank[lead[side]].astype(np.uint64)), return_inverse=True, return_counts=True)
+            open_[side] |= size[back] > 1
         several = np.zeros(len(order), np.uint8)
-        several[order] = contents[group] > 1
+        several[order] = open_[np.cumsum(new) - 1] if len(order) else 0
         rows, _ = chosen(order, new, own)
         rows = rows[np.lexsort((start[rows], tie[rows], own[rows]))]
         back = [own[rows], tie[rows], start[rows], count[rows], several[rows], np.full(len(rows), bucket, np.int32)]
