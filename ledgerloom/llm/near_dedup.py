@@ -9,8 +9,9 @@ about the diagonal as wide as the threshold allows, against all k-mers of both g
 
 Equal texts are one node throughout, so copies cost a row each.  In a bucket of texts that agree in a sketch no
 list of all pairs is made: a leader, the text that shares most buckets, is aligned with all others, and only where the bucket then
-still has several components another leader follows.  After ``ROUNDS`` leaders one task compares what the bucket has
-left, component by component, until they are joined or all pairs are refuted, so no link of the bucket is lost.
+still has several components the rest is joined in one task: an exact prefix-filter join of the members' labelled k-mers,
+rarest in the bucket first, names the pairs that can be similar at all, and those of different components are aligned until
+the components are joined.  So no link of the bucket is lost, and texts that only share a passage are never compared.
 
 Defined results: null texts and texts without words are classes of their own, one for each row; a text of fewer words than a shingle has
 one k-mer, all its words; rows of one doc_id are ordered by their texts; a null doc_id is the last one; the class id is
@@ -19,6 +20,8 @@ the smallest doc_id of the class; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,7 +34,7 @@ from ledgerloom.llm._graph import components
 from ledgerloom.llm._spark import LAST_ID, cut
 
 SHINGLE, THRESHOLD = 5, (4, 5)
-SKETCHES, PICKED, ROUNDS = 16, 3, 3
+SKETCHES, PICKED = 16, 3
 _SEEDS = np.random.default_rng(41).integers(1, 2**62, SKETCHES, dtype=np.int64).astype(np.uint64)
 
 
@@ -67,7 +70,7 @@ def order_sketches(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     if not len(grams):
         return out, content
     keys = A.join2(doc.astype(np.uint64), grams)
-    order = np.argsort(keys, kind="stable")
+    order = A.stable_order(keys)
     s = keys[order]
     start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     before = np.empty(len(s), np.int64)
@@ -81,11 +84,13 @@ def order_sketches(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     compact = np.repeat(np.arange(len(full)), np.diff(first)[full])
     top = np.uint64(2**64 - 1)
     for j in range(SKETCHES):
-        h = A.mix(labelled ^ _SEEDS[j])
+        h = (labelled ^ _SEEDS[j]) * (_SEEDS[-1 - j] | np.uint64(1))
+        h ^= h >> np.uint64(32)
         picked = []
         for _ in range(PICKED):
             least = np.minimum.reduceat(h, begin)
-            at = np.flatnonzero((h == least[compact]) & (h != top))
+            at = np.flatnonzero(h == least[compact])
+            at = at[h[at] != top]
             own = compact[at]
             where = np.full(len(full), len(grams), np.int64)
             where[own[::-1]] = at[::-1]
@@ -193,6 +198,14 @@ def _grams_of(packed: bytes) -> np.ndarray:
     return shingles(raw, np.array([0, len(raw)]))[0]
 
 
+def _labelled(grams: np.ndarray) -> np.ndarray:
+    """The k-mers with their occurrence numbers, ascending."""
+    order = np.argsort(grams, kind="stable")
+    s = grams[order]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return np.sort(A.join2(s, (np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))).astype(np.uint64)))
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"{s}_text"))
@@ -217,35 +230,58 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select(F.struct("doc", "tie").alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_tie").alias("tie")).alias("b"))
 
 
+def bucket_links(grams: list[np.ndarray], component: list, t: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
+    """Links that join the components among the members of a bucket as far as their similarities do.
+
+    A k-mer common to two similar members is among the first ``size - ceil(t * size) + 1`` of either, in the order of rarity in the bucket.
+    """
+    sets = [_labelled(g) for g in grams]
+    every, count = np.unique(np.concatenate(sets), return_counts=True)
+    rank = np.empty(len(every), np.int64)
+    rank[np.lexsort((every, count))] = np.arange(len(every))
+    root = {c: c for c in component}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x] = root[root[x]]
+        return x
+
+    index: dict[int, list[int]] = {}
+    out = []
+    for i, own in enumerate(sets):
+        n = len(own)
+        prefix = np.sort(rank[np.searchsorted(every, own)])[: n - -(-t[0] * n // t[1]) + 1].tolist()
+        seen: dict[int, int] = {}
+        for r in prefix:
+            for j in index.get(r, ()):
+                seen[j] = seen.get(j, 0) + 1
+            index.setdefault(r, []).append(i)
+        for j in sorted(seen, key=lambda j: (-seen[j], j)):
+            a, b = find(component[i]), find(component[j])
+            if a == b or min(n, len(sets[j])) * t[1] < max(n, len(sets[j])) * t[0]:
+                continue
+            common = len(np.intersect1d(own, sets[j], assume_unique=True))
+            if (t[0] + t[1]) * common >= t[0] * (n + len(sets[j])) and linked(grams[j], grams[i], t):
+                root[a] = b
+                out.append((j, i))
+    return out
+
+
 def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between the components of each bucket, by comparing members until two components are joined or all is refuted."""
+    """Links between the components of each bucket."""
     joined = members.join(texts, "node").select("bucket", "node.doc", "node.tie", F.col("component.doc").alias("c_doc"), F.col("component.tie").alias("c_tie"), "text")
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["doc"], r["tie"]))
-        grams = [_grams_of(r["text"]) for r in rows]
-        root = {(r["c_doc"], r["c_tie"]): (r["c_doc"], r["c_tie"]) for r in rows}
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        out = []
-        for i, r in enumerate(rows):
-            for j in range(i):
-                a, b = find((r["c_doc"], r["c_tie"])), find((rows[j]["c_doc"], rows[j]["c_tie"]))
-                if a != b and linked(grams[j], grams[i]):
-                    root[a] = b
-                    out.append((rows[j]["doc"], rows[j]["tie"], r["doc"], r["tie"]))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc", "tie", "b_doc", "b_tie"])
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc"], r["tie"]))
+        found = bucket_links([_grams_of(r["text"]) for r in rows], [(r["c_doc"], r["c_tie"]) for r in rows])
+        columns = list(zip(*((rows[j]["doc"], rows[j]["tie"], rows[i]["doc"], rows[i]["tie"]) for j, i in found), strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "tie", "b_doc", "b_tie"])
 
     found = joined.groupBy("bucket").applyInArrow(run, "doc long, tie long, b_doc long, b_tie long")
     return found.select(F.struct("doc", "tie").alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_tie").alias("tie")).alias("b"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) that join all classes of the nodes, which are representatives of equal texts with their sketches."""
     held = nodes.where("n > 0").select("node", F.posexplode("sketches").alias("j", "h")).select("node", F.struct("j", "h").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -253,27 +289,15 @@ def links(docs: DataFrame, nodes: DataFrame, *, rounds: int = ROUNDS) -> DataFra
     central = members.groupBy("node").agg(F.sum("size").alias("centrality"))
     members = cut(members.join(central, "node"))
     texts = cut(_payloads(docs, members.select("node").distinct()))
-    members = members.withColumn("component", F.col("node"))
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
-    for _ in range(rounds):
-        free = members if tried is None else members.join(tried.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        order = F.struct("centrality", F.negate(F.col("node.doc")), F.negate(F.col("node.tie")))
-        leaders = free.groupBy("bucket").agg(F.max_by(F.struct("node", "component"), order).alias("leader"))
-        led = members.join(leaders, "bucket").where(F.col("component") != F.col("leader.component"))
-        pairs = led.select(F.least("leader.node", "node").alias("a"), F.greatest("leader.node", "node").alias("b")).distinct()
-        fresh = cut(_aligned(pairs, texts))
-        step = leaders.select("bucket", F.col("leader.node").alias("a"))
-        tried = cut(step if tried is None else tried.unionByName(step))
-        found = fresh if found is None else cut(found.unionByName(fresh))
-        named = components(found)
-        members = members.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-        open_ = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).join(tried.groupBy("bucket").agg(F.count("*").alias("k")), "bucket")
-        open_ = open_.where((F.col("lo") != F.col("hi")) & (F.col("k") < F.col("m") - 1)).select("bucket")
-        members = cut(members.join(open_, "bucket", "left_semi"))
-        if not members.limit(1).count():
-            return found
-    return found.unionByName(_rest(members, texts))
+    order = F.struct("centrality", F.negate(F.col("node.doc")), F.negate(F.col("node.tie")))
+    leaders = members.groupBy("bucket").agg(F.max_by("node", order).alias("leader"))
+    led = members.join(leaders, "bucket").where(F.col("node") != F.col("leader"))
+    found = cut(_aligned(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), texts))
+    named = cut(components(found))
+    members = members.join(named, "node", "left").select("bucket", "node", "size", F.coalesce("component", F.col("node")).alias("component"))
+    # A bucket of two was compared whole.
+    several = members.where("size > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    return found.unionByName(cut(_rest(members.join(several, "bucket", "left_semi"), texts)))
 
 
 def classes(docs: DataFrame) -> DataFrame:
