@@ -105,8 +105,8 @@ def project(events: DataFrame, reduce: Reducer, initial: object, *, key: str = "
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         held = pdf[pdf["state"].notna()]
-        state, cursor = (json.loads(held["state"].iloc[0]), int(held["cursor"].iloc[0])) if len(held) else (initial, 0)
-        new = pdf[pdf["state"].isna() & (pdf["idx"].fillna(-1) > cursor)].sort_values(["idx", "ordinal"])
+        state, cursor = (json.loads(held["state"].iloc[0]), int(held["cursor"].iloc[0])) if len(held) else (initial, -1)
+        new = pdf[pdf["state"].isna() & (pdf["idx"].fillna(-2) > cursor)].sort_values(["idx", "ordinal"])
         state = _fold(state, new[cols].to_dict("records"), reduce)
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "cursor": [int(new["idx"].max()) if len(new) else cursor], "state": [state_text(state)]})
 
@@ -134,7 +134,7 @@ def stream_projection(stream: DataFrame, reduce: Reducer, initial: object, *, ke
     """
 
     def fold(key_values: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        cursor, state = held.get if held.exists else (0, state_text(initial))
+        cursor, state = held.get if held.exists else (-1, state_text(initial))
         rows = pd.concat(list(batches))
         rows = rows[rows["idx"] > cursor].sort_values(["idx", "ordinal"])
         value = _fold(json.loads(state), rows[["idx", "ordinal", "tx_id", "payload"]].to_dict("records"), reduce)
