@@ -3,7 +3,7 @@
 ``text_statistics`` computes, for every whole text, the base counts.  ``learn_rules`` grows and prunes
 threshold conjunctions by sequential covering on labelled statistics: a rule grows literal by literal
 by FOIL gain on two thirds of the sample, loses final literals while that helps on the other third, and is
-kept while it is right often enough there; what it covers leaves the sample and the next rule is sought.
+kept if it is right often enough; what it covers leaves the sample and the next rule is sought.
 ``RuleList.verdict`` is the list as nested ``when`` expressions, so that scoring stays in the JVM.
 
 Defined results: a null or empty text has no words and fails the base rule; a null id is returned as null;
@@ -50,7 +50,7 @@ SAMPLE_ROWS = 20_000
 def _repeats_in_document(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each row: does the same key occur in another row of the same document?  And is it a later one?"""
     both = A.join2(docs.astype(np.uint64), keys)
-    order = np.argsort(both, kind="stable")
+    order = A.stable_order(both)
     s = both[order]
     same = s[1:] == s[:-1]
     again = np.zeros(len(keys), np.uint8)
@@ -173,10 +173,10 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, *, max_rules: int = 12, max_lite
         p, n = (bad & c).sum(), (~bad & c).sum()
         return (p - n) / max(1, p + n), p, n
 
-    left = np.ones(len(x), bool)
-    while len(rules) < max_rules:
-        g, t = left & grow, left & ~grow
-        if bad[g].sum() < min_cover:
+    left, sought = np.ones(len(x), bool), np.ones(len(x), bool)
+    for _ in range(4 * max_rules):
+        g, t = left & grow & (sought | ~bad), left & ~grow
+        if len(rules) == max_rules or bad[g].sum() < min_cover:
             break
         rule: list[Literal] = []
         gx, gb = x[g], bad[g]
@@ -191,15 +191,25 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, *, max_rules: int = 12, max_lite
             rule.pop()
         _, p, n = worth(rule, x[left], bad[left])
         _, tp, tn = worth(rule, x[t], bad[t])
-        if not rule or p < min_cover or p < min_precision * (p + n) or tp < min_precision * (tp + tn):
+        if not rule:
             break
+        if p < min_cover or p < min_precision * (p + n) or tp < min_precision * (tp + tn):
+            sought &= ~covered(rule, x)  # not worth a rule: the next one looks for others
+            continue
         rules.append(tuple(rule))
         left &= ~covered(rule, x)
     return RuleList(tuple(rules))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> RuleList:
-    """Rules from at most ``sample_rows`` labelled documents that aren't held out, taken in the order of a hash of their ids."""
+def _base_failed(min_words: int, max_repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, min_words: int = 50, max_repeat_percent: int = 50) -> RuleList:
+    """Rules from at most ``sample_rows`` labelled documents that aren't held out, taken in the order of a hash of their ids.
+
+    Documents that fail the base rule are left out, as the list decides about the others.
+    """
     doc_id = F.col("doc_id").cast("long")
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
@@ -211,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
         return RuleList(())
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in rows], "doc_id long, quality int")
     sample = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    stats = text_statistics(sample).select("doc_id", *(F.expr(e).alias(k) for k, e in FEATURES.items()))
+    stats = text_statistics(sample).where(~_base_failed(min_words, max_repeat_percent)).select("doc_id", *(F.expr(e).alias(k) for k, e in FEATURES.items()))
     got = stats.limit(2 * sample_rows).toPandas().sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")
     quality = got["doc_id"].map({r.doc_id: r.quality for r in rows})
     return learn_rules(got[list(FEATURES)].to_numpy(float), quality.to_numpy() == 0)
@@ -219,6 +229,5 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
 
 def apply_rules(docs: DataFrame, rules: RuleList, *, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` of every document."""
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    stats = text_statistics(docs).withColumn("base_failed", failed)
+    stats = text_statistics(docs).withColumn("base_failed", _base_failed(min_words, max_repeat_percent))
     return stats.withColumn("kept", ~F.col("base_failed") & rules.verdict()).select("doc_id", *STATISTICS, "base_failed", "kept")
