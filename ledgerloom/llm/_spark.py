@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.snapshots import checkpointed as cut
+from ledgerloom.sources.snapshots import shared_folder
+
+__all__ = ["LAST_ID", "cut", "fresh", "held_out", "shared_folder", "shuffle_partitions", "table"]
+
 #: Sorts after every stored id: where a null id stands in an order.
 LAST_ID = 2**63 - 1
 
@@ -16,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local default only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "/tmp/ledgerloom-checkpoints"
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df stored by a reliable checkpoint, so that later jobs don't compute it again and lost executors lose nothing."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the documents that no model may learn from: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -41,22 +29,5 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-@contextlib.contextmanager
-def settings(spark: SparkSession, **conf: str):
-    """Session settings that hold within the block."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    old = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def fresh(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
