@@ -12,6 +12,26 @@ from ledgerloom.llm import decontamination, language_id, line_dedup, near_dedup,
 from ledgerloom.llm._spark import held_out, table
 
 
+#: Runs of 20 words that aren't the first of their kind, and the words outside of all of them.
+OP2_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS words FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS s FROM doc WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p FROM later
+), word AS (
+  SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM doc WHERE len(w) > 0
+), kept AS (
+  SELECT word.doc_id, count(gone.p) AS n_removed, string_agg(CASE WHEN gone.p IS NULL THEN x END, ' ' ORDER BY word.p) AS t
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
+"""
+
 #: Windows of 13 words of items and documents, compared as text; n_hit counts words within matching windows.
 OP7_SQL = r"""
 WITH item AS (
@@ -109,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Statements only where one can express the whole result on whole tables."""
-    return {"op7_benchmark_decontamination": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op7_benchmark_decontamination": OP7_SQL}
