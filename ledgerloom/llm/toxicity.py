@@ -29,7 +29,7 @@ from ledgerloom.llm.language_id import LanguageModel
 DECISION = 0.3
 BUCKETS, TABLES, DEPTH, FILTERS, WIDTHS, BLOCK = 1 << 18, 3, 6, 6, (1, 2, 3), 64
 #: Labelled documents that are learned from: of each class, at most.
-SAMPLE_TOXIC, SAMPLE_OTHER = 2_500, 5_500
+SAMPLE_TOXIC, SAMPLE_OTHER = 1_500, 3_000
 PAD = 2  # empty words at least on either side of a document, so that no filter sees two
 
 
@@ -231,8 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, *, toxic_r
                 texts = batch.column(1).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([buckets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([languages.predict(t.as_py())[0] for t in texts], pa.string())], names=["doc_id", "buckets", "language"])
 
-    got = {}
-    for r in sample.mapInArrow(encode, "doc_id long, buckets binary, language string").limit(2 * len(label)).toArrow().to_pylist():
+    got = {}  # a repeated id counts once
+    for r in sample.mapInArrow(encode, "doc_id long, buckets binary, language string").dropDuplicates(["doc_id"]).toArrow().to_pylist():
         got[r["doc_id"]] = max(got.get(r["doc_id"], (b"", "")), (r["buckets"], r["language"]))
     order = sorted(got)
     return fit_arrays([np.frombuffer(got[i][0], np.int32).reshape(-1, TABLES) for i in order], np.array([label[i] for i in order]), [got[i][1] for i in order], languages)
