@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.catalog import ledgers, ownership, reading, scalars, searching, streams
+from ledgerloom.catalog import extras, ledgers, ownership, reading, scalars, searching, streams
 from ledgerloom.catalog._registry import Query
 
-PARTS = (reading, scalars, ledgers, ownership, streams, searching)
+PARTS = (reading, scalars, ledgers, ownership, streams, searching, extras)
 
 
 def all_queries() -> dict[str, Query]:
