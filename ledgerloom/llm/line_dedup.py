@@ -6,10 +6,12 @@ goes itself.  The join is a prefix filter: words are ordered by rarity, and two
 ``size - ceil(t * size) + 1`` words.  Rarity comes from counts of hashed words, an array of ``SKETCH`` numbers whatever the corpus;
 any order gives the same result, so collisions only cost time.
 
-Postings meet by word.  There the length and positional filters apply, then a filter by parities (the bits in which
-two sets' hashed parities differ never outnumber the words in which they differ).  Equal sets collapse to the earliest.
-What passes is verified on whole word sets.  A later line takes its ``FIRST`` earliest passing partners of a word; if
-none of them verifies though it had more, the join is repeated for that line with all of its partners.
+Postings meet by word.  Equal sets (by a digest of 64 bits, with size and parities) collapse to the earliest, and the
+copies go.  For the others the length and positional filters apply, then a filter by parities (the bits in which
+two sets' hashed parities differ never outnumber the words in which they differ).  What passes is verified on whole
+word sets.  A later line takes the partners of a word whose parities differ least: ``FIRST`` if the nearest differs by less
+than half of what is allowed, ``UNSURE`` times as many if it doesn't.  If none of them verifies though it had more, the join is
+repeated for such lines with all of their partners.
 
 Defined results: null and empty texts have no lines to remove; rows of one doc_id are ordered by their texts, equal rows
 each count; a null doc_id is the last one; extra columns are ignored; an empty table gives none.
@@ -27,38 +29,64 @@ from ledgerloom.llm import _exchange as X
 from ledgerloom.llm._spark import LAST_ID, cut
 
 #: The threshold as a fraction, the least number of words of a line, the sketch's counters, and partners kept at first.
-THRESHOLD, MIN_WORDS, SKETCH, FIRST = (4, 5), 5, 1 << 20, 3
-#: From so many words on, a line has 256 parities, else 64; a word's group of more lines is joined pivot by pivot.
+THRESHOLD, MIN_WORDS, SKETCH, FIRST, UNSURE = (4, 5), 5, 1 << 20, 2, 6
+#: From so many words on, a line has 128 parities, else 64; a word's group of more lines is joined pivot by pivot.
 LONG_LINE, LARGE_GROUP = 96, 1500
+#: Words that a repeated join may tell all tasks about; if there are more of them, it goes through all postings.
+TOLD_WORDS = 2_000_000
 
-_POSTING = (np.uint64, np.uint64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int64)  # word, parity, size, position, doc_id, tie, line, row of the long parities or -1
-_WIDE = (np.uint64, np.uint64, np.uint64)
-PAIR = "x_doc long, x_tie long, x_line int, y_doc long, y_tie long, y_line int, more boolean"
+_POSTING = (np.uint32, np.uint64, np.uint64, np.int32, np.int32, np.int64, np.int64, np.int32)  # word, digest (48 bits), parity, size, position, doc_id, tie, line
+_WIDE = (np.uint64,)  # of long lines: one of two words of their parities
+PAIR = "x_doc long, x_tie long, x_line int, y_doc long, y_tie long, y_line int, equal boolean, more boolean"
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(document, line number, first word) of each line with enough words, then the words: line by line, distinct hashes ascending."""
+def _codes(h: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+    """35 bits by which words are ordered before their whole hashes."""
+    code = h >> np.uint64(29)
+    return code if weight is None else (code >> np.uint64(7)) | (weight[h & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(28))
+
+
+def line_words(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(document, line number) of each line with enough words, then (row of its line, hash) of each of their words."""
     ls, le, lfirst = A.lines(data, offsets)
     starts, ends, _ = A.words(data, offsets)
     own = np.searchsorted(starts, ls)
     n_words = np.searchsorted(starts, le) - own
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(lfirst))
-    number = np.arange(len(ls)) - lfirst[doc]
-    line_of = np.repeat(np.arange(len(ls)), n_words)
-    h = A.span_hashes(data, starts, ends)
-    chosen = n_words[line_of] >= min_words
-    line_of, h = line_of[chosen], h[chosen]
-    order = np.lexsort((h, line_of))
-    line_of, h = line_of[order], h[order]
-    if len(h):
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (line_of[1:] != line_of[:-1])])
-        line_of, h = line_of[new], h[new]
-    lines, first = np.unique(line_of, return_index=True)
-    return doc[lines], number[lines].astype(np.int32), np.append(first, len(h)).astype(np.int64), h
-
-
-def word_counts(docs: DataFrame, *, min_words: int = MIN_WORDS) -> np.ndarray:
-    """In how many lines the words of each hash bucket are; SKETCH counters, summed by block of counters."""
+    chosen = np.flatnonzero(n_words >= min_words)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(lfirst))[chosen]
+    row = np.repeat(np.arange(len(chosen)), n_words[chosen])
+    at = np.arange(len(row)) + np.repeat(own[chosen] - np.cumsum(n_words[chosen]) + n_words[chosen], n_words[chosen])
+    return doc, (chosen - lfirst[doc]).astype(np.int32), row, A.span_hashes(data, starts[at], ends[at])
+
+
+def line_sets(data: np.ndarray, offsets: np.ndarray, min_words: int, weight: np.ndarray | None = None, told: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(document, line number, first word) of each line with enough words, then the distinct words of line after line.
+
+    The order of a line's words is the same total order for all lines: by ``weight`` of the hash's bucket, then by hash.
+    With ``told``, ascending hashes, only lines that have one of them.
+    """
+    doc, line, row, h = line_words(data, offsets, min_words)
+    if told is not None:
+        kept = np.zeros(len(doc), bool)
+        kept[row[told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h]] = True
+        place, own = np.cumsum(kept) - 1, kept[row]
+        doc, line, row, h = doc[kept], line[kept], place[row[own]], h[own]
+    code = _codes(h, weight)
+    key = (row.astype(np.uint64) << np.uint64(35)) | code
+    order = np.argsort(key)
+    key, sorted_ = key[order], h[order]
+    tied = np.flatnonzero((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1]))
+    if len(tied):  # different words with one code: settled by whole hashes
+        order = np.lexsort((h, code, row))
+        sorted_ = h[order]
+    row = row[order]
+    new = np.concatenate([[True], (sorted_[1:] != sorted_[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, bool)
+    row, h = row[new], sorted_[new]
+    return doc, line, np.searchsorted(row, np.arange(len(doc) + 1)), h
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How often the words of each hash bucket occur; SKETCH counters, summed by block of counters."""
     block = 1 << 12
 
     def count(batches):
@@ -66,9 +94,11 @@ def word_counts(docs: DataFrame, *, min_words: int = MIN_WORDS) -> np.ndarray:
         for batch in batches:
             data, offsets = A.string_buffers(batch.column(0))
             for _, _, d, o in A.pieces(data, offsets):
-                total += np.bincount(line_sets(d, o, min_words)[3] & np.uint64(SKETCH - 1), minlength=SKETCH)
+                starts, ends, _ = A.words(d, o)
+                np.add.at(total, A.span_hashes(d, starts, ends) & np.uint64(SKETCH - 1), 1)
         parts = total.reshape(-1, block)
         full = np.flatnonzero(parts.any(1))
+        A.release()
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.zeros(len(full)), pa.int32()), pa.array([X.pack([parts[i]]) for i in full], pa.binary())], names=["bucket", "kind", "blob"])
 
     def add(key, found):
@@ -87,112 +117,204 @@ def _least_overlap(total: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     return -(-a * total // (a + b))
 
 
+def _weights(counts: np.ndarray) -> np.ndarray:
+    """Rarity in 127 steps of the logarithm."""
+    return np.minimum(127, np.log2(counts + 1.0) * 3).astype(np.uint8)
+
+
+def _key(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return A.join2(A.join2(doc.astype(np.uint64), tie.astype(np.uint64)), line.astype(np.uint64))
+
+
+def _prefix_length(size: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+    return size - -(-t[0] * size // t[1]) + 1
+
+
+def _parities(bit: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two words of 64 parities of each line, from the mixed hashes of its words."""
+    place, plane = np.uint64(1) << (bit & np.uint64(63)), (bit >> np.uint64(6)) & np.uint64(1)
+    return [np.bitwise_xor.reduceat(np.where(plane == k, place, np.uint64(0)), first[:-1]) for k in range(2)]
+
+
 def _postings(docs: DataFrame, counts: np.ndarray, n: int, t: tuple[int, int], min_words: int) -> DataFrame:
-    rarity = docs.sparkSession.sparkContext.broadcast(counts)  # SKETCH numbers
+    """Blobs of the lines' first words by word bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast(_weights(counts))  # SKETCH bytes
 
     def run(ids, ties, data, offsets):
-        doc, line, first, h = line_sets(data, offsets, min_words)
+        doc, line, first, h = line_sets(data, offsets, min_words, shared.value)
         if not len(h):
             return
         size = np.diff(first)
         row = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((h, rarity.value[h & np.uint64(SKETCH - 1)], row))
-        h = h[order]
         bit = A.mix(h)
-        place = (bit & np.uint64(63), (bit >> np.uint64(6)) & np.uint64(3))
-        words = np.zeros((4, len(size)), np.uint64)
-        for k in range(4):
-            words[k] = np.bitwise_xor.reduceat(np.where(place[1] == k, np.uint64(1) << place[0], np.uint64(0)), first[:-1])
+        halves = _parities(bit, first)
+        digest = A.mix(np.add.reduceat(A.mix(bit + np.uint64(11)), first[:-1])) >> np.uint64(16)
         position = np.arange(len(h)) - first[row]
-        taken = np.flatnonzero(position < size[row] - -(-t[0] * size[row] // t[1]) + 1)
+        taken = np.flatnonzero(position < _prefix_length(size, t)[row])
         own = row[taken]
-        bucket = (A.mix(h[taken]) % np.uint64(n)).astype(np.int32)
-        fold = words[0] ^ words[1] ^ words[2] ^ words[3]
+        bucket = (bit[taken] % np.uint64(n)).astype(np.int32)
         wide = size[own] >= LONG_LINE
-        columns = [h[taken], fold[own], size[own].astype(np.int32), position[taken].astype(np.int32), ids[doc[own]], ties[doc[own]], line[own]]
+        columns = [(h[taken] >> np.uint64(32)).astype(np.uint32), digest[own], (halves[0] ^ halves[1])[own], size[own].astype(np.int32), position[taken].astype(np.int32), ids[doc[own]], ties[doc[own]], line[own]]
         yield X.scatter(bucket[~wide], [c[~wide] for c in columns], 0)
-        yield X.scatter(bucket[wide], [*(c[wide] for c in columns), *(words[k][own[wide]] for k in range(3))], 1)
+        yield X.scatter(bucket[wide], [*(c[wide] for c in columns), halves[0][own[wide]]], 1)
 
     return X.over_pieces(docs, run, X.BLOBS)
 
 
-def _similar_pairs(p: dict, x: np.ndarray, y: np.ndarray, t: tuple[int, int]) -> np.ndarray:
-    """Which pairs of postings of one word pass the length, positional and parity filters."""
-    sx, sy = p["size"][x].astype(np.int64), p["size"][y].astype(np.int64)
+_ROW = "word long, doc long, tie long, line int, parity long, words array<bigint>"
+
+
+def _prefix_rows(ids, ties, doc, line, first, h, t, told) -> pa.RecordBatch:
+    """A row with the whole set for each of the lines' first words, or for those of them that are in ``told``."""
+    size = np.diff(first)
+    row = np.repeat(np.arange(len(size)), size)
+    taken = np.arange(len(h)) - first[row] < _prefix_length(size, t)[row]
+    if told is not None:
+        taken &= told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h
+    own = row[taken]
+    halves = _parities(A.mix(h), first)
+    sets = pa.array([h[first[i] : first[i + 1]].view(np.int64) for i in own], pa.list_(pa.int64()))
+    arrays = [pa.array(h[taken].view(np.int64)), pa.array(ids[doc[own]], pa.int64()), pa.array(ties[doc[own]], pa.int64()), pa.array(line[own], pa.int32()), pa.array((halves[0] ^ halves[1])[own].view(np.int64)), sets]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _ROW.split(", ")])
+
+
+def _joined_whole(docs: DataFrame, sets: DataFrame, counts: np.ndarray, t: tuple[int, int], min_words: int) -> DataFrame:
+    """(y_doc, y_tie, y_line) of those lines of ``sets`` that have any similar earlier line at all.
+
+    The lines' first words are told to all tasks if they are few; each task then sends the lines that have one of them among their
+    own first words, with their sets, and a join by word verifies.
+    """
+    weights = _weights(counts)
+
+    def asked(batches):
+        for batch in batches:
+            lists = batch.column(3)
+            size = np.diff(lists.offsets.to_numpy())
+            if not len(size) or not size.sum():
+                continue
+            h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(len(size)), size)
+            h = h[np.lexsort((h, _codes(h, weights), row))]
+            ids, ties, line = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            yield _prefix_rows(ids, ties, np.arange(len(size)), line, np.append(0, np.cumsum(size)), h, t, None)
+
+    ys = cut(sets.select("doc", "tie", "line", "words").mapInArrow(asked, _ROW))
+    found = ys.select("word").distinct().limit(TOLD_WORDS + 1).toArrow().column(0).to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, np.sort(found) if 0 < len(found) <= TOLD_WORDS else None))  # SKETCH bytes, TOLD_WORDS hashes at most
+
+    def tell(ids, ties, data, offsets):
+        weights, told = shared.value
+        doc, line, first, h = line_sets(data, offsets, min_words, weights, told)
+        if len(h):
+            yield _prefix_rows(ids, ties, doc, line, first, h, t, told)
+
+    xs = X.over_pieces(docs, tell, _ROW)
+    named = lambda df, s: df.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "tie", "line", "parity", "words")))
+    nx, ny, shared_words = F.size("x_words"), F.size("y_words"), F.size(F.array_intersect("x_words", "y_words"))
+    earlier = F.struct("x_doc", "x_tie", "x_line") < F.struct("y_doc", "y_tie", "y_line")
+    near = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) * (t[0] + t[1]) <= (nx + ny) * (t[1] - t[0])
+    x, y = named(xs, "x"), named(ys, "y")
+    joined = x.join(y, (x.word == y.word) & earlier & near & ((t[0] + t[1]) * shared_words >= t[0] * (nx + ny)))
+    return joined.select("y_doc", "y_tie", "y_line").distinct()
+
+
+def _similar_pairs(p: dict, x: np.ndarray, y: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of postings of one word that pass the length, positional and parity filters, and how much of the allowed difference each shows."""
+    sx, sy = p["size"][x], p["size"][y]
     need = _least_overlap(sx + sy, t)
-    ok = (np.minimum(sx, sy) >= need) & (1 + np.minimum(sx - p["position"][x], sy - p["position"][y]) - 1 >= need)
-    ok &= np.bitwise_count(p["parity"][x] ^ p["parity"][y]) <= sx + sy - 2 * need
-    both = np.flatnonzero(ok & (p["wide"][x] >= 0) & (p["wide"][y] >= 0))
+    allowed = sx + sy - 2 * need
+    at = np.flatnonzero((np.minimum(sx, sy) >= need) & (np.minimum(sx - p["position"][x], sy - p["position"][y]) >= need))
+    x, y, allowed = x[at], y[at], allowed[at]
+    differ = p["parity"][x] ^ p["parity"][y]
+    bits = np.bitwise_count(differ).astype(np.int64)
+    both = np.flatnonzero((bits <= allowed) & (p["wide"][x] >= 0) & (p["wide"][y] >= 0))
     if len(both):
-        a, b = p["wide"][x[both]], p["wide"][y[both]]
-        differ = p["planes"][:, a] ^ p["planes"][:, b]
-        last = (p["parity"][x[both]] ^ p["parity"][y[both]]) ^ np.bitwise_xor.reduce(differ, 0)
-        bits = np.bitwise_count(differ).sum(0) + np.bitwise_count(last)
-        ok[both] = bits <= (sx + sy - 2 * need)[both]
-    return ok
+        half = p["half"][p["wide"][x[both]]] ^ p["half"][p["wide"][y[both]]]
+        bits[both] = np.bitwise_count(half).astype(np.int64) + np.bitwise_count(differ[both] ^ half)
+    ok = bits <= allowed
+    return at[ok], bits[ok] / np.maximum(allowed[ok], 1)
 
 
-def candidates(docs: DataFrame, counts: np.ndarray, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS, first: int | None = FIRST) -> DataFrame:
-    """Pairs (x earlier, y later) of lines that passed the filters; at most ``first`` for a later line and word, ``more`` if there were more."""
+def candidates(docs: DataFrame, counts: np.ndarray, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS, first: int = FIRST) -> DataFrame:
+    """Pairs (x earlier, y later) of lines: those of equal sets, and those that passed the filters.
+
+    Of the latter at most ``first``, or ``first * UNSURE``, for a later line and word; ``more`` if there were more.
+    """
     n = X.bucket_count(docs)
 
     def join(_, found):
-        narrow, wide = X.gather(found.get(0, []), _POSTING[:-1]), X.gather(found.get(1, []), _POSTING[:-1] + _WIDE)
+        narrow, wide = X.gather(found.get(0, []), _POSTING), X.gather(found.get(1, []), _POSTING + _WIDE)
         c = [np.concatenate(z) for z in zip(narrow, wide[: len(narrow)], strict=True)]
         ref = np.concatenate([np.full(len(narrow[0]), -1), np.arange(len(wide[0]))])
-        order = np.lexsort((c[6], c[5], c[4], c[0]))
-        p = dict(zip(("word", "parity", "size", "position", "doc", "tie", "line"), (z[order] for z in c), strict=True))
-        p["wide"], p["planes"] = ref[order], np.stack(wide[7:])
-        edge = np.flatnonzero(np.concatenate([[True], p["word"][1:] != p["word"][:-1]])) if len(order) else np.zeros(0, np.int64)
+        # Words of one line only match nothing.
+        order = _by_word(c[0], np.arange(len(c[0])))
+        word = c[0][order]
+        same = word[1:] == word[:-1]
+        lone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(word) else np.zeros(0, bool)
+        order = np.sort(order[~lone])
+        c, ref = [z[order] for z in c], ref[order]
+        simple = not len(order) or (c[5].min() >= 0 and c[5].max() < 1 << 40 and c[7].max() < 1 << 22 and not c[6].any())
+        time = np.argsort((c[5] << 22) | c[7]) if simple else np.lexsort((c[7], c[6], c[5]))
+        c, ref = [z[time] for z in c], ref[time]
+        # From here on rows are in the order of the corpus.
+        order = A.stable_order(A.join2(c[0].astype(np.uint64), A.join2(c[1], c[2])))
+        word, digest, parity = c[0][order], c[1][order], c[2][order]
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (digest[1:] != digest[:-1]) | (parity[1:] != parity[:-1])]) if len(order) else np.zeros(0, bool)
+        leader = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        side = lambda i: [pa.array(c[5][i]), pa.array(c[6][i]), pa.array(c[7][i])]
+
+        def batch(x, y, equal, more):
+            return pa.RecordBatch.from_arrays([*side(x), *side(y), pa.array(equal), pa.array(more)], names=[k.split()[0] for k in PAIR.split(", ")])
+
+        copy = np.flatnonzero(~new & (c[4][order] == 0))  # a copy's first word is its leader's
+        if len(copy):
+            yield batch(leader[copy], order[copy], np.ones(len(copy), bool), np.zeros(len(copy), bool))
+        order = _by_word(c[0], np.sort(order[new]))
+        p = {"size": c[3][order].astype(np.int64), "position": c[4][order], "parity": c[2][order], "wide": ref[order], "half": wide[8]}
+        word = c[0][order]
+        edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(order) else np.zeros(0, np.int64)
         length = np.diff(np.append(edge, len(order)))
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def keep(x, y):
-            """The first pairs of each y; x ascends for each y."""
-            if not len(y):
-                return
-            o = np.lexsort((x, y))
-            x, y = x[o], y[o]
-            start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
-            count = np.diff(np.append(start, len(y)))
-            rank = np.arange(len(y)) - np.repeat(start, count)
-            chosen = rank < (first or len(y) + 1)
-            got.append((x[chosen], y[chosen], np.repeat(count > (first or len(y) + 1), count)[chosen]))
 
         small = np.flatnonzero((length > 1) & (length <= LARGE_GROUP))
-        pairs = length[small] * (length[small] - 1) // 2
-        for lo in _chunks(pairs, 4_000_000):
-            g = small[lo]
+        for part in _chunks(length[small] * (length[small] - 1) // 2, 500_000):
+            g = small[part]
             later = np.concatenate([np.arange(s, s + m) for s, m in zip(edge[g], length[g], strict=True)])
             at = later - np.repeat(edge[g], length[g])
             y = np.repeat(later, at)
             x = y - np.repeat(at, at) + (np.arange(len(y)) - np.repeat(np.cumsum(at) - at, at))
-            ok = _similar_pairs(p, x, y, t)
-            keep(x[ok], y[ok])
+            ok, share = _similar_pairs(p, x, y, t)
+            x, y = x[ok], y[ok]
+            if len(y):
+                sort = np.lexsort((x, share, y))
+                x, y, share = x[sort], y[sort], share[sort]
+                start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+                count = np.diff(np.append(start, len(y)))
+                most = np.where(share[start] < 0.5, first, first * UNSURE)
+                chosen = np.arange(len(y)) - np.repeat(start, count) < np.repeat(most, count)
+                yield batch(order[x[chosen]], order[y[chosen]], np.zeros(chosen.sum(), bool), np.repeat(count > most, count)[chosen])
         for g in np.flatnonzero(length > LARGE_GROUP):
             left = np.arange(edge[g], edge[g] + length[g])
-            pivot = int(left[0])
-            end = edge[g] + length[g]
-            seen = np.zeros(length[g], np.int32)
-            for pivot in range(edge[g], end):
+            seen = np.zeros(length[g])
+            for pivot in range(edge[g], edge[g] + length[g]):
                 ys = left[np.searchsorted(left, pivot + 1) :]
                 if not len(ys):
                     break
-                ok = _similar_pairs(p, np.full(len(ys), pivot), ys, t)
+                ok, share = _similar_pairs(p, np.full(len(ys), pivot), ys, t)
                 hit = ys[ok]
                 if len(hit):
-                    seen[hit - edge[g]] += 1
-                    full = np.full(len(hit), first is not None) & (seen[hit - edge[g]] >= (first or 0))
-                    got.append((np.full(len(hit), pivot), hit, full))
+                    seen[hit - edge[g]] += np.where(share < 0.5, 1, 1 / UNSURE)
+                    full = seen[hit - edge[g]] >= first - 1e-9
+                    yield batch(np.full(len(hit), order[pivot]), order[hit], np.zeros(len(hit), bool), full)
                     left = np.setdiff1d(left, hit[full], assume_unique=True)
-        if got:
-            x, y, more = (np.concatenate(z) for z in zip(*got, strict=True))
-            side = lambda i: [pa.array(p["doc"][i]), pa.array(p["tie"][i]), pa.array(p["line"][i])]
-            yield pa.RecordBatch.from_arrays([*side(x), *side(y), pa.array(more)], names=[c.split()[0] for c in PAIR.split(", ")])
 
     return X.by_bucket(_postings(docs, counts, n, t, min_words), join, PAIR)
 
 
+def _by_word(word: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Ascending rows, ordered by their words of 32 bits."""
+    return (np.sort((word[rows].astype(np.uint64) << np.uint64(32)) | rows.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _chunks(costs: np.ndarray, limit: int):
     """Index arrays of consecutive items of about ``limit`` cost each."""
     lo, total = 0, np.cumsum(costs)
@@ -219,27 +341,32 @@ def _sets_of(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
 
     def work(_, sides):
         ids, ties, line = X.gather(sides.get(1, []), (np.int64, np.int64, np.int32))
-        asked = set(zip(ids.tolist(), ties.tolist(), line.tolist(), strict=True))
-        wanted = set(zip(ids.tolist(), ties.tolist(), strict=True))
+        asked, wanted = _key(ids, ties, line), _key(ids, ties, np.zeros(len(ids)))
 
         def tell(doc_ids, doc_ties, data, offsets):
-            rows = [i for i, k in enumerate(zip(doc_ids.tolist(), doc_ties.tolist(), strict=True)) if k in wanted]
-            for i in rows:
-                d = data[offsets[i] : offsets[i + 1]]
-                _, number, first, h = line_sets(d, np.array([0, len(d)]), min_words)
-                own = [j for j, k in enumerate(number.tolist()) if (int(doc_ids[i]), int(doc_ties[i]), k) in asked]
-                sets = [h[first[j] : first[j + 1]].view(np.int64) for j in own]
-                yield pa.RecordBatch.from_arrays([pa.array([int(doc_ids[i])] * len(own), pa.int64()), pa.array([int(doc_ties[i])] * len(own), pa.int64()), pa.array(number[own], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "tie", "line", "words"])
+            rows = np.flatnonzero(np.isin(_key(doc_ids, doc_ties, np.zeros(len(doc_ids))), wanted))
+            if not len(rows):
+                return
+            own = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in rows])
+            edges = np.concatenate([[0], np.cumsum(offsets[rows + 1] - offsets[rows])])
+            doc, number, first, h = line_sets(own, edges, min_words)
+            doc = rows[doc]
+            hit = np.flatnonzero(np.isin(_key(doc_ids[doc], doc_ties[doc], number), asked))
+            sets = pa.array([h[first[j] : first[j + 1]].view(np.int64) for j in hit], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[doc[hit]]), pa.array(doc_ties[doc[hit]]), pa.array(number[hit]), sets], names=["doc", "tie", "line", "words"])
 
         return tell
 
     return X.with_documents(docs, n, [_requests(lines, n)], work, "doc long, tie long, line int, words array<bigint>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], min_words: int) -> DataFrame:
-    """The pairs whose word sets are similar enough."""
+def _sides(pairs: DataFrame) -> DataFrame:
     side = lambda s: pairs.select(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_tie").alias("tie"), F.col(f"{s}_line").alias("line"))
-    sets = cut(_sets_of(docs, side("x").unionByName(side("y")).distinct(), min_words))
+    return side("x").unionByName(side("y")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs whose word sets are similar enough."""
     named = lambda s: sets.select(F.col("doc").alias(f"{s}_doc"), F.col("tie").alias(f"{s}_tie"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words"))
     joined = pairs.join(named("x"), ["x_doc", "x_tie", "x_line"]).join(named("y"), ["y_doc", "y_tie", "y_line"])
     shared = F.size(F.array_intersect("x_words", "y_words"))
@@ -249,22 +376,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], min_words:
 
 def removed_lines(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS, first: int = FIRST) -> DataFrame:
     """(doc, tie, line) of the lines to remove; ``docs`` are ``numbered``."""
-    counts = word_counts(docs, min_words=min_words)
-    keys = ["x_doc", "x_tie", "x_line", "y_doc", "y_tie", "y_line"]
-    pairs = cut(candidates(docs, counts, t=t, min_words=min_words, first=first).groupBy(*keys).agg(F.max("more").alias("more")))
-    y = ["y_doc", "y_tie", "y_line"]
-    found = cut(_verified(docs, pairs, t, min_words).select(*y).distinct())
-    left = cut(pairs.where("more").select(*y).distinct().join(found, y, "left_anti"))
+    counts = word_counts(docs)
+    x, y = ["x_doc", "x_tie", "x_line"], ["y_doc", "y_tie", "y_line"]
+    pairs = cut(candidates(docs, counts, t=t, min_words=min_words, first=first))
+    near = pairs.where(~F.col("equal")).groupBy(*x, *y).agg(F.max("more").alias("more"))
+    sets = cut(_sets_of(docs, _sides(near), min_words))
+    passed = cut(_verified(near, sets, t).select(*y).distinct())
+    found = pairs.where("equal").select(*y).unionByName(passed)
+    left = cut(near.where("more").select(*y).distinct().join(passed, y, "left_anti"))
     if left.limit(1).count():
-        rest = candidates(docs, counts, t=t, min_words=min_words, first=None).select(*keys).distinct().join(left, y, "left_semi")
-        found = found.unionByName(_verified(docs, cut(rest), t, min_words).select(*y).distinct())
+        named = left.toDF("doc", "tie", "line")
+        found = found.unionByName(_joined_whole(docs, sets.join(named, ["doc", "tie", "line"], "left_semi"), counts, t, min_words))
     return found.select(F.col("y_doc").alias("doc"), F.col("y_tie").alias("tie"), F.col("y_line").alias("line"))
 
 
 def line_report(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines) of every document; line numbers from 0."""
     numbered = X.numbered(docs)
-    gone = removed_lines(numbered, t=t, min_words=min_words).groupBy("doc", "tie").agg(F.array_sort(F.collect_list("line")).alias("removed_lines"))
+    gone = removed_lines(numbered, t=t, min_words=min_words).groupBy("doc", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
     text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = F.when(text == "", F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     base = numbered.select("doc_id", "tie", n_lines.cast("long").alias("n_lines"))
@@ -275,12 +404,12 @@ def line_report(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, min_words: i
 
 def without_lines(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with their removed lines taken out of ``text``; documents of which no line is left go, others keep all columns."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    numbered = X.numbered(docs, keep=others)
-    gone = removed_lines(numbered, t=t, min_words=min_words).groupBy(F.col("doc").alias("g_doc"), F.col("tie").alias("g_tie")).agg(F.collect_list("line").alias("g_lines"))
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("g_lines", s["i"])), lambda s: s["x"]), "\n")
-    out = numbered.join(gone, (numbered.doc_id == gone.g_doc) & (numbered.tie == gone.g_tie), "left")
-    out = out.where(F.col("g_lines").isNull() | (F.size("g_lines") < F.size(lines)))
-    text = F.when(F.col("g_lines").isNull(), F.col("text")).otherwise(kept)
-    return out.select(F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id"), text.alias("text"), *others).select(*docs.columns)
+    numbered = X.numbered(docs, rest=True)
+    gone = removed_lines(numbered.drop("rest"), t=t, min_words=min_words).groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
+    text = F.col("rest")["text"].cast("string")
+    lines = F.split(text, "\n", -1)
+    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"])), lambda s: s["x"]), "\n")
+    out = numbered.drop("text").join(gone.withColumnRenamed("doc", "doc_id"), ["doc_id", "tie"], "left")
+    out = out.where(F.col("gone").isNull() | (F.size("gone") < F.size(lines)))
+    left = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    return out.select(*(left.alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))
