@@ -7,6 +7,8 @@ pieces of about ``PIECE_BYTES`` at document borders; only a single longer docume
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,23 @@ _PLACES = _RANDOM.integers(1, 2**63, 4096, dtype=np.int64).astype(np.uint64) | n
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's malloc_trim where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as Python workers live on from stage to stage beside the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

@@ -55,7 +55,8 @@ def gather(blobs: Iterable[bytes], kinds: Sequence) -> list[np.ndarray]:
 
 def scatter(bucket: np.ndarray, columns: Sequence[np.ndarray], kind: int = 0) -> pa.RecordBatch:
     """One row for each bucket that occurs."""
-    order = np.argsort(bucket, kind="stable")
+    small = len(bucket) and bucket.max() < 1 << 16
+    order = np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")  # a radix sort where 16 bits do
     sorted_ = bucket[order]
     edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(edge[1:], len(bucket)) if len(edge) else edge
@@ -91,6 +92,7 @@ def over_pieces(docs: DataFrame, work: Callable[..., Iterable[pa.RecordBatch]],
             data, offsets = A.string_buffers(batch.column(2))
             for lo, hi, d, o in A.pieces(data, offsets, limit):
                 yield from work(ids[lo:hi], ties[lo:hi], d, o)
+            A.release()
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, schema)
 
@@ -132,6 +134,8 @@ def by_bucket(blobs: DataFrame, work: Callable[[dict[int, list[bytes]]], Iterabl
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 found.setdefault(kind, []).append(blob)
         yield from work(int(key[0].as_py()), found)
+        found.clear()
+        A.release()
 
     return blobs.groupBy("bucket").applyInArrow(run, schema)
 

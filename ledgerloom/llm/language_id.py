@@ -16,14 +16,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._arrays import release
 from ledgerloom.llm._spark import held_out
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -100,25 +102,32 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     return LanguageModel(tuple((lang, raw) for lang, raw in content if len(raw) > 8))
 
 
-def _predictor(docs: DataFrame, model: LanguageModel, min_margin: float):
-    """A column function: text to lang_pred, score, margin and rejected."""
+def classify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """(doc_id, lang_pred, score, margin, rejected) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES times DICTIONARY_BYTES
 
-    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        found = pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "margin"])
-        return found.assign(rejected=(found["lang_pred"] == "und") | (found["margin"] < min_margin))
-
-    return predict
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.predict(t.as_py()) for t in batch.column(1)]
+            columns = [batch.column(0), *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))), pa.array([_rejected(x, min_margin) for x in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "margin", "rejected"])
 
-
-def classify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """(doc_id, lang_pred, score, margin, rejected) of every document."""
-    predict = _predictor(docs, model, min_margin)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), predict(F.col(text_col).cast("string")).alias("found")).select("doc_id", "found.*")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(predict, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The documents that aren't rejected, with their columns."""
-    predict = _predictor(docs, model, min_margin)
-    return docs.select(F.struct("*").alias("rest"), predict(F.col(text_col).cast("string")).alias("found")).where(~F.col("found.rejected")).select("rest.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES times DICTIONARY_BYTES
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not _rejected(shared.value.predict(t.as_py()), min_margin) for t in batch.column(at)], pa.bool_()))
+            release()
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _rejected(found: tuple[str, float, float], min_margin: float) -> bool:
+    return found[0] == "und" or found[2] < min_margin

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._arrays import release
 from ledgerloom.llm._spark import cut
 
 SEQUENCE, END_ID = 2048, 0
@@ -75,7 +76,9 @@ class ByteTokenizer:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ByteTokenizer:
-    return ByteTokenizer(path)
+    out = ByteTokenizer(path)
+    release()
+    return out
 
 
 def cuts(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -99,7 +102,9 @@ def token_pieces(docs: DataFrame, *, vocabulary: str | None = None, size: int =
                 ids = np.array([*coder.ids(text.as_py()), END_ID], "<u4")
                 rows += [(doc_id.as_py(), k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts(len(ids), size))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
+            rows = None
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            release()
 
     return chosen.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
