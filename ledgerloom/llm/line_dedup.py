@@ -1,6 +1,6 @@
 """Line dedup (op 5): an exact set-similarity join of lines, which removes later matches.
 
-A line's set is that of its distinct words.  A line of ``MIN_WORDS`` words or more goes if an earlier line of the corpus (smaller
+A line's set is that of its distinct words.  A line of ``min_words`` words or more (the query: 1) goes if an earlier line of the corpus (smaller
 doc_id, or same document, smaller line number) has a set of Jaccard similarity ``THRESHOLD`` or more, whether or not that line
 goes itself.  The join is a prefix filter: words are ordered by rarity, and two similar sets share one of their first
 ``size - ceil(t * size) + 1`` words.  Rarity comes from counts of hashed words, an array of ``SKETCH`` numbers whatever the corpus;

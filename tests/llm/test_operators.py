@@ -337,6 +337,23 @@ def test_line_filter(docs, nothing):
     assert line_dedup.line_report(nothing).count() == 0
 
 
+def test_line_query_has_lines_of_any_length(spark, tmp_path):
+    more = ["a b c d\nend\n\nx y z", "d c b a e\nend\none two\nz y x\nx y z w", "one two\nend end\n \nb a c d"]
+    spark.createDataFrame(corpus() + [(200 + i, t, "en", "s", None) for i, t in enumerate(more)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    earlier, wanted = [], collections.Counter()
+    for i, t in ordered(spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        gone = []
+        for n, line in enumerate((t or "").split("\n")):
+            if s := frozenset(WORD.findall(line)):
+                if any(5 * len(s & x) >= 4 * len(s | x) for x in earlier):
+                    gone.append(n)
+                earlier.append(s)
+        wanted[repr((i, t.count("\n") + 1 if t else 0, len(gone), gone))] += 1
+    got = registered.queries()["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert collections.Counter(repr(tuple(r)) for r in got) == wanted
+    assert {r.doc_id: r.removed_lines for r in got if (r.doc_id or 0) >= 200} == {200: [1], 201: [0, 1, 2, 3], 202: [0, 1, 3]}
+
+
 # 7: decontamination.
 
 
