@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import decontamination, language_id, line_dedup, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
-from ledgerloom.llm._spark import held_out, table
+from ledgerloom.llm._spark import cut, held_out, table
 
 
 #: Runs of 20 words that aren't the first of their kind, and the words outside of all of them.
@@ -92,9 +92,14 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    network = toxicity.fit(docs, table(spark, sf_dir, "labels"), language_id.fit(docs))
+    labels = table(spark, sf_dir, "labels")
+    network, learned = toxicity.learn(docs, labels, language_id.fit(docs))
+    found = toxicity.logits(docs, network)
+    if network is not None:
+        found = cut(found)  # calibration and scores read it
+        toxicity.calibrate(network, found, labels, learned)
     predicted = (F.col("score") >= toxicity.DECISION).cast("int")
-    return toxicity.score(docs, network).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "language")
+    return toxicity.scores(found, network).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "language")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ together with whether it goes on after them.  The three table rows together are
 forms share most of it.  Filters of widths 1, 2 and 3 slide over the whole text; each filter's maximum over a block of words is
 pooled again by the maximum and the mean over the blocks, and a logistic layer gives the score.  The tables start from
 each bucket's association with the label, counted on one part of the sample; the network is trained by Adam on a second
-part, and a third part calibrates: for each language the logits are moved so that the threshold of best F1 becomes
-``DECISION``.  The language is that of the compression classifier on the text itself, never the column.
+part.  All labelled documents that neither part has calibrate, with classes weighted by their true counts: for each language
+the logits are moved so that the threshold of best F1 becomes ``DECISION``.  The language is that of the compression classifier on the text itself, never the column.
 
 Defined results: a null or empty text gets the score of a text without words; repeated rows repeat results; extra columns
 are ignored; without labels of both classes every score is 0; a null label doesn't count.
@@ -28,8 +28,9 @@ from ledgerloom.llm.language_id import LanguageModel
 
 DECISION = 0.3
 BUCKETS, TABLES, DEPTH, FILTERS, WIDTHS, BLOCK = 1 << 18, 3, 6, 6, (1, 2, 3), 64
-#: Labelled documents that are learned from: of each class, at most.
+#: Labelled documents that the tables and filters may learn from: of each class, at most.
 SAMPLE_TOXIC, SAMPLE_OTHER = 1_500, 3_000
+STEPS, LIMIT = 64, 40  # calibration counts logits in steps of 1 / STEPS, within +-LIMIT
 PAD = 2  # empty words at least on either side of a document, so that no filter sees two
 
 
@@ -87,10 +88,6 @@ class Network:
         most, mean = np.maximum.reduceat(hidden, begin[:-1], axis=0), np.add.reduceat(hidden, begin[:-1], axis=0) / np.diff(begin)[:, None]
         return np.concatenate([most, mean], 1) @ self.out[:-1] + self.out[-1]
 
-    def score(self, logits: np.ndarray, languages: list[str]) -> np.ndarray:
-        moved = logits - np.array([self.language_shift.get(x, self.shift) for x in languages])
-        return 1 / (1 + np.exp(-np.clip(moved, -40, 40)))
-
 
 def _begin(docs: list[np.ndarray], toxic: np.ndarray, rng: np.random.Generator) -> Network:
     """Tables from each bucket's association with the label, by documents that hold it."""
@@ -171,54 +168,89 @@ def train(network: Network, docs: list[np.ndarray], toxic: np.ndarray, *, epochs
                 update(f"t{t}", network.tables[t], 0.3 * g, ids)
 
 
-def best_threshold(logits: np.ndarray, toxic: np.ndarray) -> float:
-    """The logit of best F1, in the middle of the gap it lies in."""
+def best_threshold(logits: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> float:
+    """The logit of best F1, in the middle of the gap it lies in; ``toxic`` and ``other`` weigh the documents of each (distinct) logit."""
     order = np.argsort(-logits, kind="stable")
-    s, y = logits[order], toxic[order]
-    tp = np.cumsum(y)
-    f1 = 2 * tp / (np.arange(1, len(y) + 1) + y.sum())
-    i = int(np.argmax(f1))
+    s, tp, fp = logits[order], np.cumsum(toxic[order]), np.cumsum(other[order])
+    i = int(np.argmax(2 * tp / (tp + fp + tp[-1])))
     return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i] - 1)
 
 
-def fit_arrays(docs: list[np.ndarray], toxic: np.ndarray, languages: list[str], model: LanguageModel, *, seed: int = 5) -> Network | None:
-    """A network from documents' buckets, labels and detected languages; None unless both classes are there."""
+def fit_arrays(docs: list[np.ndarray], toxic: np.ndarray, model: LanguageModel, *, seed: int = 5) -> tuple[Network | None, np.ndarray]:
+    """An uncalibrated network from documents' buckets and labels, None unless both classes are there; and which documents it learned from."""
     if not len(toxic) or toxic.min() == toxic.max():
-        return None
+        return None, np.zeros(len(docs), bool)
     rng = np.random.default_rng(seed)
     part = np.empty(len(docs), np.int64)
-    for y in (0, 1):  # 35 % for the tables' start, 40 % for training, the rest for calibration
+    for y in (0, 1):  # 35 % for the tables' start, 40 % for training, the rest is left to calibration
         own = np.flatnonzero(toxic == y)
         part[own] = np.digitize((rng.permutation(len(own)) + 0.5) / len(own), [0.35, 0.75])
     pick = lambda k: ([docs[i] for i in np.flatnonzero(part == k)], toxic[part == k])
     network = _begin(*pick(0), rng)
     train(network, *pick(1), seed=seed)
     network.languages = model
-    held, y = pick(2)
-    if not len(y) or y.min() == y.max():
-        held, y, names = docs, toxic, languages
+    return network, part < 2
+
+
+def calibrate(network: Network, found: DataFrame, labels: DataFrame, learned: list[int]) -> None:
+    """Moves the logits by ``found`` (doc_id, logit, language) of all labelled documents but held-out and ``learned`` ones.
+
+    Each class weighs as much as all of its labelled documents, those learned from included.  If a class has no other documents,
+    those learned from calibrate too.  The driver gets counts by language, class and step of the logit.
+    """
+    ids = found.sparkSession.createDataFrame([(i,) for i in learned], "doc_id long").withColumn("own", F.lit(True))
+    one = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("logit", "language")).alias("f"))  # a repeated id counts once
+    step = F.round(F.least(F.greatest("f.logit", F.lit(-LIMIT)), F.lit(LIMIT)) * STEPS).cast("int")
+    rows = _marked(labels).join(one, "doc_id").join(F.broadcast(ids), "doc_id", "left").groupBy(F.col("f.language").alias("language"), "toxic", step.alias("step"), F.coalesce("own", F.lit(False)).alias("own")).count().collect()
+    total = [sum(r["count"] for r in rows if r.toxic == y) for y in (0, 1)]
+    rest = [sum(r["count"] for r in rows if r.toxic == y and not r.own) for y in (0, 1)]
+    if min(rest) == 0:
+        rest = total
     else:
-        names = [languages[i] for i in np.flatnonzero(part == 2)]
-    logits = network.logits(np.concatenate(held), np.concatenate([[0], np.cumsum([len(d) for d in held])]))
+        rows = [r for r in rows if not r.own]
+    if min(rest) == 0:
+        return
     middle = np.log(DECISION / (1 - DECISION))
-    network.shift = best_threshold(logits, y) - middle
-    for name in set(names):
-        own = np.array([n == name for n in names])
-        if y[own].sum() >= 10 and (~y[own].astype(bool)).sum() >= 10:
-            network.language_shift[name] = best_threshold(logits[own], y[own]) - middle
-    return network
+
+    def shift(own):
+        steps = sorted({r.step for r in own})
+        weight = np.zeros((2, len(steps)))
+        for r in own:
+            weight[r.toxic, steps.index(r.step)] += r["count"] * total[r.toxic] / rest[r.toxic]
+        return best_threshold(np.array(steps) / STEPS, weight[1], weight[0]) - middle
+
+    network.shift = shift(rows)
+    for name in {r.language for r in rows}:
+        own = [r for r in rows if r.language == name]
+        if all(sum(r["count"] for r in own if r.toxic == y) >= 10 for y in (0, 1)):
+            network.language_shift[name] = shift(own)
+
+
+def _marked(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled documents that aren't held out."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, *, toxic_rows: int = SAMPLE_TOXIC, other_rows: int = SAMPLE_OTHER) -> Network | None:
-    """Fits on at most ``toxic_rows`` and ``other_rows`` labelled documents that aren't held out, in the order of a hash of their ids.
+    """A network learned and calibrated."""
+    network, learned = learn(docs, labels, languages, toxic_rows=toxic_rows, other_rows=other_rows)
+    if network is not None:
+        calibrate(network, logits(docs.where(~held_out(F.col("doc_id"))), network), labels, learned)
+    return network
+
+
+def learn(docs: DataFrame, labels: DataFrame, languages: LanguageModel, *, toxic_rows: int = SAMPLE_TOXIC, other_rows: int = SAMPLE_OTHER) -> tuple[Network | None, list[int]]:
+    """An uncalibrated network, and the ids it learned from.
+
+    Learns from at most ``toxic_rows`` and ``other_rows`` labelled documents that aren't held out, in the order of a hash of their ids.
 
     Executors turn the sampled texts into bucket numbers; the driver gets those.
     """
     spark = docs.sparkSession
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = _marked(labels)
     rows = [r for y, n in ((1, toxic_rows), (0, other_rows)) for r in marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     if not rows:
-        return None
+        return None, []
     label = {r.doc_id: r.toxic for r in rows}
     ids = spark.createDataFrame([(i,) for i in label], "doc_id long")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
@@ -228,21 +260,37 @@ def fit(docs: DataFrame, labels: DataFrame, languages: LanguageModel, *, toxic_r
             data, offsets = A.string_buffers(batch.column(1))
             for lo, hi, d, o in A.pieces(data, offsets):
                 buckets, first = word_buckets(d, o)
-                texts = batch.column(1).slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([buckets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([languages.predict(t.as_py())[0] for t in texts], pa.string())], names=["doc_id", "buckets", "language"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([buckets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "buckets"])
 
     got = {}  # a repeated id counts once
-    for r in sample.mapInArrow(encode, "doc_id long, buckets binary, language string").dropDuplicates(["doc_id"]).toArrow().to_pylist():
-        got[r["doc_id"]] = max(got.get(r["doc_id"], (b"", "")), (r["buckets"], r["language"]))
+    for r in sample.mapInArrow(encode, "doc_id long, buckets binary").dropDuplicates(["doc_id"]).toArrow().to_pylist():
+        got[r["doc_id"]] = max(got.get(r["doc_id"], b""), r["buckets"])
     order = sorted(got)
-    return fit_arrays([np.frombuffer(got[i][0], np.int32).reshape(-1, TABLES) for i in order], np.array([label[i] for i in order]), [got[i][1] for i in order], languages)
+    network, own = fit_arrays([np.frombuffer(got[i], np.int32).reshape(-1, TABLES) for i in order], np.array([label[i] for i in order]), languages)
+    return network, [i for i, x in zip(order, own, strict=True) if x]
 
 
 def score(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, language) of every document."""
+    return scores(logits(docs, network, id_col=id_col, text_col=text_col), network)
+
+
+def scores(found: DataFrame, network: Network | None) -> DataFrame:
+    """(doc_id, score, language) from (doc_id, logit, language)."""
+    if network is None:
+        return found.select("doc_id", F.lit(0.0).alias("score"), "language")
+    shift = F.lit(float(network.shift))
+    for name, own in network.language_shift.items():
+        shift = F.when(F.col("language") == name, F.lit(float(own))).otherwise(shift)
+    moved = F.least(F.greatest(F.col("logit") - shift, F.lit(-40.0)), F.lit(40.0))
+    return found.select("doc_id", (1 / (1 + F.exp(-moved))).alias("score"), "language")
+
+
+def logits(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, logit, language) of every document; calibration doesn't change them."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if network is None:
-        return chosen.select("doc_id", F.lit(0.0).alias("score"), F.lit("und").alias("language"))
+        return chosen.select("doc_id", F.lit(0.0).alias("logit"), F.lit("und").alias("language"))
     shared = docs.sparkSession.sparkContext.broadcast(network)  # of a fixed size, given by BUCKETS and the language model's bound
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +299,7 @@ def score(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id", t
             data, offsets = A.string_buffers(batch.column(1))
             for lo, hi, d, o in A.pieces(data, offsets, A.PIECE_BYTES // 2):
                 names = [network.languages.predict(t.as_py())[0] for t in batch.column(1).slice(lo, hi - lo)]
-                found = network.score(network.logits(*word_buckets(d, o)), names)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, pa.float64()), pa.array(names, pa.string())], names=["doc_id", "score", "language"])
+                found = network.logits(*word_buckets(d, o))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, pa.float64()), pa.array(names, pa.string())], names=["doc_id", "logit", "language"])
 
-    return chosen.mapInArrow(predict, "doc_id long, score double, language string")
+    return chosen.mapInArrow(predict, "doc_id long, logit double, language string")

@@ -405,6 +405,26 @@ def test_toxicity_on_held_out_documents(spark, docs, nothing):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0} and toxicity.score(nothing, network).count() == 0
 
 
+def test_calibration_has_all_labels_at_their_true_ratio(spark):
+    rng = np.random.default_rng(6)
+    toxic = rng.random(8000) < 0.1
+    logit = rng.normal(np.where(toxic, 1.5, -1.5), 1)
+    found = spark.createDataFrame([(i, float(x), "xx") for i, x in enumerate(logit)], "doc_id long, logit double, language string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    of = lambda y, n: [int(i) for i in np.flatnonzero(toxic == y)[:n]]
+    shifts = []
+    for learned in ([], of(1, 400) + of(0, 800)):  # half of the toxic rows, a ninth of the others
+        network = toxicity._begin([rng.integers(0, toxicity.BUCKETS, (9, 3)) for _ in range(2)], np.array([0, 1]), rng)
+        toxicity.calibrate(network, found, labels, learned)
+        shifts.append(network.language_shift["xx"])
+    middle = np.log(toxicity.DECISION / (1 - toxicity.DECISION))
+    free = {r.doc_id for r in labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) != 2).collect()}
+    x, y = np.array([logit[i] for i in sorted(free)]), np.array([toxic[i] for i in sorted(free)])
+    f1 = lambda t: 2 * (y & (x >= t)).sum() / (y.sum() + (x >= t).sum())
+    best = max(map(f1, x))
+    assert f1(shifts[0] + middle) >= best - 0.005 and f1(shifts[1] + middle) >= best - 0.02
+
+
 def test_scores_dont_depend_on_the_batch():
     rng = np.random.default_rng(0)
     network = toxicity._begin([rng.integers(0, toxicity.BUCKETS, (50, 3)) for _ in range(6)], np.array([0, 1] * 3), rng)
