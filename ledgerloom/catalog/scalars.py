@@ -54,6 +54,7 @@ def blobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 sql("num_funcs", "FN-NUM", "SELECT event_id, abs(value - 50) AS a, CAST(sign(value - 50) AS DOUBLE) AS s, round(value, 1) AS r FROM events WHERE event_id % 3 = 0")
+sql("num_funcs_all", "FN-NUM", "SELECT event_id, abs(value - 50) AS a, CAST(sign(value - 50) AS DOUBLE) AS s, round(value, 1) AS r FROM events")
 
 
 @query("num_minmax", "FN-NUM", "SELECT o_orderkey, CASE WHEN nullif(o_custkey % 5, 0) IS NULL THEN NULL ELSE greatest(o_custkey % 5, 2) END AS mx, CASE WHEN nullif(o_custkey % 5, 0) IS NULL THEN NULL ELSE least(o_custkey % 5, 2) END AS mn, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_orderkey // (o_custkey % 5) END AS q FROM orders")
