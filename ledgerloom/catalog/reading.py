@@ -74,6 +74,11 @@ SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN (SELECT CAST(c_custkey AS ST
 ON CAST(c.code AS BIGINT) = o.o_custkey WHERE o.o_orderkey % 50 = 0""", """
 SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN (SELECT CAST(c_custkey AS VARCHAR) AS code, c_custkey FROM customer) c
 ON CAST(c.code AS BIGINT) = o.o_custkey WHERE o.o_orderkey % 50 = 0""")
+sql("affinity_join_all", "PRJ-22 JN-10", """
+SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN (SELECT CAST(c_custkey AS STRING) AS code, c_custkey FROM customer) c
+ON CAST(c.code AS BIGINT) = o.o_custkey""", """
+SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN (SELECT CAST(c_custkey AS VARCHAR) AS code, c_custkey FROM customer) c
+ON CAST(c.code AS BIGINT) = o.o_custkey""")
 
 
 @query("explain_plan", "PRJ-26")

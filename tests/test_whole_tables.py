@@ -14,3 +14,7 @@ def rows_of(table):
 
 def test_num_funcs_all(spark):
     assert all_queries()["num_funcs_all"].run(spark, FOLDER).count() == rows_of("events")
+
+
+def test_affinity_join_all(spark):
+    assert all_queries()["affinity_join_all"].run(spark, FOLDER).count() == rows_of("orders")
