@@ -19,6 +19,11 @@ def str_case_length(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", scalars.ascii_lower(t).isNotNull().alias("ok"), F.char_length(t).alias("chars"), F.octet_length(t).alias("bytes"), scalars.ascii_lower(F.substring(t, 1, 20)).alias("low"))
 
 
+@query("str_lower_all", "FN-STR", "SELECT doc_id, sha256(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS low FROM documents")
+def str_lower_all(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", F.sha2(scalars.ascii_lower(F.col("text")), 256).alias("low"))
+
+
 sql("str_parts", "FN-STR", "SELECT c_custkey, substr(c_name, 3, 5) AS part, instr(c_name, '0') AS at, replace(c_name, 'C', 'K') AS swapped, trim('  ' || c_mktsegment || ' ') AS t, ltrim('  x') AS l, rtrim('x  ') AS r, concat_ws('-', c_name, nullif(c_mktsegment, 'BUILDING'), 'z') AS joined FROM customer")
 
 

@@ -18,3 +18,7 @@ def test_num_funcs_all(spark):
 
 def test_affinity_join_all(spark):
     assert all_queries()["affinity_join_all"].run(spark, FOLDER).count() == rows_of("orders")
+
+
+def test_str_lower_all(spark):
+    assert all_queries()["str_lower_all"].run(spark, FOLDER).count() == rows_of("documents")
