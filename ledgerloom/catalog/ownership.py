@@ -110,12 +110,23 @@ def last_admin_rule(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 100 = 1 UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 100 = 1
 UNION ALL SELECT 'lineitem', CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 100 = 1)""")
 def fk_closure(spark: SparkSession, d: str) -> DataFrame:
-    roots = read_table(spark, d, "customer").where("c_custkey % 100 = 1").select(F.lit("customer").alias("tbl"), F.col("c_custkey").cast("string").alias("key"))
+    return _closure(spark, d, read_table(spark, d, "customer").where("c_custkey % 100 = 1"))
+
+
+def _closure(spark: SparkSession, d: str, customers: DataFrame) -> DataFrame:
+    roots = customers.select(F.lit("customer").alias("tbl"), F.col("c_custkey").cast("string").alias("key"))
     orders = read_table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("parent_key"), F.col("o_orderkey").cast("string").alias("child_key"))
     lines = read_table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("parent_key"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("child_key"))
     return recursion.dependency_closure(roots, [("customer", "orders", orders), ("orders", "lineitem", lines)])
 
 
+@query("fk_closure_all", "JN-11 OW-10", """
+SELECT 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS key FROM customer UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'lineitem', CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer))""")
+def fk_closure_all(spark: SparkSession, d: str) -> DataFrame:
+    return _closure(spark, d, read_table(spark, d, "customer"))
+
+
 @query("fk_topological", "JN-12 OW-18", "SELECT true AS parents_first, 1 AS problems")
 def fk_topological(spark: SparkSession, d: str) -> DataFrame:
     order = recursion.parents_first({t: [p for _, p, _ in FOREIGN_KEYS.get(t, ())] for t in TABLES})
@@ -127,8 +138,8 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_key"), F.col("o_custkey").cast("string").alias("owner"), F.col("o_orderstatus").alias("content"))
 
 
-def _scope(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "orders").where("o_custkey % 10 = 1").select(F.col("o_custkey").alias("offer_id"), F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_key"))
+def _scope(spark: SparkSession, d: str, owners: str = "o_custkey % 10 = 1") -> DataFrame:
+    return read_table(spark, d, "orders").where(owners).select(F.col("o_custkey").alias("offer_id"), F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_key"))
 
 
 _DIGEST = "SELECT o_custkey AS offer_id, sha256(string_agg('orders|' || o_orderkey || '|' || o_orderstatus, chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))) AS digest FROM orders WHERE o_custkey % 10 = 1 GROUP BY o_custkey"
@@ -139,8 +150,13 @@ def transfer_digest(spark: SparkSession, d: str) -> DataFrame:
     return own.scope_digest(_rows(spark, d), _scope(spark, d))
 
 
-def _offers(spark: SparkSession, d: str) -> DataFrame:
-    made = own.scope_digest(_rows(spark, d), _scope(spark, d))
+@query("transfer_digest_all", "OW-10 AG-16 ST-06", _DIGEST.replace(" WHERE o_custkey % 10 = 1", ""))
+def transfer_digest_all(spark: SparkSession, d: str) -> DataFrame:
+    return own.scope_digest(_rows(spark, d), _scope(spark, d, "true"))
+
+
+def _offers(spark: SparkSession, d: str, *owners: str) -> DataFrame:
+    made = own.scope_digest(_rows(spark, d), _scope(spark, d, *owners))
     k = F.col("offer_id")
     return made.select(k, F.lit("orders").alias("tbl"), F.lit(None).cast("string").alias("row_key"), k.cast("string").alias("from_owner"), (k + 1).cast("string").alias("to_owner"), F.when(k % 3 == 0, "-").otherwise(F.col("digest")).alias("scope_digest"), F.when(k % 4 == 0, "closed").otherwise("open").alias("state"))
 
@@ -148,11 +164,11 @@ def _offers(spark: SparkSession, d: str) -> DataFrame:
 _ACCEPTED = "SELECT offer_id, CASE WHEN offer_id % 4 = 0 THEN 'platform:offer_closed' WHEN offer_id % 7 = 0 THEN 'platform:not_addressee' WHEN offer_id % 3 = 0 THEN 'platform:offer_stale' ELSE 'accepted' END AS outcome FROM (SELECT DISTINCT o_custkey AS offer_id FROM orders WHERE o_custkey % 10 = 1)"
 
 
-def _accepted(spark: SparkSession, d: str) -> DataFrame:
-    offers = _offers(spark, d)
+def _accepted(spark: SparkSession, d: str, *owners: str) -> DataFrame:
+    offers = _offers(spark, d, *owners)
     k = F.col("offer_id")
     accepts = offers.select(k, F.when(k % 7 == 0, "nobody").otherwise(F.col("to_owner")).alias("actor"))
-    return own.accept_transfers(offers, own.scope_digest(_rows(spark, d), _scope(spark, d)), accepts)
+    return own.accept_transfers(offers, own.scope_digest(_rows(spark, d), _scope(spark, d, *owners)), accepts)
 
 
 @query("transfer_accept", "OW-10", _ACCEPTED)
@@ -160,6 +176,11 @@ def transfer_accept(spark: SparkSession, d: str) -> DataFrame:
     return _accepted(spark, d)
 
 
+@query("transfer_accept_all", "OW-10", _ACCEPTED.replace(" WHERE o_custkey % 10 = 1", ""))
+def transfer_accept_all(spark: SparkSession, d: str) -> DataFrame:
+    return _accepted(spark, d, "true")
+
+
 @query("transfer_apply", "OW-11 OW-12", f"SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN a.outcome = 'accepted' THEN CAST(o_custkey + 1 AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS owner FROM orders LEFT JOIN ({_ACCEPTED}) a ON a.offer_id = o_custkey")
 def transfer_apply(spark: SparkSession, d: str) -> DataFrame:
     return own.apply_transfers(_rows(spark, d), _scope(spark, d), _accepted(spark, d), _offers(spark, d)).select("row_key", "owner")
@@ -171,6 +192,12 @@ def transfer_completeness(spark: SparkSession, d: str) -> DataFrame:
     return own.incomplete_transfers(scope.where("cast(row_key as long) % 6 <> 0"), scope).select("offer_id", "row_key")
 
 
+@query("transfer_completeness_all", "OW-12", "SELECT o_custkey AS offer_id, CAST(o_orderkey AS VARCHAR) AS row_key FROM orders WHERE o_orderkey % 6 = 0")
+def transfer_completeness_all(spark: SparkSession, d: str) -> DataFrame:
+    scope = _scope(spark, d, "true")
+    return own.incomplete_transfers(scope.where("cast(row_key as long) % 6 <> 0"), scope).select("offer_id", "row_key")
+
+
 @query("lifecycle_invalidation", "OW-13", "SELECT 'grant' AS kind, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 9 <> 0 AND c_custkey % 5 = 0")
 def lifecycle_invalidation(spark: SparkSession, d: str) -> DataFrame:
     grants = _grants(spark, d).withColumn("row_key", F.col("grant_id").cast("string"))

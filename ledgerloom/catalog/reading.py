@@ -153,6 +153,13 @@ def seed_rows(spark: SparkSession, d: str) -> DataFrame:
     return tables.seed_rows(part, brands, owner_key="p_brand").select("p_partkey", "p_brand", "owner")
 
 
+@query("seed_rows_all", "SRC-21", "SELECT s_suppkey, s_nationkey, CAST(dense_rank() OVER (ORDER BY s_nationkey) AS INTEGER) AS owner FROM supplier")
+def seed_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    supplier = read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    nations = supplier.select(F.col("s_nationkey").alias("key")).distinct().withColumn("id", F.dense_rank().over(Window.orderBy("key")))  # 25 nations
+    return tables.seed_rows(supplier, nations, owner_key="s_nationkey").select("s_suppkey", "s_nationkey", "owner")
+
+
 sql("view_scan", "SRC-14", "SELECT n_name, r_name FROM (SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey) v WHERE r_name <> 'ASIA'")
 
 # Joins.

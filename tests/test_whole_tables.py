@@ -22,3 +22,17 @@ def test_affinity_join_all(spark):
 
 def test_str_lower_all(spark):
     assert all_queries()["str_lower_all"].run(spark, FOLDER).count() == rows_of("documents")
+
+
+def test_seed_rows_all(spark):
+    assert all_queries()["seed_rows_all"].run(spark, FOLDER).count() == rows_of("supplier")
+
+
+def test_fk_closure_all(spark):
+    lines = duckdb.sql(f"select count(*) from (select distinct l_orderkey, l_linenumber from '{FOLDER}/lineitem.parquet')").fetchall()[0][0]
+    assert all_queries()["fk_closure_all"].run(spark, FOLDER).count() == rows_of("customer") + rows_of("orders") + lines
+
+
+@pytest.mark.parametrize("name", ["transfer_digest_all", "transfer_accept_all"])
+def test_transfers_of_all_owners(spark, name):
+    assert all_queries()[name].run(spark, FOLDER).count() == duckdb.sql(f"select count(distinct o_custkey) from '{FOLDER}/orders.parquet'").fetchall()[0][0]
