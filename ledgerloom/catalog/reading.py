@@ -264,6 +264,8 @@ sql("ext_asof_join", "JN-15", "SELECT event_id, max(CASE WHEN event_type = 'purc
 
 sql("order_by", "ST-01 ST-02 ST-03", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY 2 DESC NULLS LAST, o_totalprice + 1, 1 LIMIT 50")
 sql("limit_offset", "ST-04", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 30")
+sql("order_by_all", "ST-01 ST-02 ST-03", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY 2 DESC NULLS LAST, o_totalprice + 1, 1")
+sql("bytewise_sort_all", "ST-06", "SELECT c_name FROM customer ORDER BY c_mktsegment, c_name")
 sql("topk", "ST-04 ST-05", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 sql("bytewise_sort", "ST-06", "SELECT c_name FROM customer ORDER BY c_mktsegment, c_name LIMIT 25")
 sql("union_all", "SO-01", "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region")

@@ -36,3 +36,12 @@ def test_fk_closure_all(spark):
 @pytest.mark.parametrize("name", ["transfer_digest_all", "transfer_accept_all"])
 def test_transfers_of_all_owners(spark, name):
     assert all_queries()[name].run(spark, FOLDER).count() == duckdb.sql(f"select count(distinct o_custkey) from '{FOLDER}/orders.parquet'").fetchall()[0][0]
+
+
+@pytest.mark.parametrize(("name", "table"), [("order_by_all", "orders"), ("bytewise_sort_all", "customer")])
+def test_whole_order(spark, name, table):
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    q = all_queries()[name]
+    got = [tuple(r) for r in q.run(spark, FOLDER).collect()]
+    assert len(got) == rows_of(table) and got == con.execute(q.oracle).fetchall()
