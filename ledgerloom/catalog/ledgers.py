@@ -119,15 +119,19 @@ def ledger_checkpoint_plan(spark: SparkSession, d: str) -> DataFrame:
 @query("ledger_final_prefix", "LG-10 LG-12 LG-13 LG-14 LG-19 LG-20 SRC-15 SM-11", "SELECT 100 AS final_rows, true AS refused, true AS leased, true AS blocked, true AS unavailable, 2 AS revisions_seen")
 def ledger_final_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Publishes, finalizes, is refused a change of the final prefix, and reads a leased older revision."""
-    whole = programs(spark, d).where("idx <= 400")
+    whole = programs(spark, d)
+    n = whole.count()
+    half, quarter = n // 2, n // 4
     m = replay.Materializer(spark, SnapshotStore(spark), every=100)
-    m.materialize(whole.where("idx <= 200"))
+    m.materialize(whole.where(F.col("idx") <= half))
     lease = m.store.capture()
     m.finalize(100)
+    final_rows = m.final_log().count()
     second = m.materialize(whole)
+    m.finalize(max(100, quarter))
     refused = blocked = unavailable = False
     try:
-        m.materialize(history.with_index(whole.where("idx <> 50").drop("idx")).select(*whole.columns))
+        m.materialize(history.with_index(whole.where(F.col("idx") != max(50, quarter // 2)).drop("idx")).select(*whole.columns))
     except replay.ProtectedPrefix:
         refused = True
     try:
@@ -138,9 +142,9 @@ def ledger_final_prefix(spark: SparkSession, d: str) -> DataFrame:
         m.store.read("log", 999)
     except LookupError:
         unavailable = True
-    leased = m.store.leased(lease, "log").count() == 200 and second.replayed == 200
+    leased = m.store.leased(lease, "log").count() == half and second.replayed == n - half
     m.store.release(lease)
-    return spark.createDataFrame([(m.final_log().count(), refused, leased, blocked, unavailable, second.number)], "final_rows int, refused boolean, leased boolean, blocked boolean, unavailable boolean, revisions_seen int")
+    return spark.createDataFrame([(final_rows, refused, leased, blocked, unavailable, second.number)], "final_rows int, refused boolean, leased boolean, blocked boolean, unavailable boolean, revisions_seen int")
 
 
 @query("ledger_emit_only", "LG-18", f"SELECT tx_id, 'rejected' AS outcome, 'profile:sql-disabled' AS rejection_code FROM ({_LEDGER})")

@@ -45,3 +45,16 @@ def test_whole_order(spark, name, table):
     q = all_queries()[name]
     got = [tuple(r) for r in q.run(spark, FOLDER).collect()]
     assert len(got) == rows_of(table) and got == con.execute(q.oracle).fetchall()
+
+
+def test_ledger_queries_meet_the_whole_ledger(spark, monkeypatch):
+    from ledgerloom.catalog import ledgers
+    from ledgerloom.ledger import replay
+    from ledgerloom.streaming import events
+
+    n, seen, paged = ledgers.ledger(spark, FOLDER).count(), [], []
+    make, page = replay.Materializer._publish, events.page
+    monkeypatch.setattr(replay.Materializer, "_publish", lambda self, length, *a: seen.append(length) or make(self, length, *a))
+    monkeypatch.setattr(events, "page", lambda flat, log, **k: paged.append(log.count()) or page(flat, log, **k))
+    assert all_queries()["ledger_final_prefix"].run(spark, FOLDER).head().refused and seen == [0, n // 2, n]
+    assert all_queries()["event_cursor_checks"].run(spark, FOLDER).head().moved and set(paged) == {n}
