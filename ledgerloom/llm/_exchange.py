@@ -65,6 +65,39 @@ def scatter(bucket: np.ndarray, columns: Sequence[np.ndarray], kind: int = 0) ->
     return pa.RecordBatch.from_arrays([pa.array(sorted_[edge], pa.int32()), pa.array(np.full(len(edge), kind), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
 
+def pack_texts(columns: Sequence[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Arrays of one length and a text for each of their rows, compressed together."""
+    n = len(starts)
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in (*columns, lengths.astype(np.int32))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(n).tobytes(), *planes, data[span_places(starts, lengths)].tobytes()]))
+
+
+def unpack_texts(blob: bytes, kinds: Sequence) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(columns, bytes, offsets) of a blob of ``pack_texts``."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for kind in (*kinds, np.int32):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out[:-1], np.frombuffer(raw, np.uint8, offset=at), np.concatenate([[0], np.cumsum(out[-1], dtype=np.int64)])
+
+
+def span_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], ..., starts[i] + lengths[i] - 1 for all i."""
+    lengths = lengths.astype(np.int64)
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def scatter_texts(bucket: np.ndarray, columns: Sequence[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kind: int = 0) -> pa.RecordBatch:
+    """One row for each bucket that occurs, with texts."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    blobs = [pack_texts([c[own] for c in columns], data, starts[own], lengths[own]) for own in np.split(order, edge[1:])] if len(bucket) else []
+    return pa.RecordBatch.from_arrays([pa.array(sorted_[edge], pa.int32()), pa.array(np.full(len(edge), kind), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rest: bool = False) -> DataFrame:
     """(doc_id, tie, text): doc_id with LAST_ID for null; tie tells rows of one doc_id apart, by their texts' order.
 

@@ -1,24 +1,30 @@
 """Line dedup (op 5): an exact set-similarity join of lines, which removes later matches.
 
-A line's set is that of its distinct words.  A line of ``min_words`` words or more (the query: 1) goes if an earlier line of the corpus (smaller
-doc_id, or same document, smaller line number) has a set of Jaccard similarity ``THRESHOLD`` or more, whether or not that line
-goes itself.  The join is a prefix filter: words are ordered by rarity, and two similar sets share one of their first
-``size - ceil(t * size) + 1`` words.  Rarity comes from counts of hashed words, an array of ``SKETCH`` numbers whatever the corpus;
-any order gives the same result, so collisions only cost time.
+A line's set is that of its distinct words.  A line with a word goes if an earlier line of the corpus (smaller doc_id, or same document,
+smaller line number) has a set of Jaccard similarity ``THRESHOLD`` or more, whether or not that line goes itself.
+
+Equal sets are collapsed first: lines meet by a digest of their sets, in a batch and then by bucket, the earliest is the set's leader,
+and a line whose text, or whose words if the texts differ, is found to equal the leader's goes.  A line that shares a digest with another
+set stays a leader of its own.  A copy's leader decides for it, so only leaders go on, each with its text.
 
-Postings meet by word.  Equal sets (by a digest of 64 bits, with size and parities) collapse to the earliest, and the
-copies go.  For the others the length and positional filters apply, then a filter by parities (the bits in which
+The join of leaders is a prefix filter: words are ordered by rarity, and two similar sets share one of their first
+``size - ceil(t * size) + 1`` words.  Rarity comes from counts of hashed words, an array of ``SKETCH`` numbers whatever the corpus;
+any order gives the same result, so collisions only cost time.  Sets too small to be similar to any but themselves have no postings.
+Postings meet by word.  The length and positional filters apply, then a filter by parities (the bits in which
 two sets' hashed parities differ never outnumber the words in which they differ).  What passes is verified on whole
 word sets.  A later line takes the partners of a word whose parities differ least: ``FIRST`` if the nearest differs by less
 than half of what is allowed, ``UNSURE`` times as many if it doesn't.  If none of them verifies though it had more, the join is
 repeated for such lines with all of their partners.
 
-Defined results: null and empty texts have no lines to remove; rows of one doc_id are ordered by their texts, equal rows
-each count; a null doc_id is the last one; extra columns are ignored; an empty table gives none.
+Defined results: null and empty texts have no lines to remove; very long texts, and very long lines, are read whole; equal lines of one
+document keep the first; rows of one doc_id are ordered by their texts, equal rows each count; a null doc_id is the last one; extra columns,
+whatever their names, are ignored or kept as they are; an empty table gives none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,16 +34,21 @@ from ledgerloom.llm import _arrays as A
 from ledgerloom.llm import _exchange as X
 from ledgerloom.llm._spark import LAST_ID, cut
 
-#: The threshold as a fraction, the least number of words of a line, the sketch's counters, and partners kept at first.
-THRESHOLD, MIN_WORDS, SKETCH, FIRST, UNSURE = (4, 5), 5, 1 << 20, 2, 6
+#: The threshold as a fraction, the sketch's counters, and partners kept at first.
+THRESHOLD, SKETCH, FIRST, UNSURE = (4, 5), 1 << 20, 2, 6
 #: From so many words on, a line has 128 parities, else 64; a word's group of more lines is joined pivot by pivot.
 LONG_LINE, LARGE_GROUP = 96, 1500
 #: Words that a repeated join may tell all tasks about; if there are more of them, it goes through all postings.
 TOLD_WORDS = 2_000_000
 
-_POSTING = (np.uint32, np.uint64, np.uint64, np.int32, np.int32, np.int64, np.int64, np.int32)  # word, digest (48 bits), parity, size, position, doc_id, tie, line
+_POSTING = (np.uint32, np.uint64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32)  # word, parity, size, position, doc_id, tie, line, home bucket
 _WIDE = (np.uint64,)  # of long lines: one of two words of their parities
-PAIR = "x_doc long, x_tie long, x_line int, y_doc long, y_tie long, y_line int, equal boolean, more boolean"
+_LEADER = (np.uint64, np.uint64, np.int64, np.int64, np.int32)  # digest (128 bits), doc_id, tie, line
+_LINE = (np.int64, np.int64, np.int32)  # doc_id, tie, line
+LEADERS, COPIES, ASKED = 1, 2, 3  # kinds of blobs
+#: Bytes of lines that travel together.
+LEADER_BYTES = 4 << 20
+PAIR = "x_doc long, x_tie long, x_line int, x_home int, y_doc long, y_tie long, y_line int, y_home int, more boolean"
 
 
 def _codes(h: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
@@ -46,31 +57,30 @@ def _codes(h: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
     return code if weight is None else (code >> np.uint64(7)) | (weight[h & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(28))
 
 
-def line_words(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(document, line number) of each line with enough words, then (row of its line, hash) of each of their words."""
+def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, line number, start, end) of each line with a word, then (row of its line, hash) of each of their words."""
     ls, le, lfirst = A.lines(data, offsets)
     starts, ends, _ = A.words(data, offsets)
     own = np.searchsorted(starts, ls)
     n_words = np.searchsorted(starts, le) - own
-    chosen = np.flatnonzero(n_words >= min_words)
+    chosen = np.flatnonzero(n_words > 0)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(lfirst))[chosen]
     row = np.repeat(np.arange(len(chosen)), n_words[chosen])
     at = np.arange(len(row)) + np.repeat(own[chosen] - np.cumsum(n_words[chosen]) + n_words[chosen], n_words[chosen])
-    return doc, (chosen - lfirst[doc]).astype(np.int32), row, A.span_hashes(data, starts[at], ends[at])
+    return doc, (chosen - lfirst[doc]).astype(np.int32), ls[chosen], le[chosen], row, A.span_hashes(data, starts[at], ends[at])
+
+
+def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each word of texts."""
+    starts, ends, first = A.words(data, offsets)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(first)), A.span_hashes(data, starts, ends)
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray, min_words: int, weight: np.ndarray | None = None, told: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(document, line number, first word) of each line with enough words, then the distinct words of line after line.
+def distinct_words(n: int, row: np.ndarray, h: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each of n lines, their distinct words, line after line) of the words (row of its line, hash).
 
     The order of a line's words is the same total order for all lines: by ``weight`` of the hash's bucket, then by hash.
-    With ``told``, ascending hashes, only lines that have one of them.
     """
-    doc, line, row, h = line_words(data, offsets, min_words)
-    if told is not None:
-        kept = np.zeros(len(doc), bool)
-        kept[row[told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h]] = True
-        place, own = np.cumsum(kept) - 1, kept[row]
-        doc, line, row, h = doc[kept], line[kept], place[row[own]], h[own]
     code = _codes(h, weight)
     key = (row.astype(np.uint64) << np.uint64(35)) | code
     order = np.argsort(key)
@@ -82,20 +92,91 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, min_words: int, weight: np.
     row = row[order]
     new = np.concatenate([[True], (sorted_[1:] != sorted_[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, bool)
     row, h = row[new], sorted_[new]
-    return doc, line, np.searchsorted(row, np.arange(len(doc) + 1)), h
+    return np.searchsorted(row, np.arange(n + 1)), h
+
+
+def _digests(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set; the order of its words doesn't matter."""
+    return tuple(A.mix(np.add.reduceat(A.mix(h * np.uint64(2 * c + 1) + np.uint64(c + 11)), first[:-1])) if len(first) > 1 else np.zeros(0, np.uint64) for c in range(2))
+
+
+def settle(d0: np.ndarray, d1: np.ndarray, place: Sequence[np.ndarray], text: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(leaders, copies): rows of the lines (digest, place in the corpus), each copy found equal to its leader."""
+    order = np.lexsort((*reversed(place), d1, d0))
+    a, b = d0[order], d1[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else new
+    more: dict[int, list[tuple[frozenset, int]]] = {}  # digests of several sets
+    for i in np.flatnonzero(~new).tolist():
+        own, first = text(order[i]), text(order[lead[i]])
+        if own == first or (words := frozenset(own.split())) == frozenset(first.split()):
+            continue
+        if not any(words == w for w, _ in more.setdefault(int(lead[i]), [])):
+            more[int(lead[i])].append((words, i))
+            new[i] = True
+    return np.sort(order[new]), np.sort(order[~new])
+
+
+def _blobs_of_lines(bucket: np.ndarray, columns: Sequence[np.ndarray], kind: int) -> pa.RecordBatch:
+    return X.scatter(bucket.astype(np.int32), columns, kind)
+
+
+def collapsed(docs: DataFrame, n: int) -> DataFrame:
+    """Blobs of the leaders, with their texts, by bucket of their digest, and of the copies, of ``numbered`` documents."""
+
+    def send(ids, ties, data, offsets):
+        doc, line, start, end, row, h = line_words(data, offsets)
+        if not len(doc):
+            return
+        d0, d1 = _digests(*distinct_words(len(doc), row, h))
+        place = [ids[doc], ties[doc], line]
+        lead, copies = settle(d0, d1, place, lambda i: data[start[i] : end[i]].tobytes())
+        yield X.scatter_texts((d0[lead] % np.uint64(n)).astype(np.int32), [c[lead] for c in (d0, d1, *place)], data, start[lead], end[lead] - start[lead], LEADERS)
+        if len(copies):
+            yield _blobs_of_lines(d0[copies] % np.uint64(n), [c[copies] for c in place], COPIES)
+
+    def meet(bucket, found):
+        for blob in found.get(COPIES, []):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([COPIES], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
+        if LEADERS not in found:
+            return
+        parts = [X.unpack_texts(b, _LEADER) for b in found[LEADERS]]
+        d0, d1, *place = (np.concatenate([p[0][i] for p in parts]) for i in range(len(_LEADER)))
+        data, offsets = np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+        del parts
+        lead, copies = settle(d0, d1, place, lambda i: data[offsets[i] : offsets[i + 1]].tobytes())
+        if len(copies):
+            yield _blobs_of_lines(np.full(len(copies), bucket), [c[copies] for c in place], COPIES)
+        lead = lead[np.lexsort([c[lead] for c in reversed(place)])]
+        size = offsets[lead + 1] - offsets[lead]
+        for own in np.split(lead, np.flatnonzero(np.diff(np.cumsum(size) // LEADER_BYTES)) + 1):
+            yield X.scatter_texts(np.full(len(own), bucket, np.int32), [c[own] for c in place], data, offsets[own], offsets[own + 1] - offsets[own], LEADERS)
+
+    return cut(X.by_bucket(X.over_pieces(docs, send, X.BLOBS), meet, X.BLOBS))
+
+
+def _over_leaders(lines: DataFrame, work: Callable[..., Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work(bucket, places, data, offsets) on each blob of leaders."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from work(bucket, *X.unpack_texts(blob.as_py(), _LINE))
+            A.release()
+
+    return lines.where(F.col("kind") == LEADERS).select("bucket", "blob").mapInArrow(run, schema)
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often the words of each hash bucket occur; SKETCH counters, summed by block of counters."""
+def word_counts(lines: DataFrame) -> np.ndarray:
+    """How often the leaders' words of each hash bucket occur; SKETCH counters, summed by block of counters."""
     block = 1 << 12
 
     def count(batches):
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            data, offsets = A.string_buffers(batch.column(0))
-            for _, _, d, o in A.pieces(data, offsets):
-                starts, ends, _ = A.words(d, o)
-                np.add.at(total, A.span_hashes(d, starts, ends) & np.uint64(SKETCH - 1), 1)
+            for blob in batch.column(0):
+                _, h = word_rows(*X.unpack_texts(blob.as_py(), _LINE)[1:])
+                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         parts = total.reshape(-1, block)
         full = np.flatnonzero(parts.any(1))
         A.release()
@@ -106,7 +187,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([0], pa.int32()), pa.array([X.pack([total])], pa.binary())], names=["bucket", "kind", "blob"])
 
     out = np.zeros((SKETCH // block, block), np.int64)
-    for r in X.by_bucket(docs.select("text").mapInArrow(count, X.BLOBS), add, X.BLOBS).collect():  # SKETCH / block rows at most
+    for r in X.by_bucket(lines.where(F.col("kind") == LEADERS).select("blob").mapInArrow(count, X.BLOBS), add, X.BLOBS).collect():  # SKETCH / block rows at most
         out[r.bucket] = X.unpack(bytes(r.blob), [np.int64])[0]
     return out.reshape(-1)
 
@@ -136,35 +217,41 @@ def _parities(bit: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where(plane == k, place, np.uint64(0)), first[:-1]) for k in range(2)]
 
 
-def _postings(docs: DataFrame, counts: np.ndarray, n: int, t: tuple[int, int], min_words: int) -> DataFrame:
-    """Blobs of the lines' first words by word bucket."""
-    shared = docs.sparkSession.sparkContext.broadcast(_weights(counts))  # SKETCH bytes
+def _smallest(t: tuple[int, int]) -> int:
+    """The least size of a set that can be similar to another one: t of the size + 1 is the size or less."""
+    return -(-t[0] // (t[1] - t[0]))
 
-    def run(ids, ties, data, offsets):
-        doc, line, first, h = line_sets(data, offsets, min_words, shared.value)
+
+def _postings(lines: DataFrame, counts: np.ndarray, n: int, t: tuple[int, int]) -> DataFrame:
+    """Blobs of the leaders' first words by word bucket."""
+    shared = lines.sparkSession.sparkContext.broadcast(_weights(counts))  # SKETCH bytes
+    least = _smallest(t)
+
+    def run(home, place, data, offsets):
+        first, h = distinct_words(len(offsets) - 1, *word_rows(data, offsets), shared.value)
         if not len(h):
             return
         size = np.diff(first)
         row = np.repeat(np.arange(len(size)), size)
         bit = A.mix(h)
         halves = _parities(bit, first)
-        digest = A.mix(np.add.reduceat(A.mix(bit + np.uint64(11)), first[:-1])) >> np.uint64(16)
         position = np.arange(len(h)) - first[row]
-        taken = np.flatnonzero(position < _prefix_length(size, t)[row])
+        taken = np.flatnonzero((position < _prefix_length(size, t)[row]) & (size[row] >= least))
         own = row[taken]
         bucket = (bit[taken] % np.uint64(n)).astype(np.int32)
         wide = size[own] >= LONG_LINE
-        columns = [(h[taken] >> np.uint64(32)).astype(np.uint32), digest[own], (halves[0] ^ halves[1])[own], size[own].astype(np.int32), position[taken].astype(np.int32), ids[doc[own]], ties[doc[own]], line[own]]
+        columns = [(h[taken] >> np.uint64(32)).astype(np.uint32), (halves[0] ^ halves[1])[own], size[own].astype(np.int32), position[taken].astype(np.int32), *(c[own] for c in place), np.full(len(own), home, np.int32)]
         yield X.scatter(bucket[~wide], [c[~wide] for c in columns], 0)
-        yield X.scatter(bucket[wide], [*(c[wide] for c in columns), halves[0][own[wide]]], 1)
+        if wide.any():
+            yield X.scatter(bucket[wide], [*(c[wide] for c in columns), halves[0][own[wide]]], 1)
 
-    return X.over_pieces(docs, run, X.BLOBS)
+    return _over_leaders(lines, run, X.BLOBS)
 
 
 _ROW = "word long, doc long, tie long, line int, parity long, words array<bigint>"
 
 
-def _prefix_rows(ids, ties, doc, line, first, h, t, told) -> pa.RecordBatch:
+def _prefix_rows(place, first, h, t, told) -> pa.RecordBatch:
     """A row with the whole set for each of the lines' first words, or for those of them that are in ``told``."""
     size = np.diff(first)
     row = np.repeat(np.arange(len(size)), size)
@@ -174,14 +261,14 @@ def _prefix_rows(ids, ties, doc, line, first, h, t, told) -> pa.RecordBatch:
     own = row[taken]
     halves = _parities(A.mix(h), first)
     sets = pa.array([h[first[i] : first[i + 1]].view(np.int64) for i in own], pa.list_(pa.int64()))
-    arrays = [pa.array(h[taken].view(np.int64)), pa.array(ids[doc[own]], pa.int64()), pa.array(ties[doc[own]], pa.int64()), pa.array(line[own], pa.int32()), pa.array((halves[0] ^ halves[1])[own].view(np.int64)), sets]
+    arrays = [pa.array(h[taken].view(np.int64)), *(pa.array(c[own], k) for c, k in zip(place, (pa.int64(), pa.int64(), pa.int32()), strict=True)), pa.array((halves[0] ^ halves[1])[own].view(np.int64)), sets]
     return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _ROW.split(", ")])
 
 
-def _joined_whole(docs: DataFrame, sets: DataFrame, counts: np.ndarray, t: tuple[int, int], min_words: int) -> DataFrame:
+def _joined_whole(lines: DataFrame, sets: DataFrame, counts: np.ndarray, t: tuple[int, int]) -> DataFrame:
     """(y_doc, y_tie, y_line) of those lines of ``sets`` that have any similar earlier line at all.
 
-    The lines' first words are told to all tasks if they are few; each task then sends the lines that have one of them among their
+    The lines' first words are told to all tasks if they are few; each task then sends the leaders that have one of them among their
     own first words, with their sets, and a join by word verifies.
     """
     weights = _weights(counts)
@@ -195,20 +282,24 @@ def _joined_whole(docs: DataFrame, sets: DataFrame, counts: np.ndarray, t: tuple
             h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             row = np.repeat(np.arange(len(size)), size)
             h = h[np.lexsort((h, _codes(h, weights), row))]
-            ids, ties, line = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            yield _prefix_rows(ids, ties, np.arange(len(size)), line, np.append(0, np.cumsum(size)), h, t, None)
+            yield _prefix_rows([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], np.append(0, np.cumsum(size)), h, t, None)
 
     ys = cut(sets.select("doc", "tie", "line", "words").mapInArrow(asked, _ROW))
     found = ys.select("word").distinct().limit(TOLD_WORDS + 1).toArrow().column(0).to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, np.sort(found) if 0 < len(found) <= TOLD_WORDS else None))  # SKETCH bytes, TOLD_WORDS hashes at most
+    shared = lines.sparkSession.sparkContext.broadcast((weights, np.sort(found) if 0 < len(found) <= TOLD_WORDS else None))  # SKETCH bytes, TOLD_WORDS hashes at most
 
-    def tell(ids, ties, data, offsets):
+    def tell(_, place, data, offsets):
         weights, told = shared.value
-        doc, line, first, h = line_sets(data, offsets, min_words, weights, told)
-        if len(h):
-            yield _prefix_rows(ids, ties, doc, line, first, h, t, told)
-
-    xs = X.over_pieces(docs, tell, _ROW)
+        row, h = word_rows(data, offsets)
+        rows = np.arange(len(offsets) - 1)
+        if told is not None:  # only lines that have a told word
+            rows = np.unique(row[told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h])
+            kept = np.isin(row, rows)
+            row, h = np.searchsorted(rows, row[kept]), h[kept]
+        if len(rows):
+            yield _prefix_rows([c[rows] for c in place], *distinct_words(len(rows), row, h, weights), t, told)
+
+    xs = _over_leaders(lines, tell, _ROW)
     named = lambda df, s: df.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "tie", "line", "parity", "words")))
     nx, ny, shared_words = F.size("x_words"), F.size("y_words"), F.size(F.array_intersect("x_words", "y_words"))
     earlier = F.struct("x_doc", "x_tie", "x_line") < F.struct("y_doc", "y_tie", "y_line")
@@ -235,12 +326,12 @@ def _similar_pairs(p: dict, x: np.ndarray, y: np.ndarray, t: tuple[int, int]) ->
     return at[ok], bits[ok] / np.maximum(allowed[ok], 1)
 
 
-def candidates(docs: DataFrame, counts: np.ndarray, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS, first: int = FIRST) -> DataFrame:
-    """Pairs (x earlier, y later) of lines: those of equal sets, and those that passed the filters.
+def candidates(lines: DataFrame, counts: np.ndarray, *, t: tuple[int, int] = THRESHOLD, first: int = FIRST) -> DataFrame:
+    """Pairs (x earlier, y later) of leaders that passed the filters.
 
-    Of the latter at most ``first``, or ``first * UNSURE``, for a later line and word; ``more`` if there were more.
+    At most ``first``, or ``first * UNSURE``, for a later line and word; ``more`` if there were more.
     """
-    n = X.bucket_count(docs)
+    n = X.bucket_count(lines)
 
     def join(_, found):
         narrow, wide = X.gather(found.get(0, []), _POSTING), X.gather(found.get(1, []), _POSTING + _WIDE)
@@ -253,24 +344,18 @@ def candidates(docs: DataFrame, counts: np.ndarray, *, t: tuple[int, int] = THRE
         lone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(word) else np.zeros(0, bool)
         order = np.sort(order[~lone])
         c, ref = [z[order] for z in c], ref[order]
-        simple = not len(order) or (c[5].min() >= 0 and c[5].max() < 1 << 40 and c[7].max() < 1 << 22 and not c[6].any())
-        time = np.argsort((c[5] << 22) | c[7]) if simple else np.lexsort((c[7], c[6], c[5]))
+        doc, tie, line = c[4:7]
+        simple = not len(order) or (doc.min() >= 0 and doc.max() < 1 << 40 and line.max() < 1 << 22 and not tie.any())
+        time = np.argsort((doc << 22) | line) if simple else np.lexsort((line, tie, doc))
         c, ref = [z[time] for z in c], ref[time]
         # From here on rows are in the order of the corpus.
-        order = A.stable_order(A.join2(c[0].astype(np.uint64), A.join2(c[1], c[2])))
-        word, digest, parity = c[0][order], c[1][order], c[2][order]
-        new = np.concatenate([[True], (word[1:] != word[:-1]) | (digest[1:] != digest[:-1]) | (parity[1:] != parity[:-1])]) if len(order) else np.zeros(0, bool)
-        leader = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        side = lambda i: [pa.array(c[5][i]), pa.array(c[6][i]), pa.array(c[7][i])]
-
-        def batch(x, y, equal, more):
-            return pa.RecordBatch.from_arrays([*side(x), *side(y), pa.array(equal), pa.array(more)], names=[k.split()[0] for k in PAIR.split(", ")])
-
-        copy = np.flatnonzero(~new & (c[4][order] == 0))  # a copy's first word is its leader's
-        if len(copy):
-            yield batch(leader[copy], order[copy], np.ones(len(copy), bool), np.zeros(len(copy), bool))
-        order = _by_word(c[0], np.sort(order[new]))
-        p = {"size": c[3][order].astype(np.int64), "position": c[4][order], "parity": c[2][order], "wide": ref[order], "half": wide[8]}
+        side = lambda i: [pa.array(z[i]) for z in c[4:8]]
+
+        def batch(x, y, more):
+            return pa.RecordBatch.from_arrays([*side(x), *side(y), pa.array(more)], names=[k.split()[0] for k in PAIR.split(", ")])
+
+        order = _by_word(c[0], np.arange(len(c[0])))
+        p = {"size": c[2][order].astype(np.int64), "position": c[3][order], "parity": c[1][order], "wide": ref[order], "half": wide[8]}
         word = c[0][order]
         edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(order) else np.zeros(0, np.int64)
         length = np.diff(np.append(edge, len(order)))
@@ -291,7 +376,7 @@ def candidates(docs: DataFrame, counts: np.ndarray, *, t: tuple[int, int] = THRE
                 count = np.diff(np.append(start, len(y)))
                 most = np.where(share[start] < 0.5, first, first * UNSURE)
                 chosen = np.arange(len(y)) - np.repeat(start, count) < np.repeat(most, count)
-                yield batch(order[x[chosen]], order[y[chosen]], np.zeros(chosen.sum(), bool), np.repeat(count > most, count)[chosen])
+                yield batch(order[x[chosen]], order[y[chosen]], np.repeat(count > most, count)[chosen])
         for g in np.flatnonzero(length > LARGE_GROUP):
             left = np.arange(edge[g], edge[g] + length[g])
             seen = np.zeros(length[g])
@@ -304,10 +389,10 @@ def candidates(docs: DataFrame, counts: np.ndarray, *, t: tuple[int, int] = THRE
                 if len(hit):
                     seen[hit - edge[g]] += np.where(share < 0.5, 1, 1 / UNSURE)
                     full = seen[hit - edge[g]] >= first - 1e-9
-                    yield batch(np.full(len(hit), order[pivot]), order[hit], np.zeros(len(hit), bool), full)
+                    yield batch(np.full(len(hit), order[pivot]), order[hit], full)
                     left = np.setdiff1d(left, hit[full], assume_unique=True)
 
-    return X.by_bucket(_postings(docs, counts, n, t, min_words), join, PAIR)
+    return X.by_bucket(_postings(lines, counts, n, t), join, PAIR)
 
 
 def _by_word(word: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -324,44 +409,34 @@ def _chunks(costs: np.ndarray, limit: int):
         lo = hi
 
 
-def _requests(lines: DataFrame, n: int) -> DataFrame:
-    """Lines as blobs by document bucket."""
-    def run(batches):
-        for batch in batches:
-            ids, ties, line = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if len(ids):
-                yield X.scatter(X.document_bucket(ids, n), [ids, ties, line.astype(np.int32)], 1)
-
-    return lines.mapInArrow(run, X.BLOBS)
-
-
-def _sets_of(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, tie, line, words) of the asked lines."""
-    n = X.bucket_count(docs)
+def _sets_of(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc, tie, line, words) of the asked leaders (doc, tie, line, home)."""
 
-    def work(_, sides):
-        ids, ties, line = X.gather(sides.get(1, []), (np.int64, np.int64, np.int32))
-        asked, wanted = _key(ids, ties, line), _key(ids, ties, np.zeros(len(ids)))
-
-        def tell(doc_ids, doc_ties, data, offsets):
-            rows = np.flatnonzero(np.isin(_key(doc_ids, doc_ties, np.zeros(len(doc_ids))), wanted))
-            if not len(rows):
-                return
-            own = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in rows])
-            edges = np.concatenate([[0], np.cumsum(offsets[rows + 1] - offsets[rows])])
-            doc, number, first, h = line_sets(own, edges, min_words)
-            doc = rows[doc]
-            hit = np.flatnonzero(np.isin(_key(doc_ids[doc], doc_ties[doc], number), asked))
-            sets = pa.array([h[first[j] : first[j + 1]].view(np.int64) for j in hit], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[doc[hit]]), pa.array(doc_ties[doc[hit]]), pa.array(number[hit]), sets], names=["doc", "tie", "line", "words"])
+    def ask(batches):
+        for batch in batches:
+            if batch.num_rows:
+                doc, tie, line, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                yield X.scatter(home.astype(np.int32), [doc, tie, line.astype(np.int32)], ASKED)
 
-        return tell
+    def work(_, found):
+        wanted = _key(*X.gather(found.get(ASKED, []), _LINE))
+        if not len(wanted):
+            return
+        for blob in found.get(LEADERS, []):
+            place, data, offsets = X.unpack_texts(blob, _LINE)
+            rows = np.flatnonzero(np.isin(_key(*place), wanted))
+            if len(rows):
+                length = offsets[rows + 1] - offsets[rows]
+                first, h = distinct_words(len(rows), *word_rows(data[X.span_places(offsets[rows], length)], np.concatenate([[0], np.cumsum(length)])))
+                sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in place), sets], names=["doc", "tie", "line", "words"])
 
-    return X.with_documents(docs, n, [_requests(lines, n)], work, "doc long, tie long, line int, words array<bigint>")
+    leaders = lines.where(F.col("kind") == LEADERS)
+    return X.by_bucket(leaders.unionByName(asked.select("doc", "tie", "line", "home").mapInArrow(ask, X.BLOBS)), work, "doc long, tie long, line int, words array<bigint>")
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
-    side = lambda s: pairs.select(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_tie").alias("tie"), F.col(f"{s}_line").alias("line"))
+    side = lambda s: pairs.select(*(F.col(f"{s}_{c}").alias(c) for c in ("doc", "tie", "line", "home")))
     return side("x").unionByName(side("y")).distinct()
 
 
@@ -374,26 +449,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFram
     return joined.where((t[0] + t[1]) * shared >= t[0] * total)
 
 
-def removed_lines(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS, first: int = FIRST) -> DataFrame:
+def _copies(lines: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                doc, tie, line = X.unpack(blob.as_py(), _LINE)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(line)], names=["doc", "tie", "line"])
+
+    return lines.where(F.col("kind") == COPIES).select("blob").mapInArrow(run, "doc long, tie long, line int")
+
+
+def removed_lines(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, first: int = FIRST) -> DataFrame:
     """(doc, tie, line) of the lines to remove; ``docs`` are ``numbered``."""
-    counts = word_counts(docs)
-    x, y = ["x_doc", "x_tie", "x_line"], ["y_doc", "y_tie", "y_line"]
-    pairs = cut(candidates(docs, counts, t=t, min_words=min_words, first=first))
-    near = pairs.where(~F.col("equal")).groupBy(*x, *y).agg(F.max("more").alias("more"))
-    sets = cut(_sets_of(docs, _sides(near), min_words))
-    passed = cut(_verified(near, sets, t).select(*y).distinct())
-    found = pairs.where("equal").select(*y).unionByName(passed)
-    left = cut(near.where("more").select(*y).distinct().join(passed, y, "left_anti"))
+    lines = collapsed(docs, X.bucket_count(docs))
+    counts = word_counts(lines)
+    x, y = ["x_doc", "x_tie", "x_line", "x_home"], ["y_doc", "y_tie", "y_line", "y_home"]
+    pairs = candidates(lines, counts, t=t, first=first)
+    near = cut(pairs.groupBy(*x, *y).agg(F.max("more").alias("more")))
+    sets = cut(_sets_of(lines, _sides(near)))
+    passed = cut(_verified(near, sets, t).select(*y[:3]).distinct())
+    found = passed
+    left = cut(near.where("more").select(*y[:3]).distinct().join(passed, y[:3], "left_anti"))
     if left.limit(1).count():
         named = left.toDF("doc", "tie", "line")
-        found = found.unionByName(_joined_whole(docs, sets.join(named, ["doc", "tie", "line"], "left_semi"), counts, t, min_words))
-    return found.select(F.col("y_doc").alias("doc"), F.col("y_tie").alias("tie"), F.col("y_line").alias("line"))
+        found = found.unionByName(_joined_whole(lines, sets.join(named, ["doc", "tie", "line"], "left_semi"), counts, t))
+    return found.toDF("doc", "tie", "line").unionByName(_copies(lines))
 
 
-def line_report(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines) of every document; line numbers from 0."""
     numbered = X.numbered(docs)
-    gone = removed_lines(numbered, t=t, min_words=min_words).groupBy("doc", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
+    gone = removed_lines(numbered, t=t).groupBy("doc", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
     text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = F.when(text == "", F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     base = numbered.select("doc_id", "tie", n_lines.cast("long").alias("n_lines"))
@@ -402,10 +488,10 @@ def line_report(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, min_words: i
     return out.select(F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
-def without_lines(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def without_lines(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``docs`` with their removed lines taken out of ``text``; documents of which no line is left go, others keep all columns."""
     numbered = X.numbered(docs, rest=True)
-    gone = removed_lines(numbered.drop("rest"), t=t, min_words=min_words).groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
+    gone = removed_lines(numbered.drop("rest"), t=t).groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
     text = F.col("rest")["text"].cast("string")
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"])), lambda s: s["x"]), "\n")
