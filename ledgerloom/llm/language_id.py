@@ -7,9 +7,13 @@ anything, follows ``PAD`` bytes of the dictionary, whose own size is taken off.
 totals, as a share of the smaller, decides on rejection: a text whose margin is under ``MIN_MARGIN``,
 or that has no letter, is rejected.
 
-Defined results: null, empty and letterless texts are ``und`` with score 0; equal totals take the language with more
-labelled documents, with margin 0; repeated rows give repeated results; extra columns are ignored; with no labelled text
-everything is ``und``.
+A dictionary is a sample of blocks of ``SAMPLE_BLOCK`` characters, drawn by hash from all places of all labelled texts of its language, up
+to ``DICTIONARY_BYTES``.  Every language that labels name has one: only where they are so many that their dictionaries together would
+exceed ``MODEL_BYTES`` each gets an equal share of that.
+
+Defined results: null, empty and letterless texts are ``und`` with score 0; very long texts are compressed block by block, whole; equal
+totals take the language with more labelled documents, with margin 0; repeated rows give repeated results; extra columns, whatever
+their names, are ignored or kept as they are; an empty table gives no rows; with no labelled text everything is ``und``.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from ledgerloom.llm._spark import held_out
 
 LETTER = re.compile(r"[^\W\d_]")
 BLOCK, SHORT, PAD = 512, 160, 256
-#: The fitted sample: documents and bytes of dictionary for each language, bytes from a document, and languages, at most.
-SAMPLE_DOCS, DICTIONARY_BYTES, DOCUMENT_BYTES, MAX_LANGUAGES = 400, 96 << 10, 400, 200
+#: The fitted sample: characters of a drawn block, bytes of a language's dictionary and of all dictionaries, at most.
+SAMPLE_BLOCK, DICTIONARY_BYTES, MODEL_BYTES = 400, 96 << 10, 32 << 20
 MIN_MARGIN = 0.002
 
 
@@ -79,32 +83,35 @@ def _compressors(model: LanguageModel) -> list[tuple[zstandard.ZstdCompressor, b
     return out
 
 
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Dictionaries from about ``sample_docs`` documents of each language, chosen by a hash of their ids.
+def fit(docs: DataFrame, *, dictionary_bytes: int = DICTIONARY_BYTES, model_bytes: int = MODEL_BYTES) -> LanguageModel:
+    """Dictionaries of about ``dictionary_bytes`` for each language, of blocks drawn by a hash from all labelled texts.
 
-    Only rows with text, language and a doc_id that isn't held out count.  One pass counts them by language, the next
-    takes the fraction that gives the bound, so no group is gathered in a task.
+    Only rows with text, language and a doc_id that isn't held out count.  One pass counts blocks by language, the next takes the
+    fraction of them that fills the dictionaries, so no group is gathered in a task and the driver gets the model's size.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id")))
+    blocks = F.ceil(F.char_length("text") / SAMPLE_BLOCK).cast("int")
+    counts = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(blocks.cast("long")).alias("blocks")).orderBy(F.desc("n"), "lang").collect()}  # a row for each language
     if not counts:
         return LanguageModel(())
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_000))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000_000, math.ceil(1e9 * 1.5 * sample_docs / n)))).otherwise(share)
+    own_bytes = min(dictionary_bytes, model_bytes // len(counts))
+    wanted = 1.5 * own_bytes / SAMPLE_BLOCK + 4
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, r in counts.items() for x in (lang, min(1 << 40, math.ceil(wanted / r.blocks * (1 << 40)))))), F.col("lang"))
+    keyed = rows.select("lang", "text", share.alias("share"), F.xxhash64("doc_id", "text", F.lit("sample")).alias("key"), blocks.alias("blocks"))
+    place = lambda i: F.pmod(F.xxhash64("key", i), F.lit(1 << 40))
+    chosen = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: place(i) < F.col("share"))
+    drawn = keyed.select("lang", "text", "key", F.explode(chosen).alias("i")).select("lang", place(F.col("i")).alias("place"), F.substring("text", F.col("i") * SAMPLE_BLOCK + 1, F.lit(SAMPLE_BLOCK)).alias("block"))
     got: dict[str, list] = {k: [] for k in counts}
-    taken = rows.where(place < share).select("lang", "doc_id", F.substring("text", 1, DOCUMENT_BYTES).alias("text"))
-    for r in taken.limit(3 * sample_docs * len(counts)).collect():
-        got[r.lang].append((r.doc_id is None, r.doc_id or 0, r.text))
-    content = [(lang, b"\n".join(_bytes(t)[:DOCUMENT_BYTES] for _, _, t in sorted(got[lang]))[:DICTIONARY_BYTES]) for lang in counts]
+    for r in drawn.collect():  # 1.5 times the dictionaries
+        got[r.lang].append((r.place, r.block))
+    content = [(lang, b"\n".join(_bytes(t) for _, t in sorted(got[lang]))[:own_bytes]) for lang in counts]
     return LanguageModel(tuple((lang, raw) for lang, raw in content if len(raw) > 8))
 
 
 def classify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """(doc_id, lang_pred, score, margin, rejected) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES times DICTIONARY_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +125,7 @@ def classify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The documents that aren't rejected, with their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES times DICTIONARY_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
