@@ -6,12 +6,13 @@ window has, so a document that holds a window shares its fingerprint: the join o
 document.  The hits are then extended: in the candidates, every run of words of a window's length is compared
 with the windows word by word, and the words that matching runs cover are counted.
 
-The benchmark's fingerprints are broadcast while their number is under ``BROADCAST_ROWS``; beyond that Spark's shuffle join takes
-the same plan.  Fingerprints are taken from fully lower-cased words, whose equality follows from that of the compared words.
+The benchmark's windows are broadcast while their words, ids and fingerprints take under ``BROADCAST_BYTES``, which is counted; beyond that
+Spark's shuffle join takes the same plan.  Fingerprints are taken from fully lower-cased words, whose equality follows from that of the compared words.
 
-Defined results: a null or empty text has no words, isn't hit and isn't contaminated; a null item has no windows; rows of
-the same doc_id and text are judged alike and each returned; items with the same id count once; a null item_id counts in
-``contaminated`` but has no place in ``n_items``; extra columns are ignored; an empty benchmark leaves all clean.
+Defined results: a null or empty text has no words, isn't hit and isn't contaminated; very long texts are split into words whole; a null item
+has no windows; rows of the same doc_id and text are judged alike and each returned; items with the same id count once; a null item_id counts
+in ``contaminated`` but has no place in ``n_items``; extra columns, whatever their names, are ignored or kept as they are; an empty table
+gives no rows; an empty benchmark leaves all clean.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WINDOW, GRAM = 13, 5
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 32 << 20
 
 #: Fixed value: what separates words, every ASCII character but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,8 +73,8 @@ def benchmark_windows(benchmark: DataFrame, *, window: int = WINDOW) -> DataFram
     return run.select("item_id", "length", "words", smallest.alias("fingerprint")).distinct()
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,14 +104,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _judged(base: DataFrame, benchmark: DataFrame, window: int, share: int) -> DataFrame:
     windows = benchmark_windows(benchmark, window=window)
-    found = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``window`` rows
-    lengths, rows = sorted(r["length"] for r in found), sum(r["n"] for r in found)
+    row_bytes = F.octet_length("words") + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + 64  # with what a hashed row takes
+    found = windows.groupBy("length").agg(F.sum(row_bytes.cast("long")).alias("size")).collect()  # at most ``window`` rows
+    lengths, size = sorted(r["length"] for r in found), sum(r["size"] for r in found)
 
     low = base.select("id_key", "text_key", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     low = low.select("id_key", "text_key", word_array(F.col("low"), F.col("low")).alias("l"))
     prints = [_fingerprints(F.col("l"), n) for n in lengths] or [F.array().cast("array<bigint>")]
     prints = low.select("id_key", "text_key", F.explode(F.array_distinct(F.concat(*prints))).alias("fingerprint"))
-    candidates = prints.join(_small(windows.select("fingerprint").distinct(), rows), "fingerprint", "left_semi").select("id_key", "text_key").distinct()
+    candidates = prints.join(_small(windows.select("fingerprint").distinct(), size), "fingerprint", "left_semi").select("id_key", "text_key").distinct()
 
     runs = base.join(candidates, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"])
     runs = runs.select("id_key", "text_key", word_array(F.col("text")).alias("w"), F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("length"))
@@ -118,7 +120,7 @@ def _judged(base: DataFrame, benchmark: DataFrame, window: int, share: int) -> D
     runs = runs.select("id_key", "text_key", "length", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("start"))
     runs = runs.select("id_key", "text_key", "length", "start", F.array_join(F.slice("w", F.col("start"), F.col("length")), " ").alias("words"))
     by_words = windows.groupBy("length", "words").agg(F.collect_set("item_id").alias("items"))
-    hits = runs.join(_small(by_words, rows), ["length", "words"])
+    hits = runs.join(_small(by_words, size), ["length", "words"])
 
     key = ["id_key", "text_key"]
     order = Window.partitionBy(*key).orderBy("start", "length")
