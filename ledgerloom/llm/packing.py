@@ -5,12 +5,13 @@ items of the next round: they are dealt into groups of bounded size, packed best
 merging the leftovers of several groups, until one group holds them all or a round closes nothing more.  A group never
 exceeds ``GROUP_ROWS`` bins, so no task gathers an unbounded number; what still is open at the end is emitted as it is.
 
-Token ids are those of the public byte-level BPE file: ``ByteTokenizer`` reads its vocabulary and runs it with the faster of
-the two installed libraries, which gives the same ids.
+Token ids are those of the public byte-level BPE file.  Where the file asks for plain byte-level BPE with the usual pre-token pattern,
+``ByteTokenizer`` runs its vocabulary with the faster of the two installed libraries, which gives the same ids; any other
+file goes through the ``tokenizers`` library itself.
 
-Defined results: a null or empty text is its end token alone; a document longer than a sequence is cut into whole
-sequences with the shorter piece first; rows with a repeated or null id are packed as documents of their own; extra columns
-are ignored; an empty table gives no rows.
+Defined results: a null or empty text is its end token alone; a very long text is tokenized whole; a document longer than a sequence is cut
+into whole sequences with the shorter piece first; equal lengths are packed in the order of their rows; rows with a repeated or null id are
+packed as documents of their own; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,14 +54,44 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteTokenizer:
-    """Ids of a byte-level BPE vocabulary file; added tokens in a text count as such, as the file's own library has it."""
+#: What a file must ask for if PATTERN and plain byte pairs are to give its ids.
+PLAIN = {
+    "normalizer": None, "truncation": None, "padding": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def is_plain(said: dict) -> bool:
+    """Is the file's text handling the one that ``ByteTokenizer`` runs, its vocabulary in the order of its merges, and its added tokens taken literally?"""
+    at = lambda want, got: all(at(w, got.get(k) or {}) if isinstance(w, dict) else (got.get(k) or None) == (w or None) for k, w in want.items())
+    added = said.get("added_tokens") or ()
+    special = {t["content"] for t in added}
+    merged = [said["model"]["vocab"].get("".join(m if not isinstance(m, str) else m.split(" "))) for m in said["model"].get("merges", ())]
+    in_order = None not in merged and all(a < b for a, b in zip(merged, merged[1:], strict=False))
+    known = set(byte_alphabet())
+    return at(PLAIN, said) and in_order and all(known.issuperset(t) for t in said["model"]["vocab"] if t not in special) and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+
+
+class LibraryTokenizer:
+    """Ids of any file of the ``tokenizers`` library."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.coder.no_truncation()
+        self.coder.no_padding()
+
+    def ids(self, text: str | None) -> list[int]:
+        return self.coder.encode(text, add_special_tokens=False).ids if text else []
+
+
+class ByteTokenizer:
+    """Ids of a plain byte-level BPE vocabulary file; added tokens in a text count as such, as the file's own library has it."""
+
+    def __init__(self, said: dict):
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            said = json.load(f)
         alphabet = byte_alphabet()
         special = {t["content"]: t["id"] for t in said.get("added_tokens", ())}
         vocabulary = said["model"]["vocab"]
@@ -75,8 +106,11 @@ class ByteTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ByteTokenizer:
-    out = ByteTokenizer(path)
+def tokenizer(path: str) -> ByteTokenizer | LibraryTokenizer:
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    out = ByteTokenizer(said) if is_plain(said) else LibraryTokenizer(path)
+    said = None
     release()
     return out
 
