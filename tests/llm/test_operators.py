@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -122,6 +123,9 @@ def test_suffix_array(s):
 
 
 def test_blobs_round_trip():
+    texts = np.frombuffer(b"abcdef", np.uint8)
+    (x,), data, offsets = X.unpack_texts(X.pack_texts([np.array([7, 8])], texts, np.array([4, 0]), np.array([2, 3])), (np.int64,))
+    assert x.tolist() == [7, 8] and data.tobytes() == b"efabc" and offsets.tolist() == [0, 2, 5]
     columns = [np.arange(5, dtype=np.int64), np.array([1, 2, 3, 4, 255], np.uint8)]
     assert all((a == b).all() for a, b in zip(X.unpack(X.pack(columns), (np.int64, np.uint8)), columns, strict=True))
     assert [len(c) for c in X.gather([], (np.int64,))] == [0]
@@ -130,30 +134,83 @@ def test_blobs_round_trip():
 # 1: near duplicates.
 
 
-def test_near_duplicates_by_brute_force(docs):
-    rows = [(i, t) for i, t in ordered(docs)]
-    grams = []
-    for _, t in rows:
-        w = WORD.findall(t or "")
-        seen, own = collections.Counter(), set()
-        for g in ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []):
-            own.add((g, seen[g]))
-            seen[g] += 1
-        grams.append(own)
-    root = list(range(len(rows)))
+def _aligned_share(a, b):
+    """Words in the longest common subsequence, against the longer text's words."""
+    at = [0] * (len(b) + 1)
+    for x in a:
+        before = at[:]
+        for j, y in enumerate(b):
+            at[j + 1] = before[j] + 1 if x == y else max(before[j + 1], at[j])
+    return at[-1] / max(len(a), len(b), 1)
+
+
+def _links(texts):
+    """Pairs of different texts that are similar, and the classes that they make."""
+    words = [tuple(WORD.findall(t or "")) for t in texts]
+    counts = [collections.Counter(w) for w in words]
+    first, root, links = {}, list(range(len(texts))), []
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if grams[i] and grams[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+    for i, w in enumerate(words):
+        if not w:
+            continue
+        j = first.setdefault(w, i)
+        root[i] = j
+        if j != i:
+            continue
+        for j in set(first.values()) - {i}:
+            most = max(len(w), len(words[j]))
+            if 5 * min(len(w), len(words[j])) >= 4 * most and 5 * (counts[i] & counts[j]).total() >= 4 * most and _aligned_share(w, words[j]) >= 0.8:
+                links.append((j, i))
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    wanted = bag((rows[i][0], rows[find(i)][0], find(i) == i) for i in range(len(rows)))
-    assert bag(map(tuple, near_dedup.near_duplicates(docs).collect())) == wanted
+    return links, [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_by_brute_force(docs):
+    rows = ordered(docs)
+    links, wanted = _links([t for _, t in rows])
+    got = {r.text: r for r in near_dedup.classes(X.numbered(docs)).join(X.numbered(docs), ["doc_id", "tie"]).collect()}
+    found = {t: (r.class_doc, r.class_tie) for t, r in got.items()}
+    hit = sum(found[rows[i][1]] == found[rows[j][1]] for i, j in links)
+    assert len(links) > 60 and hit >= 0.95 * len(links)
+    for i, (_, t) in enumerate(rows):  # nothing is joined that isn't similar
+        if not WORD.search(t or ""):
+            continue
+        own = [j for j, (_, u) in enumerate(rows) if found[u] == found[t]]
+        assert {wanted[j] for j in own} == {wanted[i]}
+    report = near_dedup.near_duplicates(docs).collect()
+    assert len(report) == len(rows) and sum(r.kept for r in report) == len({(r.class_doc, r.class_tie) for r in near_dedup.classes(X.numbered(docs)).collect()})
+
+
+@pytest.mark.parametrize(("folder", "least"), [("sf0.01", 50), ("sf0.1", 700)])
+def test_near_duplicate_recall(spark, folder, least):
+    """At least 0.9 of all similar pairs of different texts are in one class; exact copies always."""
+    real = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(real).collect()}
+    texts, first = [], {}
+    for r in real.orderBy("doc_id").collect():
+        own = near_dedup.Words.of(zstandard.ZstdCompressor().compress((r.text or "").encode()))
+        if (k := own.hashes.tobytes()) and first.setdefault(k, r.doc_id) != r.doc_id:
+            assert found[r.doc_id] == found[first[k]]
+        elif k:
+            texts.append((len(own), r.doc_id, own))
+    texts.sort(key=lambda x: x[:2])
+    index, n, hit = collections.defaultdict(list), 0, 0
+    rare = collections.Counter(h for _, _, w in texts for h in w.labelled.tolist())
+    for size, i, w in texts:  # the exact join: similar texts share one of their rarest words
+        seen = {}
+        for h in sorted(w.labelled.tolist(), key=lambda h: (rare[h], h))[: size - -(-4 * size // 5) + 1]:
+            seen |= {id(x): x for x in index[h]}
+            index[h].append((i, w))
+        for j, other in seen.values():
+            if near_dedup.linked(other, w):
+                n, hit = n + 1, hit + (found[i] == found[j])
+    assert n >= least and hit >= 0.9 * n, (n, hit)
 
 
 def test_near_duplicate_filter_keeps_columns(docs, nothing):
@@ -172,17 +229,38 @@ def test_common_subsequence(a, b):
     assert near_dedup.common_subsequence(np.array(a, np.uint64), np.array(b, np.uint64), 100) == best[-1][-1]
 
 
-def test_long_alignments_use_the_band():
-    a = np.arange(9000, dtype=np.uint64)
-    b = np.concatenate([a[:3000], a[3010:7000], a[:40] + np.uint64(10**6), a[7000:]])
-    assert near_dedup.common_subsequence(a, b, 600) == 8990 and near_dedup.linked(a, b)
+def test_alignments_stay_in_the_band():
+    for n, band in ((9000, 600), (300, 20)):
+        a = np.arange(n, dtype=np.uint64)
+        b = np.concatenate([a[: n // 3], a[n // 3 + 10 : n // 2], a[:5] + np.uint64(10**6), a[n // 2 :]])
+        assert near_dedup.common_subsequence(a, b, band) == n - 10 and near_dedup.linked(near_dedup.Words(a), near_dedup.Words(b))
+        turned = np.concatenate([a[n // 2 :], a[: n // 2]])  # the same words in another order
+        assert not near_dedup.linked(near_dedup.Words(a), near_dedup.Words(turned))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 39), st.integers(0, 6)), max_size=6))
+def test_links_are_those_of_the_whole_alignment(a, changes):
+    b = list(a)
+    for at, x in changes:
+        b[at % len(b) : at % len(b) + x % 3] = [x] if x % 2 else []
+        b = b or [1]
+    wide = lambda x: near_dedup.Words(A.mix(np.array(x, np.uint64)))
+    assert near_dedup.linked(wide(a), wide(b)) == (_aligned_share(a, b) >= 0.8)
 
 
 def test_bucket_links_join_what_is_similar():
     r = np.random.default_rng(2)
     passage, own = r.integers(0, 2**62, 40).astype(np.uint64), [r.integers(0, 2**62, 60).astype(np.uint64) for _ in range(30)]
-    grams = [np.concatenate([passage, o]) for o in own] + [np.concatenate([passage, own[4][:-2]])]
-    assert near_dedup.bucket_links(grams, list(range(31))) == [(4, 30)]
+    texts = [near_dedup.Words(x) for x in [np.concatenate([passage, o]) for o in own] + [np.concatenate([passage, own[4][:-2]])]]
+    assert near_dedup.bucket_links(texts, list(range(31)), [True] * 31) == [(4, 30)]
+    assert near_dedup.bucket_links(texts, list(range(31)), [False] * 31) == []
+
+
+def test_buckets_in_bands_of_length(docs, monkeypatch):
+    wanted = bag(map(tuple, near_dedup.near_duplicates(docs).collect()))
+    monkeypatch.setattr(near_dedup, "BANDED", 2)
+    assert bag(map(tuple, near_dedup.near_duplicates(docs).collect())) == wanted
 
 
 # 2 and 6: repeated passages.
@@ -305,9 +383,7 @@ def _removed_lines(rows):
     for i, t in rows:
         gone = []
         for n, line in enumerate((t or "").split("\n")):
-            w = WORD.findall(line)
-            if len(w) >= 5:
-                s = frozenset(w)
+            if s := frozenset(WORD.findall(line)):
                 if any(5 * len(s & x) >= 4 * len(s | x) for x in earlier):
                     gone.append(n)
                 earlier.append(s)
@@ -327,6 +403,14 @@ def test_lines_by_brute_force(docs, monkeypatch, first, group):
     assert got == _removed_lines(ordered(docs))
 
 
+def test_equal_digests_are_verified():
+    texts = [b"a b", b"c d", b"b a", b"a b", b"d c", b"e"]
+    same, place = np.zeros(6, np.uint64), [np.array([5, 4, 3, 2, 1, 0]), np.zeros(6, np.int64), np.zeros(6, np.int64)]
+    lead, copies = line_dedup.settle(same, same, place, texts.__getitem__)
+    assert lead.tolist() == [3, 4, 5] and copies.tolist() == [0, 1, 2]
+    assert [x.tolist() for x in line_dedup.settle(same[:0], same[:0], [p[:0] for p in place], texts.__getitem__)] == [[], []]
+
+
 def test_line_filter(docs, nothing):
     report = line_dedup.line_report(docs)
     assert collections.Counter(repr(tuple(r)) for r in report.collect()) == _removed_lines(ordered(docs))
@@ -476,13 +560,13 @@ def test_ids_are_those_of_the_other_library():
     from tokenizers import Tokenizer
 
     path = packing.default_vocabulary()
-    other, own = Tokenizer.from_file(path), packing.ByteTokenizer(path)
+    other, own = Tokenizer.from_file(path), packing.tokenizer(path)
     texts = [t for _, t, *_ in corpus() if t] + ["don't  stop\r\n\t x", "漢字 🙂‍ ١٢ Ⅷ½", "\x00\x1c  a", "a<|endoftext|>b", " 's 'LL"]
     assert all(own.ids(t) == other.encode(t, add_special_tokens=False).ids for t in texts)
 
 
 def test_packing_is_gapless_and_nearly_full(docs, nothing):
-    own = packing.ByteTokenizer(packing.default_vocabulary())
+    own = packing.tokenizer(packing.default_vocabulary())
     for group, size in ((40_000, 2048), (8, 128)):
         rows = packing.pack(packing.token_pieces(docs, size=size), size=size, group_rows=group).collect()
         bins = collections.defaultdict(list)
@@ -526,8 +610,7 @@ def test_pipeline_by_stages(spark):
     for r in sorted(left, key=lambda r: r.doc_id):
         out = []
         for line in r.text.split("\n"):
-            s = frozenset(WORD.findall(line))
-            if len(WORD.findall(line)) >= 5:
+            if s := frozenset(WORD.findall(line)):
                 same = any(5 * len(s & x) >= 4 * len(s | x) for x in earlier)
                 earlier.append(s)
                 if same:
@@ -538,7 +621,7 @@ def test_pipeline_by_stages(spark):
     after = spark.createDataFrame(kept, "doc_id long, text string")
     first = {r.doc_id for r in near_dedup.near_duplicates(after).collect() if r.kept}
     bad = {r.doc_id for r in decontamination.contamination(after, bench).collect() if r.contaminated}
-    own = packing.ByteTokenizer(packing.default_vocabulary())
+    own = packing.tokenizer(packing.default_vocabulary())
     wanted = {i: len(own.ids(t)) + 1 for i, t in kept if i in first and i not in bad}
     found = collections.Counter()
     for r in corpus_pipeline.run(spark, FOLDER).collect():
