@@ -14,13 +14,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round takes the least label of the neighbours and then that label's own label, so a chain shortens by a
     factor every round and a star is done after two.  Labels are stored by checkpoint after each round.
     """
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), small=True)
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), small=True)
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        done = checkpointed(step.join(jump, "component").select("node", "before", F.least("component", "root").alias("component")))
+        done = checkpointed(step.join(jump, "component").select("node", "before", F.least("component", "root").alias("component")), small=True)
         labels = done.select("node", "component")
         if not done.where(F.col("before") != F.col("component")).limit(1).count():
             return labels

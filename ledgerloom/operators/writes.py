@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.sources.snapshots import checkpointed
+
 
 def insert(table: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | None = None) -> DataFrame:
     """INSERT: rows by column name; a column they lack takes its default, else null."""
@@ -89,13 +91,17 @@ def changed_rows(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Dat
 def with_row_ids(rows: DataFrame, order: Sequence[str], start: Column | int, name: str) -> DataFrame:
     """AUTOINCREMENT: numbers after ``start`` in the rows' order.
 
-    Ranks within ranges of the order are offset by the ranges' counts, so no task orders all rows.
+    The rows are sorted in ranges once, and stored with their range and their place in it; both the ranges' counts and the numbers
+    come from what is stored, so they agree however Spark would deal the rows another time.  No task orders all rows.
     """
-    spread = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    spread = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    counts = spread.groupBy("__part").agg(F.count("*").alias("__size"))  # a row for each partition
-    before = counts.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
-    return spread.join(F.broadcast(before), "__part").withColumn(name, (F.lit(start) if isinstance(start, int) else start) + F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
+    at = F.monotonically_increasing_id()  # the partition above 33 bits, the place in it below
+    ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at))
+    part = F.shiftright("__at", 33)
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))  # a row for each partition
+    before = counts.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")
+    first = F.lit(start) if isinstance(start, int) else start
+    return placed.withColumn(name, first + F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__before", "__at")
 
 
 def violations(table: DataFrame, *, unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), checks: Mapping[str, str] | None = None, foreign: Sequence[tuple[Sequence[str], DataFrame, Sequence[str]]] = ()) -> DataFrame:

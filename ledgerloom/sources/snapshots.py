@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass, field
 
@@ -9,15 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the session has one; a local default only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/ledgerloom-checkpoints"
+    """spark.checkpoint.dir where the session has one; a local default only where driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/tmp/ledgerloom-checkpoints"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df stored by a reliable checkpoint, which outlives the executors that wrote it."""
-    context = df.sparkSession.sparkContext
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark reads, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpointed(df: DataFrame, *, small: bool = False) -> DataFrame:
+    """df stored by a reliable checkpoint, which outlives the executors that wrote it.
+
+    A ``small`` table, of numbers and keys beside the texts that it was made from, goes to an eighth as many files as a shuffle has partitions,
+    though to no fewer than would keep all cores busy.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(spark))
+    if small:
+        df = df.coalesce(max(2 * context.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 8))
     return df.checkpoint(eager=True)
 
 
