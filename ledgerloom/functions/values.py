@@ -100,15 +100,6 @@ def object_id(domain: str, tx_id: str, step: int) -> str:
     return hashlib.sha256(b"".join(struct.pack(">I", len(p)) + p for p in parts)).hexdigest()
 
 
-def ordered_digest(order: Sequence[Column], value: Column, *, length: int | None = None) -> Column:
-    """An aggregate: SHA-256 of the values in the given order, each followed by a newline."""
-    n = len(order)
-    rows = F.sort_array(F.collect_list(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)), value.cast("string").alias("v"))))
-    text = F.array_join(F.transform(rows, lambda r: r["v"]), "\n")
-    digest = F.sha2(text.cast("binary"), 256)
-    return F.substring(digest, 1, length) if length and n else digest
-
-
 def content_hash(columns: Sequence[Column]) -> Column:
     """An aggregate that is equal for equal bags of rows, whatever their order and place: a sum of row hashes."""
     return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.operators.folds import line_digests
+
 # Roles of a collective in ascending order.
 ROLES = ("reader", "member", "admin")
 
@@ -41,12 +43,13 @@ def live_grants(grants: DataFrame, at_tx: int | None = None) -> DataFrame:
     return grants.where((F.col("created_tx") <= at_tx) & (F.col("revoked_tx").isNull() | (F.col("revoked_tx") > at_tx)))
 
 
-def check_writes(writes: DataFrame, owners: DataFrame, grants: DataFrame, tbl: str) -> DataFrame:
+def check_writes(writes: DataFrame, owners: DataFrame, grants: DataFrame, tbl: str, *, seeding: bool = False) -> DataFrame:
     """``writes`` with ``allowed``.
 
     ``writes``: tx_id, actor, op, owner, row_key, changed (array of column names), new_owner (null unless the owner changes).  A write
     is allowed for an owner that the actor acts for, else by a live grant of that owner on the row or the whole table whose
-    columns, if it names any, hold all changed ones.  A change of owner is never allowed here; that takes a transfer.
+    columns, if it names any, hold all changed ones.  A change of owner is never allowed here; that takes a transfer.  While the
+    ``seeding`` window is open inserts are allowed for any owner.
     """
     rows = writes.withColumn("__w", F.monotonically_increasing_id())
     direct = rows.join(owners, ["actor", "owner", "op"], "left_semi").select("__w").withColumn("own", F.lit(True))
@@ -56,7 +59,16 @@ def check_writes(writes: DataFrame, owners: DataFrame, grants: DataFrame, tbl: s
     granted = rows.join(g, ["actor", "owner"]).where((F.col("g_key").isNull() | (F.col("g_key") == F.col("row_key"))) & F.coalesce(may, F.lit(False)) & fits).select("__w").distinct().withColumn("grant", F.lit(True))
     out = rows.join(direct, "__w", "left").join(granted, "__w", "left")
     stays = F.col("new_owner").isNull() | (F.col("new_owner") == F.col("owner"))
-    return out.withColumn("allowed", (F.coalesce("own", "grant", F.lit(False))) & stays).drop("__w", "own", "grant")
+    seed = (F.col("op") == "insert") & F.lit(seeding)
+    return out.withColumn("allowed", (F.coalesce("own", "grant", F.lit(False)) | seed) & stays).drop("__w", "own", "grant")
+
+
+def check_replaces(writes: DataFrame, owners: DataFrame, grants: DataFrame, tbl: str) -> DataFrame:
+    """``writes`` that replace rows, with ``allowed``: the delete of the row of ``old_owner`` (null: there is none) and the insert for ``owner`` must both be."""
+    parts = F.array(F.struct(F.lit("insert").alias("op"), F.col("owner")), F.struct(F.lit("delete").alias("op"), F.col("old_owner").alias("owner")))
+    both = writes.select("tx_id", "actor", "row_key", "changed", F.explode(parts).alias("p")).select("tx_id", "actor", "row_key", "changed", "p.op", "p.owner", F.lit(None).cast("string").alias("new_owner")).where("owner IS NOT NULL")
+    per = check_writes(both, owners, grants, tbl).groupBy("tx_id", "row_key").agg(F.bool_and("allowed").alias("allowed"))
+    return writes.join(per, ["tx_id", "row_key"])
 
 
 def statement_outcomes(checked: DataFrame, tbl: str) -> DataFrame:
@@ -97,9 +109,8 @@ def without_admin(state: DataFrame) -> DataFrame:
 def scope_digest(rows: DataFrame, scope: DataFrame) -> DataFrame:
     """(offer_id, digest) of the rows (tbl, row_key, content) in each offer's scope (offer_id, tbl, row_key), in byte order of table and key."""
     found = scope.join(rows, ["tbl", "row_key"], "left")
-    items = F.sort_array(F.collect_list(F.struct("tbl", "row_key", F.coalesce("content", F.lit("-")).alias("content"))))
-    text = F.array_join(F.transform(items, lambda r: F.concat_ws("|", r["tbl"], r["row_key"], r["content"])), "\n")
-    return found.groupBy("offer_id").agg(F.sha2(text.cast("binary"), 256).alias("digest"))
+    line = F.concat_ws("|", "tbl", "row_key", F.coalesce("content", F.lit("-")))
+    return line_digests(found, "offer_id", [F.col("tbl"), F.col("row_key"), F.coalesce("content", F.lit("-"))], line)
 
 
 def accept_transfers(offers: DataFrame, digests: DataFrame, accepts: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A rejected program changes nothing, and that decides about later ones, so outcomes are a fold and not a window sum.  Programs that
 touch different keys don't depend on each other: the fold runs in parallel over keys, or over connected components of
-keys where programs touch several.  Within a group the order is that of the ledger.
+keys where programs touch several.  Within a group the order is that of the ledger; a group's rows pass by one after the other
+(``operators.folds``), so a task holds the values of one group and never its programs.
 
 Steps: put (set a value), add (change a value; an absent one counts as 0), delete, assert_at_least and assert_present (else
 reject with assert:<code>), and emit, which replay skips.  An unknown step rejects with ``denied``; a sum
@@ -14,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.ledger import history
+from ledgerloom.operators.folds import fold_sorted
 from ledgerloom.operators.graph import components
 from ledgerloom.sources.snapshots import SnapshotStore, checkpointed
 
@@ -72,6 +73,23 @@ def run_program(state: dict[str, int], steps: Iterable[Mapping[str, object]]) ->
     return None, None
 
 
+class _GroupReplay:
+    """The replay of one group: its held values come first, under place -1, then its programs in order."""
+
+    def __init__(self, _: object):
+        self.now: dict[str, int] = {}
+
+    def step(self, row: dict) -> Iterable[dict]:
+        if row["idx"] < 0:
+            self.now[row["key"]] = row["value"]
+            return ()
+        code, at = ("operation_conflict", None) if row["conflict"] else run_program(self.now, row["steps"] or ())
+        return ({"kind": 0, "idx": row["idx"], "tx_id": row["tx_id"], "outcome": "rejected" if code else "accepted", "rejection_code": code, "failing_step": at},)
+
+    def finish(self) -> Iterable[dict]:
+        return ({"kind": 1, "key": k, "value": v} for k, v in self.now.items())
+
+
 def with_groups(ledger: DataFrame) -> DataFrame:
     """The ledger with ``grp``: programs that share a key, directly or through others, share a group."""
     keys = ledger.select("tx_id", F.array_distinct(F.filter(F.transform("steps", lambda s: s["key"]), lambda k: k.isNotNull())).alias("keys"))
@@ -94,19 +112,7 @@ def replay(ledger: DataFrame, state: DataFrame | None = None) -> tuple[DataFrame
     rows = ordered.select("grp", "idx", "tx_id", "conflict", "steps", F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("value"))
     held = state.join(touched, "key").select("grp", F.lit(-1).cast("long").alias("idx"), F.lit(None).cast("long").alias("tx_id"), F.lit(False).alias("conflict"), F.lit(None).cast(f"array<{STEP}>").alias("steps"), "key", "value")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        now: dict[str, int] = {}
-        out = []
-        for r in pdf.sort_values(["idx", "tx_id"], kind="stable").itertuples():
-            if r.idx < 0:
-                now[r.key] = int(r.value)
-                continue
-            code, step = ("operation_conflict", None) if r.conflict else run_program(now, r.steps if r.steps is not None else ())
-            out.append((0, int(r.idx), int(r.tx_id), "rejected" if code else "accepted", code, step, None, None))
-        out += [(1, None, None, None, None, None, k, v) for k, v in now.items()]
-        return pd.DataFrame(out, columns=["kind", "idx", "tx_id", "outcome", "rejection_code", "failing_step", "key", "value"]).astype({c: "Int64" for c in ("idx", "tx_id", "failing_step", "value")})
-
-    folded = checkpointed(rows.unionByName(held).groupBy("grp").applyInPandas(fold, f"kind int, {OUTCOME}, key string, value long"))
+    folded = checkpointed(fold_sorted(rows.unionByName(held), "grp", ["idx", "tx_id"], _GroupReplay, f"kind int, {OUTCOME}, key string, value long"))
     outcomes = folded.where("kind = 0").select("idx", "tx_id", "outcome", "rejection_code", F.col("failing_step").cast("int").alias("failing_step"))
     untouched = state.join(touched.select("key").distinct(), "key", "left_anti")
     return outcomes, folded.where("kind = 1").select("key", "value").unionByName(untouched)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.operators.folds import fold_sorted
+
 MOST_TOPICS, PAGE, MOST_PAGE = 128, 128, 1024
 
 
@@ -103,14 +106,28 @@ def project(events: DataFrame, reduce: Reducer, initial: object, *, key: str = "
     if prior is not None:
         rows = rows.unionByName(prior.select("key", *(F.lit(None).cast(t).alias(c) for c, t in zip(cols, ("long", "int", "long", "string"), strict=True)), "state", "cursor"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf[pdf["state"].notna()]
-        state, cursor = (json.loads(held["state"].iloc[0]), int(held["cursor"].iloc[0])) if len(held) else (initial, -1)
-        new = pdf[pdf["state"].isna() & (pdf["idx"].fillna(-2) > cursor)].sort_values(["idx", "ordinal"])
-        state = _fold(state, new[cols].to_dict("records"), reduce)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "cursor": [int(new["idx"].max()) if len(new) else cursor], "state": [state_text(state)]})
+    begin = partial(_Projection, reduce, json.dumps(initial))
+    return fold_sorted(rows.withColumn("place", F.coalesce("idx", F.lit(-2))), "key", ["place", "ordinal"], begin, "key string, cursor long, state string")
+
+
+class _Projection:
+    """A reducer over one key's events; a stored state stands before them, under place -2."""
+
+    def __init__(self, reduce: Reducer, initial: str, key: object):
+        self.reduce, self.state, self.cursor, self.key = reduce, json.loads(initial), -1, key
+
+    def step(self, row: dict) -> Iterable[dict]:
+        if row["state"] is not None:
+            self.state, self.cursor, self.reached = json.loads(row["state"]), row["cursor"], row["cursor"]
+        elif row["place"] > self.cursor:
+            self.state = self.reduce(self.state, {c: row[c] for c in ("idx", "ordinal", "tx_id", "payload")})
+            self.reached = row["place"]
+        return ()
 
-    return rows.groupBy("key").applyInPandas(fold, "key string, cursor long, state string")
+    reached = -1
+
+    def finish(self) -> Iterable[dict]:
+        return ({"key": self.key, "cursor": self.reached, "state": state_text(self.state)},)
 
 
 @dataclass(frozen=True)
@@ -128,9 +145,10 @@ def must_reset(stored: Definition | None, wanted: Definition) -> bool:
 
 
 def stream_projection(stream: DataFrame, reduce: Reducer, initial: object, *, key: str = "topic", name: str, folder: str):
-    """The projection over a stream of (idx, ordinal, tx_id, topic, payload): state by key in the query's state store; writes the changed states of each batch to a memory table ``name``.
+    """The projection over a stream of (idx, ordinal, tx_id, topic, payload): state by key in the query's state store; writes the changed states of each batch as Parquet under ``folder``.
 
-    Events of a batch are folded in order; replaying a stream from its checkpoint gives the same states.
+    Events of a batch are folded in order; a batch that runs again after a failure overwrites its own files, so replaying a stream from
+    its checkpoint gives the same states.  Read them with ``latest_states(spark.read.parquet(updates_of(folder)))``.
     """
 
     def fold(key_values: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
@@ -144,7 +162,15 @@ def stream_projection(stream: DataFrame, reduce: Reducer, initial: object, *, ke
 
     keyed = stream.withColumn("key", F.col(key).cast("string")).groupBy("key")
     out = keyed.applyInPandasWithState(fold, "key string, cursor long, state string", "cursor long, state string", "update", "NoTimeout")
-    return out.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{updates_of(folder)}/batch={number}")
+
+    return out.writeStream.outputMode("update").foreachBatch(store).queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def updates_of(folder: str) -> str:
+    return f"{folder}/updates"
 
 
 def latest_states(updates: DataFrame) -> DataFrame:
