@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,16 +60,24 @@ def match_near(index: DataFrame, a: str, b: str, within: int) -> DataFrame:
     return both.withColumn("gap", gap).where(F.col("gap") <= within + 1).select("doc_id").distinct()
 
 
-def bm25(index: DataFrame, wanted: Sequence[str], *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) of documents that hold a term; the sum over terms of idf times the saturated frequency."""
-    length = index.groupBy("doc_id").agg(F.count("*").alias("len"))
-    corpus = length.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = index.where(F.col("term").isin(*wanted)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    found = tf.join(F.broadcast(df), "term").join(length, "doc_id").crossJoin(F.broadcast(corpus))  # a row for each query term; one row
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return found.groupBy("doc_id").agg(F.sum(part).alias("score"))
+def bm25(docs: DataFrame, wanted: Sequence[str], *, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of documents that hold a term; the sum over terms of idf times the saturated frequency.
+
+    Lengths and frequencies are counted within each row; only one row of totals is aggregated.
+    """
+    counted = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("t"))
+    count_of = lambda w: F.size(F.filter("t", lambda x: x == w))
+    tf = [count_of(w).alias(f"tf{i}") for i, w in enumerate(dict.fromkeys(wanted))]
+    counted = counted.select("doc_id", F.size("t").alias("len"), *tf).where("len > 0")
+    n_terms = len(tf)
+    totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(n_terms)))
+    held = F.lit(False)
+    score = F.lit(0.0)
+    for i in range(n_terms):
+        f, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        held = held | (f > 0)
+        score = score + F.log1p((F.col("n") - df + 0.5) / (df + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return counted.where(held).crossJoin(F.broadcast(totals)).select("doc_id", score.alias("score"))  # one row of totals
 
 
 def highlight(text: Column, wanted: Sequence[str], before: str = "[", after: str = "]") -> Column:
@@ -103,15 +113,65 @@ def nearest(vectors_: DataFrame, query: Sequence[float], k: int, *, distance=vec
     return vectors_.select(id_col, distance(F.col(vector_col), q).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def nearest_of_each(queries: DataFrame, vectors_: DataFrame, k: int, *, distance=vectors.l2, id_col: str = "vec_id", vector_col: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, id, distance, rank) for a stated set of queries (query_id, q) against all rows.
+#: Numbers of a block of distances, and bytes of the stated queries that may be told to all tasks.
+BLOCK_NUMBERS, QUERY_BYTES = 1 << 21, 64 << 20
+
+
+def _squared(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows, rows)
+
+
+def nearest_of_each(queries: DataFrame, vectors_: DataFrame, k: int, *, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding", most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, id, distance, rank) for a stated set of queries (query_id, q) against all rows; ties by id.
 
-    The queries must be few: they are counted, and refused beyond ``most_queries``.
+    The queries go to all tasks as one matrix, which is refused beyond ``most_bytes``.  Each task multiplies blocks of its rows with it and keeps
+    the k nearest rows of each query, so only k rows of each query and task are shuffled.  ``metric``: l2 or cosine; rows without a vector
+    or of another length are nobody's neighbours, nor are rows of length 0 in cosine.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError("too_large: too many queries")
-    pairs = vectors_.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries), F.lit(True))
-    scored = pairs.select("query_id", "id", distance(F.col("v"), F.col("q")).alias("distance"))
-    local = scored.withColumn("part", F.spark_partition_id())
-    some = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy("distance", "id"))).where(F.col("r") <= k)
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    size = queries.agg(F.coalesce(F.sum(F.size("q").cast("long") * 8 + 8), F.lit(0)).alias("b")).head().b
+    if size > most_bytes:
+        raise ValueError(f"too_large: queries of {size} bytes")
+    stated = queries.where("q IS NOT NULL").orderBy("query_id").collect()  # most_bytes at most
+    ids = np.array([r.query_id for r in stated], np.int64)
+    matrix = np.array([r.q for r in stated], np.float64).reshape(len(stated), -1)
+    if metric == "cosine":
+        fine = _squared(matrix) > 0
+        ids, matrix = ids[fine], matrix[fine] / np.sqrt(_squared(matrix[fine]))[:, None]
+    shared = vectors_.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        if not len(q):
+            return
+        width, norm = q.shape[1], _squared(q)
+        best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            lists = batch.column(1)
+            of, length = batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            fit = np.flatnonzero((length == width) & ~lists.is_null().to_numpy(zero_copy_only=False))
+            rows = lists.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), width)
+            of = of[fit]
+            if metric == "cosine":
+                fine = _squared(rows) > 0
+                of, rows = of[fine], rows[fine] / np.sqrt(_squared(rows[fine]))[:, None]
+            step = max(1, BLOCK_NUMBERS // len(q))
+            for lo in range(0, len(of), step):
+                part, own = rows[lo : lo + step], of[lo : lo + step]
+                near = norm[:, None] + _squared(part)[None, :] - 2 * (q @ part.T)
+                # What a block of products can't tell apart is measured again, number by number.
+                bound = np.minimum(best_d[:, -1] ** 2, np.partition(near, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1] if len(own) >= k else np.inf)
+                at_q, at_r = np.nonzero(near <= (bound + 1e-9 * (1 + norm + _squared(part).max(initial=0)))[:, None])
+                exact = np.sqrt(_squared(q[at_q] - part[at_r]))
+                every_q, every_d, every_i = np.concatenate([np.repeat(np.arange(len(q)), k), at_q]), np.concatenate([best_d.ravel(), exact]), np.concatenate([best_i.ravel(), own[at_r]])
+                order = np.lexsort((every_i, every_d, every_q))
+                first = np.searchsorted(every_q[order], np.arange(len(q)))
+                kept = order[first[:, None] + np.arange(k)[None, :]]
+                best_d, best_i = every_d[kept], every_i[kept]
+        there = np.isfinite(best_d)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k)[there.ravel()]), pa.array(best_i[there]), pa.array(best_d[there])], names=["query_id", "id", "distance"])
+
+    given = vectors_.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    some = given.mapInArrow(local, "query_id long, id long, distance double")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    distance = F.col("distance") if metric == "l2" else F.col("distance") * F.col("distance") / 2
+    return ranked.select("query_id", "id", distance.alias("distance"), "rank")

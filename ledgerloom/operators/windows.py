@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ledgerloom.operators.writes import with_row_ids
+
 Order = Sequence[str | Column]
 
 
@@ -16,6 +18,16 @@ def spec(partition: Sequence[str], order: Order) -> WindowSpec:
     return w.orderBy(*order)
 
 
+def with_global_rank(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rank() OVER (ORDER BY order) over all rows: numbers from ranges, of which equal rows share the least; no task orders all rows."""
+    numbered = with_row_ids(rows, order, 0, "__id")
+    first = numbered.groupBy(*order).agg(F.min("__id").alias(name)).select(*(F.col(c).alias(f"__{c}") for c in order), name)
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return numbered.join(first, same).drop("__id", *(f"__{c}" for c in order))
+
+
 def with_groups_frame(df: DataFrame, name: str, aggregate: Column, *, partition: Sequence[str], order: Order, before: int, after: int) -> DataFrame:
     """``aggregate`` over GROUPS BETWEEN before PRECEDING AND after FOLLOWING: peers get one dense rank, and RANGE counts ranks."""
     rank = f"__{name}_rank"

@@ -1,17 +1,16 @@
 """An append-only history of events: immutable segments, each linked to the one before, and heads that move last.
 
 A segment is a Parquet directory; its digest covers the digest before it, its count, and the sum of its rows' hashes, which
-include their places.  A head is a one-row directory that names a segment; readers take the newest complete one and check the
-links back from it, one row for each segment.
+include their places.  A head is a one-row directory that names a segment; an append reads the newest complete one.  Segments and heads
+are partitions of two tables, so a load recomputes all digests and checks all links in one grouping and one join.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.snapshots import shared_folder
@@ -31,43 +30,58 @@ class EventStore:
     def __post_init__(self) -> None:
         self.folder = self.folder or f"{shared_folder(self.spark)}/events-{uuid.uuid4().hex[:10]}"
 
-    def _heads(self) -> list:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _newest(self) -> Row | None:
+        """The newest complete head."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path(f"{self.folder}/heads")):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.folder}/heads")) if fs.exists(path(f"{s.getPath()}/_SUCCESS"))]
-        return self.spark.read.parquet(*(f"{self.folder}/heads/{n}" for n in sorted(names))).orderBy("segment").collect() if names else []
-
-    def _digest(self, rows: DataFrame, before: str) -> tuple[str, int, int]:
-        found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h"), F.coalesce(F.max("idx"), F.lit(0)).alias("top")).head()
-        return hashlib.sha256(f"{before}|{found.n}|{found.h}".encode()).hexdigest(), found.n, found.top
+            return None
+        for name in sorted((s.getPath().getName() for s in fs.listStatus(path(f"{self.folder}/heads"))), reverse=True):
+            if name.startswith("segment=") and fs.exists(path(f"{self.folder}/heads/{name}/_SUCCESS")):
+                return self.spark.read.option("basePath", f"{self.folder}/heads").schema(_HEAD).parquet(f"{self.folder}/heads/{name}").head()
+        return None
 
     def append(self, events: DataFrame) -> None:
         """Adds events (idx, ...), whose places must follow the last one."""
-        heads = self._heads()
-        before, top, number = (heads[-1].digest, heads[-1].top, heads[-1].segment + 1) if heads else ("", 0, 0)
-        path = f"{self.folder}/segments/s{number:09d}"
-        events.write.mode("overwrite").parquet(path)
-        rows = self.spark.read.parquet(path)
+        newest = self._newest()
+        before, top, number = (newest.digest, newest.top, int(newest.segment) + 1) if newest else ("", 0, 0)
+        name = f"segment={number:09d}"
+        events.write.mode("overwrite").parquet(f"{self.folder}/segments/{name}")
+        rows = self.spark.read.parquet(f"{self.folder}/segments/{name}")
         if rows.where(F.col("idx") <= top).limit(1).count():
             raise BrokenHistory("a place that is already taken")
-        digest, n, last = self._digest(rows, before)
-        head = [(number, before, digest, n, max(last, top))]
-        self.spark.createDataFrame(head, "segment long, before string, digest string, n long, top long").coalesce(1).write.parquet(f"{self.folder}/heads/h{number:09d}")
+        found = rows.agg(*_totals(rows), F.coalesce(F.max("idx"), F.lit(0)).alias("last")).withColumn("before", F.lit(before))
+        head = found.select("before", _link(F.col("before")).alias("digest"), "n", F.greatest(F.col("last"), F.lit(top)).alias("top"))
+        head.coalesce(1).write.parquet(f"{self.folder}/heads/{name}")
 
     def load(self, *, verify: bool = True) -> DataFrame:
         """All events; with ``verify`` every segment's digest is recomputed and every link checked first."""
-        heads = self._heads()
-        if not heads:
+        newest = self._newest()
+        if newest is None:
             raise BrokenHistory("no history")
-        before = ""
-        for h in heads:
-            rows = self.spark.read.parquet(f"{self.folder}/segments/s{h.segment:09d}")
-            if h.before != before or (verify and self._digest(rows, before)[0] != h.digest):
-                raise BrokenHistory(f"segment {h.segment}")
-            before = h.digest
-        return self.spark.read.parquet(*(f"{self.folder}/segments/s{h.segment:09d}" for h in heads))
+        segments = self.spark.read.parquet(f"{self.folder}/segments").withColumn("segment", F.lpad(F.col("segment").cast("string"), 9, "0")).where(F.col("segment") <= newest.segment)
+        heads = self.spark.read.schema(_HEAD).parquet(f"{self.folder}/heads").where(F.col("segment") <= newest.segment)
+        if verify:
+            rows = segments.drop("segment")
+            made = segments.groupBy("segment").agg(*_totals(rows))
+            previous = heads.select(F.lpad((F.col("segment").cast("long") + 1).cast("string"), 9, "0").alias("segment"), F.col("digest").alias("linked"))
+            joined = heads.drop("n").join(made, "segment", "left").join(previous, "segment", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("h", F.coalesce("h", F.lit("0")))
+            wrong = joined.where((F.col("before") != F.coalesce("linked", F.lit(""))) | (F.col("digest") != _link(F.col("before")))).select(F.min("segment").alias("s")).head().s
+            if wrong is not None or heads.count() != int(newest.segment) + 1:
+                raise BrokenHistory(f"segment {wrong}")
+        return segments.drop("segment")
+
+
+_HEAD = "before string, digest string, n long, top long, segment string"
+
+
+def _totals(rows: DataFrame) -> list[Column]:
+    """Count and sum of hashes of rows."""
+    return [F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h")]
+
+
+def _link(before: Column) -> Column:
+    return F.sha2(F.concat_ws("|", before, F.col("n").cast("string"), F.col("h")), 256)
 
 
 def chunks(content: DataFrame, id_col: str, data_col: str, size: int = 64 << 10) -> DataFrame:
