@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog import ledgers
 from ledgerloom.catalog._registry import Registry
 from ledgerloom.ledger import replay
-from ledgerloom.operators import recursion
+from ledgerloom.operators import aggregates, recursion
 from ledgerloom.plans.budget import within
 from ledgerloom.plans.policy import Rejected
 from ledgerloom.sources.event_store import EventStore, chunks, read_range
@@ -54,10 +55,15 @@ def relay_flooding(spark: SparkSession, d: str) -> DataFrame:
 
 @query("time_budget", "PL-07", "SELECT 'step_limit' AS slow, 25 AS quick")
 def time_budget(spark: SparkSession, d: str) -> DataFrame:
-    lines = read_table(spark, d, "lineitem").select("l_orderkey")
-    endless = lines.crossJoin(lines.toDF("b")).crossJoin(lines.toDF("c")).where("l_orderkey + b + c < 0")
+    """A read that takes 20 s is stopped after one."""
+
+    def linger(batches):
+        time.sleep(20)
+        yield from batches
+
+    slow_read = read_table(spark, d, "nation").select("n_nationkey").mapInArrow(linger, "n_nationkey int")
     try:
-        within(spark, 2.0, endless.count)
+        within(spark, 1.0, slow_read.count)
         slow = "none"
     except Rejected as e:
         slow = e.code
@@ -83,7 +89,7 @@ def _round_trip(kind: str, **options: str):
     return run
 
 
-for _kind, _options in (("csv", {"header": "true"}), ("json", {}), ("orc", {}), ("parquet", {})):
+for _kind, _options in (("csv", {"header": "true"}), ("json", {}), ("orc", {}), ("parquet", {}), ("xml", {"rowTag": "row"})):
     REGISTRY.add(f"ext_format_{_kind}", "SRC-22", _round_trip(_kind, **_options), "SELECT * FROM customer")
 
 
@@ -91,3 +97,21 @@ for _kind, _options in (("csv", {"header": "true"}), ("json", {}), ("orc", {}),
 def ext_sql_function(spark: SparkSession, d: str) -> DataFrame:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION gross_of(net DOUBLE) RETURNS DOUBLE RETURN net * 1.19D")
     return read_table(spark, d, "orders").select("o_orderkey", F.expr("gross_of(o_totalprice)").alias("gross"))
+
+
+@query("ext_user_aggregate", "UF-01", "SELECT o_orderstatus, round(sqrt(avg(o_totalprice * o_totalprice)), 2) AS rms, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def ext_user_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """A user aggregate in two phases: Arrow batches to partial sums in the tasks, and their sums after one small shuffle."""
+    return aggregates.user_aggregate(read_table(spark, d, "orders"), "o_orderstatus", "o_totalprice", _square_parts, lambda n, s: F.round(F.sqrt(s / n), 2)).select("o_orderstatus", F.col("value").alias("rms"), "n")
+
+
+def _square_parts(values):
+    """(count, sum of squares) of a batch."""
+    return len(values), float((values * values).sum())
+
+
+@query("ext_table_function", "UF-01", "SELECT n_nationkey, CAST(unnest(generate_series(1, n_regionkey)) AS BIGINT) AS step FROM nation")
+def ext_table_function(spark: SparkSession, d: str) -> DataFrame:
+    read_table(spark, d, "nation").createOrReplaceTempView("nation")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION steps_to(top INT) RETURNS TABLE (step BIGINT) RETURN SELECT explode(CASE WHEN top > 0 THEN sequence(1L, CAST(top AS BIGINT)) END)")
+    return spark.sql("SELECT n_nationkey, step FROM nation, LATERAL steps_to(n_regionkey)")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.catalog._registry import Registry
 from ledgerloom.functions import values
-from ledgerloom.ledger import history, replay
-from ledgerloom.sources.snapshots import SnapshotStore
+from ledgerloom.ledger import history, replay, sql_programs
+from ledgerloom.operators.folds import line_digests
+from ledgerloom.sources.snapshots import SnapshotStore, checkpointed
 from ledgerloom.sources.tables import read_table
 
 REGISTRY = Registry()
@@ -116,35 +117,56 @@ def ledger_checkpoint_plan(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in kept], "prefix long")
 
 
-@query("ledger_final_prefix", "LG-10 LG-12 LG-13 LG-14 LG-19 LG-20 SRC-15 SM-11", "SELECT 100 AS final_rows, true AS refused, true AS leased, true AS blocked, true AS unavailable, 2 AS revisions_seen")
-def ledger_final_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Publishes, finalizes, is refused a change of the final prefix, and reads a leased older revision."""
-    whole = programs(spark, d)
+def _published(spark: SparkSession, d: str) -> tuple[replay.Materializer, DataFrame, int, str]:
+    """A materializer that has published half of the ledger, under a lease, and then all of it: (it, the ledger, its length, the lease)."""
+    whole = checkpointed(programs(spark, d))
     n = whole.count()
-    half, quarter = n // 2, n // 4
-    m = replay.Materializer(spark, SnapshotStore(spark), every=100)
-    m.materialize(whole.where(F.col("idx") <= half))
+    m = replay.Materializer(spark, SnapshotStore(spark), every=max(1, n // 10))
+    m.materialize(whole.where(F.col("idx") <= n // 2))
     lease = m.store.capture()
-    m.finalize(100)
-    final_rows = m.final_log().count()
-    second = m.materialize(whole)
-    m.finalize(max(100, quarter))
-    refused = blocked = unavailable = False
-    try:
-        m.materialize(history.with_index(whole.where(F.col("idx") != max(50, quarter // 2)).drop("idx")).select(*whole.columns))
-    except replay.ProtectedPrefix:
-        refused = True
-    try:
-        m.materialize(whole, manifest="unknown")
-    except replay.ManifestUnavailable:
-        blocked = True
-    try:
-        m.store.read("log", 999)
-    except LookupError:
-        unavailable = True
-    leased = m.store.leased(lease, "log").count() == half and second.replayed == n - half
-    m.store.release(lease)
-    return spark.createDataFrame([(final_rows, refused, leased, blocked, unavailable, second.number)], "final_rows int, refused boolean, leased boolean, blocked boolean, unavailable boolean, revisions_seen int")
+    m.materialize(whole)
+    return m, whole, n, lease
+
+
+_LOG = f"WITH RECURSIVE {_replayed(_LEDGER)}, log AS (SELECT l.tx_id, f.ok, row_number() OVER (ORDER BY l.ts_ms, l.author, l.tx_id) AS idx, count(*) OVER () AS n FROM ({_LEDGER}) l JOIN f ON f.tx_id = l.tx_id)"
+_OUTCOME = "CASE WHEN ok THEN 'accepted' ELSE 'rejected' END AS outcome"
+
+
+@query("ledger_final_prefix", "LG-10 SM-11", f"{_LOG} SELECT idx, tx_id, {_OUTCOME} FROM log WHERE idx <= n // 4")
+def ledger_final_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The final quarter of the log: it stays as it is when a change of it is tried, and when a shorter prefix is declared final."""
+    m, whole, n, _ = _published(spark, d)
+    m.finalize(n // 4)
+    without = history.with_index(whole.where(F.col("idx") != n // 8).drop("idx")).select(*whole.columns)
+    for refused, work in ((replay.ProtectedPrefix, lambda: m.materialize(without)), (ValueError, lambda: m.finalize(n // 8)), (replay.ManifestUnavailable, lambda: m.materialize(whole, manifest="unknown"))):
+        try:
+            work()
+        except refused:
+            continue
+        raise AssertionError("a change of the final prefix was taken")
+    return m.final_log().select("idx", "tx_id", "outcome")
+
+
+@query("ledger_leased_revision", "LG-12 LG-13 LG-14 SRC-15", f"{_LOG} SELECT idx, tx_id, {_OUTCOME} FROM log WHERE idx <= n // 2")
+def ledger_leased_revision(spark: SparkSession, d: str) -> DataFrame:
+    """The older revision as its lease reads it, after a newer one was published and old ones were dropped."""
+    m, _, _, lease = _published(spark, d)
+    m.store.retain(1)
+    return m.store.leased(lease, "log").select("idx", "tx_id", "outcome")
+
+
+@query("ledger_blocked", "LG-19 LG-20", "SELECT true AS blocked, true AS unavailable, true AS unchanged")
+def ledger_blocked(spark: SparkSession, d: str) -> DataFrame:
+    """An unknown manifest and a lost revision stop the work and reject nothing."""
+    m, whole, _, _ = _published(spark, d)
+    before, found = m.head, []
+    for refused, work in ((replay.ManifestUnavailable, lambda: m.materialize(whole, manifest="unknown")), (LookupError, lambda: m.store.read("log", 999))):
+        try:
+            work()
+            found.append(False)
+        except refused:
+            found.append(True)
+    return spark.createDataFrame([(*found, m.head == before)], "blocked boolean, unavailable boolean, unchanged boolean")
 
 
 @query("ledger_emit_only", "LG-18", f"SELECT tx_id, 'rejected' AS outcome, 'profile:sql-disabled' AS rejection_code FROM ({_LEDGER})")
@@ -184,12 +206,12 @@ def ledger_equivocation(spark: SparkSession, d: str) -> DataFrame:
 @query("ledger_selected_history", "LG-24 JN-13", f"SELECT tx_id, segment FROM ({_CHAIN}) c JOIN (VALUES (0, 0, 300), (1, 2, 500), (2, 3, NULL)) AS s(segment, generation, cutoff) ON c.generation = s.generation WHERE cutoff IS NULL OR seq <= cutoff")
 def ledger_selected_history(spark: SparkSession, d: str) -> DataFrame:
     segments = spark.createDataFrame([(0, 0, 300), (1, 2, 500), (2, 3, None)], "segment int, generation long, cutoff int")
-    return history.selected_history(_chain(spark, d), F.broadcast(segments)).select("tx_id", "segment")
+    return history.selected_history(_chain(spark, d), segments).select("tx_id", "segment")
 
 
 @query("ledger_digest", "AG-16", "SELECT event_type, sha256(string_agg(CAST(event_id AS VARCHAR), chr(10) ORDER BY event_id)) AS digest FROM events GROUP BY event_type")
 def ledger_digest(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "events").groupBy("event_type").agg(values.ordered_digest([F.col("event_id")], F.col("event_id")).alias("digest"))
+    return line_digests(read_table(spark, d, "events"), "event_type", [F.col("event_id")], F.col("event_id").cast("string"))
 
 
 @query("op_state", "LG-27", "SELECT event_id AS tx_id, CASE WHEN event_id % 11 = 0 THEN 'abandoned' WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'applied' WHEN event_id % 3 = 0 THEN 'needs_reapply' ELSE 'saved' END AS state FROM events")
@@ -217,6 +239,136 @@ def command_export(spark: SparkSession, d: str) -> DataFrame:
     return history.export_range(rows, after=100, limit=100, max_bytes=2525).select("tx_id", "idx")
 
 
+# SQL programs.
+
+
+def _sql_ledger(spark: SparkSession, d: str, steps: Column) -> DataFrame:
+    """The events' ledger with SQL steps, dealt by author."""
+    out = history.with_index(ledger(spark, d))
+    return out.select("idx", "tx_id", F.col("author").cast("string").alias("grp"), F.col("author").cast("string").alias("author"), "ts_ms", "event_type", "amount", steps.cast(f"array<{sql_programs.STEP}>").alias("steps"))
+
+
+def _statement(text: str, *values: Column) -> Column:
+    params = F.concat(F.lit("["), F.concat_ws(",", *(v.cast("string") for v in values)), F.lit("]")) if values else F.lit(None).cast("string")
+    return F.struct(F.lit(text).alias("sql"), params.alias("params"), F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("payload"))
+
+
+def _emit(topic: Column) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("sql"), F.lit(None).cast("string").alias("params"), topic.alias("topic"), F.lit("{}").alias("payload"))
+
+
+_ACCOUNTS = (
+    "CREATE TABLE account(k INTEGER PRIMARY KEY, balance INTEGER NOT NULL CHECK (balance >= 0))", "CREATE TABLE audit(tx INTEGER PRIMARY KEY, was INTEGER, now INTEGER)",
+    "CREATE TRIGGER spent AFTER UPDATE OF balance ON account WHEN new.balance < old.balance BEGIN INSERT INTO audit VALUES (transaction_id(), old.balance, new.balance); END",
+)
+
+
+def _account_programs(spark: SparkSession, d: str) -> DataFrame:
+    """A credit is an upsert; a debit asserts the balance and lowers it."""
+    credit = _statement("INSERT INTO account(k, balance) VALUES (1, ?1) ON CONFLICT(k) DO UPDATE SET balance = balance + excluded.balance", F.col("amount"))
+    check = _statement("SELECT assert_that(coalesce((SELECT balance FROM account WHERE k = 1), -1) >= ?1, 'balance')", -F.col("amount"))
+    debit = _statement("UPDATE account SET balance = balance - ?1 WHERE k = 1", -F.col("amount"))
+    return _sql_ledger(spark, d, F.when(F.col("amount") < 0, F.array(check, debit, _emit(F.col("event_type")))).otherwise(F.array(credit, _emit(F.col("event_type")))))
+
+
+def _accounts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return sql_programs.replay(_account_programs(spark, d), _ACCOUNTS, ("account", "audit"))
+
+
+@query("sql_replay_outcomes", "LG-01 LG-02 LG-03 LG-04 FN-01 FN-CNT SNK-05", f"WITH RECURSIVE {_replayed(_LEDGER)} SELECT tx_id, CASE WHEN ok THEN 'accepted' ELSE 'rejected' END AS outcome, CASE WHEN NOT ok THEN 'assert:balance' END AS rejection_code, CASE WHEN NOT ok THEN 0 END AS failing_step, CASE WHEN NOT ok THEN 0 WHEN amount < 0 THEN 2 ELSE 1 END AS changes FROM f")
+def sql_replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Changed rows count the trigger's."""
+    return _accounts(spark, d)[0].select("tx_id", "outcome", "rejection_code", "failing_step", "changes")
+
+
+@query("sql_replay_audit", "UF-05 LG-02 FN-07", f"WITH RECURSIVE {_replayed(_LEDGER)} SELECT tx_id, balance - amount AS was, balance AS \"now\" FROM f WHERE ok AND amount < 0")
+def sql_replay_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What an AFTER UPDATE OF ... WHEN trigger wrote, for accepted programs only."""
+    row = F.from_json("row", "tx long, was long, now long")
+    return _accounts(spark, d)[1].where("tbl = 'audit'").select(row.alias("r")).select(F.col("r.tx").alias("tx_id"), "r.was", "r.now")
+
+
+@query("sql_replay_events", "SM-01 LG-02", f"WITH RECURSIVE {_replayed(_LEDGER)} SELECT e.event_type AS topic, count(*) AS n FROM f JOIN events e ON e.event_id = f.tx_id WHERE ok GROUP BY 1")
+def sql_replay_events(spark: SparkSession, d: str) -> DataFrame:
+    return _accounts(spark, d)[2].groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("sql_replay_resumed", "LG-06 LG-08 LG-14", f"WITH RECURSIVE {_replayed(_LEDGER)} SELECT CAST(author AS VARCHAR) AS grp, arg_max(balance, n) AS balance FROM f GROUP BY author HAVING bool_or(ok)")
+def sql_replay_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the ledger, its stored state, and the other half over it, without the stored rows firing triggers."""
+    programs_ = checkpointed(_account_programs(spark, d))
+    half = programs_.count() // 2
+    state = sql_programs.replay(programs_.where(F.col("idx") <= half), _ACCOUNTS, ("account", "audit"))[1]
+    after = sql_programs.replay(programs_.where(F.col("idx") > half), _ACCOUNTS, ("account", "audit"), state=state)[1]
+    return after.where("tbl = 'account'").select("grp", F.from_json("row", "balance long")["balance"].alias("balance"))
+
+
+@query("sql_replay_cascade", "UF-05 SNK-03 SNK-06", f"SELECT tx_id FROM (SELECT *, coalesce(max(CASE WHEN event_type = 'signup' THEN n END) OVER (PARTITION BY author), 0) AS last FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY ts_ms, tx_id) AS n FROM ({_LEDGER}))) WHERE n >= last")
+def sql_replay_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """A signup deletes the parent, and its children go by the foreign key's cascade; every program then adds a child."""
+    schema = ("CREATE TABLE parent(k INTEGER PRIMARY KEY)", "CREATE TABLE child(tx INTEGER PRIMARY KEY, parent INTEGER NOT NULL REFERENCES parent(k) ON DELETE CASCADE)")
+    add = (_statement("INSERT OR IGNORE INTO parent VALUES (1)"), _statement("INSERT INTO child VALUES (transaction_id(), 1)"))
+    steps = F.when(F.col("event_type") == "signup", F.array(_statement("DELETE FROM parent WHERE k = 1"), *add)).otherwise(F.array(*add))
+    state = sql_programs.replay(_sql_ledger(spark, d, steps), schema, ("child",))[1]
+    return state.select(F.from_json("row", "tx long")["tx"].alias("tx_id"))
+
+
+@query("sql_replay_replace", "SNK-04 UF-05", f"SELECT tx_id, n < last AS gone FROM (SELECT tx_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY author) AS last FROM ({_LEDGER}) WINDOW w AS (PARTITION BY author ORDER BY ts_ms, tx_id))")
+def sql_replay_replace(spark: SparkSession, d: str) -> DataFrame:
+    """REPLACE fires the delete trigger of the row that it replaces."""
+    schema = ("CREATE TABLE slot(k INTEGER PRIMARY KEY, tx INTEGER)", "CREATE TABLE gone(tx INTEGER)", "CREATE TRIGGER g AFTER DELETE ON slot BEGIN INSERT INTO gone VALUES (old.tx); END")
+    state = sql_programs.replay(_sql_ledger(spark, d, F.array(_statement("REPLACE INTO slot VALUES (1, transaction_id())"))), schema, ("slot", "gone"))[1]
+    return state.select(F.from_json("row", "tx long")["tx"].alias("tx_id"), (F.col("tbl") == "gone").alias("gone"))
+
+
+@query("sql_replay_triggers", "UF-05", f"SELECT tx_id, CASE WHEN event_type = 'view' THEN 4 ELSE 1 END AS links, event_type <> 'click' AS before_ran FROM ({_LEDGER}) WHERE event_type <> 'purchase'")
+def sql_replay_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """A recursive trigger links a view three times more, a BEFORE trigger marks all but clicks, and another one refuses purchases."""
+    schema = (
+        "CREATE TABLE link(tx INTEGER, depth INTEGER, kind TEXT)", "CREATE TABLE mark(tx INTEGER PRIMARY KEY)",
+        "CREATE TRIGGER refuse BEFORE INSERT ON link WHEN new.kind = 'purchase' BEGIN SELECT RAISE(ABORT, 'no purchases'); END",
+        "CREATE TRIGGER marked BEFORE INSERT ON link WHEN new.depth = 0 AND new.kind <> 'click' BEGIN INSERT INTO mark VALUES (new.tx); END",
+        "CREATE TRIGGER deeper AFTER INSERT ON link WHEN new.kind = 'view' AND new.depth < 3 BEGIN INSERT INTO link VALUES (new.tx, new.depth + 1, new.kind); END",
+    )
+    insert = _statement("INSERT INTO link VALUES (transaction_id(), 0, ?1)", F.concat(F.lit('"'), "event_type", F.lit('"')))
+    state = sql_programs.replay(_sql_ledger(spark, d, F.array(insert)), schema, ("link", "mark"))[1]
+    rows = state.select("tbl", F.from_json("row", "tx long")["tx"].alias("tx_id"))
+    return rows.groupBy("tx_id").agg(F.count(F.when(F.col("tbl") == "link", 1)).alias("links"), F.bool_or(F.col("tbl") == "mark").alias("before_ran"))
+
+
+_TRIED = (
+    ("INSERT INTO t VALUES (1, datetime('now'))", None), ("INSERT INTO t VALUES (NULL, 'x')", "constraint"), ("ATTACH 'x' AS y", "denied"), ("SELECT random()", "denied"), ("WITH RECURSIVE r(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM r) SELECT count(*) FROM r", "step_limit"),
+    ("SELECT nothing FROM t", "prepare"), ("SELECT assert_that(1 = 2, 'sum')", "assert:sum"), ("SELECT ?1", "binding"), ("COMMIT", "denied"), ("PRAGMA user_version = 3", "denied"), ("SELECT 1; SELECT 2", "prepare"), ("SELECT abs(-9223372036854775807 - 1)", "error"),
+)
+
+
+@query("sql_replay_rejections", "LG-20 PL-03 PL-07 PL-11 FN-08 SO-07", "SELECT event_id AS tx_id, " + "CASE event_id % 12 " + " ".join(f"WHEN {i} THEN {'NULL' if c is None else repr(c)}" for i, (_, c) in enumerate(_TRIED)) + " END AS rejection_code FROM events")
+def sql_replay_rejections(spark: SparkSession, d: str) -> DataFrame:
+    """Each transaction tries one statement; each on a group of its own."""
+    steps = F.array(_statement(_TRIED[0][0]))
+    for i, (text, _) in enumerate(_TRIED[1:], 1):
+        steps = F.when(F.col("tx_id") % len(_TRIED) == i, F.array(_statement(text))).otherwise(steps)
+    programs_ = _sql_ledger(spark, d, steps).withColumn("grp", F.concat_ws("/", "grp", F.col("tx_id") % len(_TRIED)))
+    once = "CREATE TABLE t(k INTEGER NOT NULL, at TEXT NOT NULL)"
+    return sql_programs.replay(programs_, (once,), ("t",), budget=20_000)[0].select("tx_id", "rejection_code")
+
+
+_CONTROLLED = f"SELECT * FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN tx_id END) OVER (PARTITION BY author ORDER BY ts_ms, tx_id ROWS UNBOUNDED PRECEDING) AS control FROM ({_LEDGER}))"
+
+
+@query("replay_under_controls", "LG-23", f"""WITH RECURSIVE {_replayed(f'SELECT * FROM ({_CONTROLLED}) WHERE control IS NOT NULL')}
+SELECT c.tx_id, c.control, CASE WHEN c.control IS NULL THEN 'platform:not_member' WHEN NOT f.ok THEN 'assert:balance' END AS rejection_code FROM ({_CONTROLLED}) c LEFT JOIN f ON f.tx_id = c.tx_id""")
+def replay_under_controls(spark: SparkSession, d: str) -> DataFrame:
+    """Each program under the membership of its own place: nobody acts before the author's first signup, and a program that its control bars doesn't run."""
+    programs_ = _account_programs(spark, d)
+    places = programs_.select("idx", "tx_id", "author", "event_type")
+    controls = places.where("event_type = 'signup'").withColumn("control", F.col("tx_id"))
+    known = history.as_of(places, controls, "author", "idx").select("tx_id", F.col("control").cast("long").alias("control"))
+    under = checkpointed(programs_.join(known, "tx_id").withColumn("code", F.when(F.col("control").isNull(), "platform:not_member")))
+    outcomes = sql_programs.replay(under, _ACCOUNTS, ("account",))[0]
+    return under.select("tx_id", "control").join(outcomes, "tx_id").select("tx_id", "control", "rejection_code")
+
+
 @query("tx_context", "FN-02 FN-07 FN-08", f"SELECT tx_id, author AS actor, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S') AS now FROM ({_LEDGER})")
 def tx_context(spark: SparkSession, d: str) -> DataFrame:
     from ledgerloom.functions import dates

@@ -61,7 +61,7 @@ def _writes(spark: SparkSession, d: str) -> DataFrame:
 _CHECKED = """SELECT o_orderkey AS tx_id, o_custkey AS c, (o_orderkey % 2 = 0 OR (o_custkey % 3 = 0 AND o_custkey % 9 <> 0 AND (o_custkey % 2 = 1 OR o_orderkey % 4 = 1))) AND o_orderkey % 10 <> 0 AS allowed FROM orders"""
 
 
-@query("owner_check_update", "OW-03 OW-04 OW-05 OW-06", f"SELECT tx_id, allowed FROM ({_CHECKED})")
+@query("owner_check_update", "OW-04 OW-06", f"SELECT tx_id, allowed FROM ({_CHECKED})")
 def owner_check_update(spark: SparkSession, d: str) -> DataFrame:
     return own.check_writes(_writes(spark, d), _owners(spark, d), own.live_grants(_grants(spark, d)), "orders").select("tx_id", "allowed")
 
@@ -73,6 +73,53 @@ def owner_statement_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return own.statement_outcomes(checked.withColumn("tx_id", F.col("owner").cast("long")), "orders")
 
 
+def _row_grants(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's grant to the next one: of inserts if its number is even, of deletes if it is a multiple of 3; multiples of 5 are revoked."""
+    k = F.col("c_custkey")
+    return read_table(spark, d, "customer").select(k.alias("grant_id"), F.lit("orders").alias("tbl"), k.cast("string").alias("grantor"), (k + 1).cast("string").alias("grantee"), F.lit(None).cast("string").alias("row_key"), (k % 2 == 0).alias("op_insert"), F.lit(False).alias("op_update"), (k % 3 == 0).alias("op_delete"),
+        F.lit(None).cast("array<string>").alias("columns"), F.lit(1).cast("long").alias("created_tx"), F.when(k % 5 == 0, F.lit(2).cast("long")).alias("revoked_tx"))
+
+
+def _tries(spark: SparkSession, d: str, op: str) -> DataFrame:
+    """Every customer writes a row of its own, one of its nation, one of the customer before it, and one of a stranger."""
+    c = read_table(spark, d, "customer")
+    k = F.col("c_custkey")
+    owners = F.posexplode(F.array(k.cast("string"), F.concat(F.lit("n"), "c_nationkey"), (k - 1).cast("string"), F.lit("stranger")))
+    return c.select(k, owners.alias("n", "owner")).select((k * 4 + F.col("n")).cast("long").alias("tx_id"), k.cast("string").alias("actor"), F.lit(op).alias("op"), "owner", F.concat_ws("/", k, "n").alias("row_key"), F.array().cast("array<string>").alias("changed"), F.lit(None).cast("string").alias("new_owner"))
+
+
+def _tries_sql(role: str, grant: str) -> str:
+    return f"""SELECT CAST(c_custkey * 4 + n AS BIGINT) AS tx_id, CASE n WHEN 0 THEN true WHEN 1 THEN c_custkey % 5 <> 0 AND ({role}) WHEN 2 THEN ({grant}) AND (c_custkey - 1) % 5 <> 0 AND c_custkey - 1 IN (SELECT c_custkey FROM customer) ELSE false END AS allowed
+FROM customer, (VALUES (0), (1), (2), (3)) AS t(n)"""
+
+
+_INSERTS = _tries_sql("c_mktsegment IN ('BUILDING', 'MACHINERY')", "(c_custkey - 1) % 2 = 0")
+_DELETES = _tries_sql("c_mktsegment = 'BUILDING'", "(c_custkey - 1) % 3 = 0")
+
+
+@query("owner_check_insert", "OW-03", _INSERTS)
+def owner_check_insert(spark: SparkSession, d: str) -> DataFrame:
+    return own.check_writes(_tries(spark, d, "insert"), _owners(spark, d), own.live_grants(_row_grants(spark, d)), "orders").select("tx_id", "allowed")
+
+
+@query("owner_check_seed", "OW-03 OW-19", "SELECT CAST(c_custkey * 4 + n AS BIGINT) AS tx_id, true AS allowed FROM customer, (VALUES (0), (1), (2), (3)) AS t(n)")
+def owner_check_seed(spark: SparkSession, d: str) -> DataFrame:
+    """Inserts while the seeding window is open: rows of any owner."""
+    return own.check_writes(_tries(spark, d, "insert"), _owners(spark, d), own.live_grants(_row_grants(spark, d)), "orders", seeding=True).select("tx_id", "allowed")
+
+
+@query("owner_check_delete", "OW-05", _DELETES)
+def owner_check_delete(spark: SparkSession, d: str) -> DataFrame:
+    return own.check_writes(_tries(spark, d, "delete"), _owners(spark, d), own.live_grants(_row_grants(spark, d)), "orders").select("tx_id", "allowed")
+
+
+@query("owner_check_replace", "OW-03 OW-05 OW-07 SNK-04", f"SELECT tx_id, i.allowed AND d.allowed AS allowed FROM ({_INSERTS}) i JOIN ({_DELETES}) d USING (tx_id)")
+def owner_check_replace(spark: SparkSession, d: str) -> DataFrame:
+    """REPLACE of existing rows: a delete and an insert, each of which must be allowed, so it is no way around either check."""
+    tries = _tries(spark, d, "replace").withColumn("old_owner", F.col("owner"))
+    return own.check_replaces(tries, _owners(spark, d), own.live_grants(_row_grants(spark, d)), "orders").select("tx_id", "allowed")
+
+
 @query("grant_column_cap", "OW-06", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'o_orderstatus' ELSE 'o_totalprice' END AS changed FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, '' FROM orders WHERE o_orderkey % 3 = 0")
 def grant_column_cap(spark: SparkSession, d: str) -> DataFrame:
     before = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -101,16 +148,10 @@ def membership_state(spark: SparkSession, d: str) -> DataFrame:
     return own.membership_state(_changes(spark, d))
 
 
-@query("last_admin_rule", "OW-09", f"SELECT collective FROM (SELECT collective, member, arg_max(role, tx) AS role, arg_max(action, tx) AS action FROM ({_CHANGES}) WHERE member % 3 = 0 GROUP BY collective, member) GROUP BY collective HAVING count(*) FILTER (WHERE role = 'admin' AND action <> 'leave') = 0")
+@query("last_admin_rule", "OW-09", f"SELECT collective FROM (SELECT member // 3 AS collective, member, arg_max(role, tx) AS role, arg_max(action, tx) AS action FROM ({_CHANGES}) GROUP BY 1, member) GROUP BY collective HAVING count(*) FILTER (WHERE role = 'admin' AND action <> 'leave') = 0")
 def last_admin_rule(spark: SparkSession, d: str) -> DataFrame:
-    return own.without_admin(own.membership_state(_changes(spark, d).where("member % 3 = 0")))
-
-
-@query("fk_closure", "JN-11 OW-10", """
-SELECT 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 100 = 1 UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 100 = 1
-UNION ALL SELECT 'lineitem', CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 100 = 1)""")
-def fk_closure(spark: SparkSession, d: str) -> DataFrame:
-    return _closure(spark, d, read_table(spark, d, "customer").where("c_custkey % 100 = 1"))
+    """Collectives of three users each."""
+    return own.without_admin(own.membership_state(_changes(spark, d).withColumn("collective", F.floor(F.col("member") / 3))))
 
 
 def _closure(spark: SparkSession, d: str, customers: DataFrame) -> DataFrame:
@@ -120,10 +161,10 @@ def _closure(spark: SparkSession, d: str, customers: DataFrame) -> DataFrame:
     return recursion.dependency_closure(roots, [("customer", "orders", orders), ("orders", "lineitem", lines)])
 
 
-@query("fk_closure_all", "JN-11 OW-10", """
+@query("fk_closure", "JN-11 OW-10", """
 SELECT 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS key FROM customer UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'lineitem', CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer))""")
-def fk_closure_all(spark: SparkSession, d: str) -> DataFrame:
+def fk_closure(spark: SparkSession, d: str) -> DataFrame:
     return _closure(spark, d, read_table(spark, d, "customer"))
 
 
@@ -138,11 +179,11 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_key"), F.col("o_custkey").cast("string").alias("owner"), F.col("o_orderstatus").alias("content"))
 
 
-def _scope(spark: SparkSession, d: str, owners: str = "o_custkey % 10 = 1") -> DataFrame:
-    return read_table(spark, d, "orders").where(owners).select(F.col("o_custkey").alias("offer_id"), F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_key"))
+def _scope(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "orders").select(F.col("o_custkey").alias("offer_id"), F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("row_key"))
 
 
-_DIGEST = "SELECT o_custkey AS offer_id, sha256(string_agg('orders|' || o_orderkey || '|' || o_orderstatus, chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))) AS digest FROM orders WHERE o_custkey % 10 = 1 GROUP BY o_custkey"
+_DIGEST = "SELECT o_custkey AS offer_id, sha256(string_agg('orders|' || o_orderkey || '|' || o_orderstatus, chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))) AS digest FROM orders GROUP BY o_custkey"
 
 
 @query("transfer_digest", "OW-10 AG-16 ST-06", _DIGEST)
@@ -150,25 +191,20 @@ def transfer_digest(spark: SparkSession, d: str) -> DataFrame:
     return own.scope_digest(_rows(spark, d), _scope(spark, d))
 
 
-@query("transfer_digest_all", "OW-10 AG-16 ST-06", _DIGEST.replace(" WHERE o_custkey % 10 = 1", ""))
-def transfer_digest_all(spark: SparkSession, d: str) -> DataFrame:
-    return own.scope_digest(_rows(spark, d), _scope(spark, d, "true"))
-
-
-def _offers(spark: SparkSession, d: str, *owners: str) -> DataFrame:
-    made = own.scope_digest(_rows(spark, d), _scope(spark, d, *owners))
+def _offers(spark: SparkSession, d: str) -> DataFrame:
+    made = own.scope_digest(_rows(spark, d), _scope(spark, d))
     k = F.col("offer_id")
     return made.select(k, F.lit("orders").alias("tbl"), F.lit(None).cast("string").alias("row_key"), k.cast("string").alias("from_owner"), (k + 1).cast("string").alias("to_owner"), F.when(k % 3 == 0, "-").otherwise(F.col("digest")).alias("scope_digest"), F.when(k % 4 == 0, "closed").otherwise("open").alias("state"))
 
 
-_ACCEPTED = "SELECT offer_id, CASE WHEN offer_id % 4 = 0 THEN 'platform:offer_closed' WHEN offer_id % 7 = 0 THEN 'platform:not_addressee' WHEN offer_id % 3 = 0 THEN 'platform:offer_stale' ELSE 'accepted' END AS outcome FROM (SELECT DISTINCT o_custkey AS offer_id FROM orders WHERE o_custkey % 10 = 1)"
+_ACCEPTED = "SELECT offer_id, CASE WHEN offer_id % 4 = 0 THEN 'platform:offer_closed' WHEN offer_id % 7 = 0 THEN 'platform:not_addressee' WHEN offer_id % 3 = 0 THEN 'platform:offer_stale' ELSE 'accepted' END AS outcome FROM (SELECT DISTINCT o_custkey AS offer_id FROM orders)"
 
 
-def _accepted(spark: SparkSession, d: str, *owners: str) -> DataFrame:
-    offers = _offers(spark, d, *owners)
+def _accepted(spark: SparkSession, d: str) -> DataFrame:
+    offers = _offers(spark, d)
     k = F.col("offer_id")
     accepts = offers.select(k, F.when(k % 7 == 0, "nobody").otherwise(F.col("to_owner")).alias("actor"))
-    return own.accept_transfers(offers, own.scope_digest(_rows(spark, d), _scope(spark, d, *owners)), accepts)
+    return own.accept_transfers(offers, own.scope_digest(_rows(spark, d), _scope(spark, d)), accepts)
 
 
 @query("transfer_accept", "OW-10", _ACCEPTED)
@@ -176,28 +212,17 @@ def transfer_accept(spark: SparkSession, d: str) -> DataFrame:
     return _accepted(spark, d)
 
 
-@query("transfer_accept_all", "OW-10", _ACCEPTED.replace(" WHERE o_custkey % 10 = 1", ""))
-def transfer_accept_all(spark: SparkSession, d: str) -> DataFrame:
-    return _accepted(spark, d, "true")
-
-
 @query("transfer_apply", "OW-11 OW-12", f"SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN a.outcome = 'accepted' THEN CAST(o_custkey + 1 AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS owner FROM orders LEFT JOIN ({_ACCEPTED}) a ON a.offer_id = o_custkey")
 def transfer_apply(spark: SparkSession, d: str) -> DataFrame:
     return own.apply_transfers(_rows(spark, d), _scope(spark, d), _accepted(spark, d), _offers(spark, d)).select("row_key", "owner")
 
 
-@query("transfer_completeness", "OW-12", "SELECT o_custkey AS offer_id, CAST(o_orderkey AS VARCHAR) AS row_key FROM orders WHERE o_custkey % 10 = 1 AND o_orderkey % 6 = 0")
+@query("transfer_completeness", "OW-12", "SELECT o_custkey AS offer_id, CAST(o_orderkey AS VARCHAR) AS row_key FROM orders WHERE o_orderkey % 6 = 0")
 def transfer_completeness(spark: SparkSession, d: str) -> DataFrame:
     scope = _scope(spark, d)
     return own.incomplete_transfers(scope.where("cast(row_key as long) % 6 <> 0"), scope).select("offer_id", "row_key")
 
 
-@query("transfer_completeness_all", "OW-12", "SELECT o_custkey AS offer_id, CAST(o_orderkey AS VARCHAR) AS row_key FROM orders WHERE o_orderkey % 6 = 0")
-def transfer_completeness_all(spark: SparkSession, d: str) -> DataFrame:
-    scope = _scope(spark, d, "true")
-    return own.incomplete_transfers(scope.where("cast(row_key as long) % 6 <> 0"), scope).select("offer_id", "row_key")
-
-
 @query("lifecycle_invalidation", "OW-13", "SELECT 'grant' AS kind, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 9 <> 0 AND c_custkey % 5 = 0")
 def lifecycle_invalidation(spark: SparkSession, d: str) -> DataFrame:
     grants = _grants(spark, d).withColumn("row_key", F.col("grant_id").cast("string"))

@@ -49,7 +49,7 @@ def fts_near(spark: SparkSession, d: str) -> DataFrame:
 tf AS (SELECT doc_id, term, count(*) AS tf FROM p WHERE term IN ('idiot', 'trash') GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 5) AS score FROM tf JOIN df USING (term) JOIN l USING (doc_id) CROSS JOIN c GROUP BY tf.doc_id""")
 def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(_index(spark, d), ["idiot", "trash"]).select("doc_id", F.round("score", 5).alias("score"))
+    return search.bm25(read_table(spark, d, "documents"), ["idiot", "trash"]).select("doc_id", F.round("score", 5).alias("score"))
 
 
 @query("fts_highlight", "SE-02")

@@ -13,15 +13,16 @@ from ledgerloom.ledger import replay
 from ledgerloom.plans.definitions import Schema
 from ledgerloom.plans.policy import Mode, Rejected, check_statement, has_raise_ignore
 from ledgerloom.plans.session import Session, capped_rows
-from ledgerloom.sources.snapshots import checkpointed, shared_folder
+from ledgerloom.sources.snapshots import SnapshotStore, checkpointed, shared_folder
 from ledgerloom.sources.tables import read_table
 from ledgerloom.streaming import events as ev
+from ledgerloom.streaming import live
 from ledgerloom.streaming import signals as sg
 
 REGISTRY = Registry()
 query = REGISTRY.query
 
-_FOLD = f"WITH RECURSIVE {ledgers._replayed(ledgers._LEDGER)}, log AS (SELECT e.event_id AS tx_id, e.event_type AS topic, e.props AS payload, f.ok, row_number() OVER (ORDER BY e.ts, e.user_id, e.event_id) AS idx FROM events e JOIN f ON f.tx_id = e.event_id)"
+_FOLD = f"WITH RECURSIVE {ledgers._replayed(ledgers._LEDGER)}, log AS (SELECT e.event_id AS tx_id, e.event_type AS topic, e.props AS payload, f.ok, row_number() OVER (ORDER BY epoch_us(e.ts) // 1000, e.user_id, e.event_id) AS idx FROM events e JOIN f ON f.tx_id = e.event_id)"
 
 
 def _flat(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -93,16 +94,10 @@ def projection_stream(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
     name = f"projection_{uuid.uuid4().hex[:8]}"
-    path, schema = f"{d}/events.parquet", read_table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else d, **({} if _is_folder(spark, path) else {"pathGlobFilter": "events.parquet"}))
-    stream = stream.select(F.col("event_id").alias("idx"), F.lit(0).alias("ordinal"), F.col("event_id").alias("tx_id"), F.col("event_type").alias("topic"), F.col("props").alias("payload"))
-    ev.stream_projection(stream, _count, _START, name=name, folder=f"{shared_folder(spark)}/{name}").awaitTermination()
-    return ev.latest_states(spark.table(name)).select("key", "state")
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    stream = live.file_stream(spark, f"{d}/events.parquet").select(F.col("event_id").alias("idx"), F.lit(0).alias("ordinal"), F.col("event_id").alias("tx_id"), F.col("event_type").alias("topic"), F.col("props").alias("payload"))
+    folder = f"{shared_folder(spark)}/{name}"
+    ev.stream_projection(stream, _count, _START, name=name, folder=folder).awaitTermination()
+    return ev.latest_states(spark.read.parquet(ev.updates_of(folder))).select("key", "state")
 
 
 @query("projection_reset", "SM-07", "SELECT true AS version, true AS topics, false AS same")
@@ -135,6 +130,31 @@ def signal_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return sg.dedupe(_signals(spark, d)).select("author", "topic", "sequence", "issued_ms")
 
 
+@query("signal_dedupe_stream", "SM-12", "SELECT event_type AS topic, event_id AS sequence, count(*) AS n FROM events GROUP BY event_type, event_id")
+def signal_dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream in which every third message comes twice: once each leaves it."""
+    e = live.file_stream(spark, f"{d}/events.parquet")
+    once = e.select(F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("session"), F.col("event_id").alias("sequence"), F.col("event_type").alias("topic"), F.col("ts").cast("timestamp").alias("ts"))
+    again = once.withColumn("copy", F.explode(F.when(F.col("sequence") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
+    return live.stored(sg.dedupe_stream(again, ts="ts")).groupBy("topic", "sequence").agg(F.count("*").alias("n"))
+
+
+@query("stream_join", "SM-19", "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts >= v.ts AND epoch_us(p.ts) <= epoch_us(v.ts) + 7200000000")
+def stream_join(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases within two hours after a view of the same user, as a join of two streams."""
+    e = live.file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    views = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("seen"))
+    bought = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
+    return live.stored(live.joined_within(views, bought, "user_id", "seen", "bought", 7200)).select("view_id", "purchase_id")
+
+
+@query("live_query", "SM-20", "SELECT event_type, count(*) AS n, max(event_id) AS newest FROM events GROUP BY event_type")
+def live_query(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by type that answer again after each batch of a stream, published as revisions."""
+    counts = live.LiveQuery(spark, lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("newest")), SnapshotStore(spark))
+    return counts.follow(live.file_stream(spark, f"{d}/events.parquet", files_per_batch=1))
+
+
 _NOW = 1705300000000
 
 
