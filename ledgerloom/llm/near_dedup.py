@@ -39,9 +39,9 @@ from ledgerloom.llm._spark import LAST_ID, cut
 from ledgerloom.operators.graph import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)
-SKETCHES, PICKED = 24, 2
-#: Buckets of more members are joined in bands of length.
-BANDED = 64
+SKETCHES, PICKED = 24, 3
+#: Buckets of more members are joined in bands of length; places of a member's tally of words.
+BANDED, TALLY = 64, 512
 _SEEDS = np.random.default_rng(41).integers(1, 2**62, 2 * SKETCHES, dtype=np.int64).astype(np.uint64)
 
 
@@ -259,6 +259,8 @@ def bucket_links(texts: list[Words], component: list, fresh: list[bool], t: tupl
     rank = np.empty(len(every), np.int64)
     rank[np.lexsort((every, count))] = np.arange(len(every))
     alone = np.sort(count) == 1  # by rank: a word of one member meets nobody
+    size = np.array([len(x) for x in texts])
+    tally = np.stack([np.bincount((x.labelled % np.uint64(TALLY)).astype(np.int64), minlength=TALLY).astype(np.uint32) for x in texts])
     root = {c: c for c in component}
 
     def find(x):
@@ -271,14 +273,21 @@ def bucket_links(texts: list[Words], component: list, fresh: list[bool], t: tupl
     for i, own in enumerate(texts):
         n = len(own)
         prefix = np.sort(rank[np.searchsorted(every, own.labelled)])[: n - -(-t[0] * n // t[1]) + 1]
-        seen: dict[int, int] = {}
+        met: set[int] = set()
         for r in prefix[~alone[prefix]].tolist():
-            for j in index.get(r, ()):
-                seen[j] = seen.get(j, 0) + 1
-            index.setdefault(r, []).append(i)
-        for j in sorted(seen, key=lambda j: (-seen[j], j)):
+            met.update(index.setdefault(r, []))
+            index[r].append(i)
+        own_root = find(component[i])
+        js = np.array(sorted(j for j in met if (fresh[i] or fresh[j]) and find(component[j]) != own_root), np.int64)
+        if not len(js):
+            continue
+        need = -(-t[0] * np.maximum(size[js], n) // t[1])
+        js, need = js[np.minimum(size[js], n) >= need], need[np.minimum(size[js], n) >= need]
+        # Words that fall into the same of TALLY places are at least as many as the shared ones.
+        most = np.concatenate([np.minimum(tally[own], tally[i]).sum(1) for own in np.array_split(js, len(js) // 256 + 1)])
+        for j in js[most >= need].tolist():
             a, b = find(component[i]), find(component[j])
-            if a != b and (fresh[i] or fresh[j]) and linked(texts[j], own, t):
+            if a != b and linked(texts[j], own, t):
                 root[a] = b
                 out.append((j, i))
     return out
@@ -304,7 +313,9 @@ def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "tie", "b_doc", "b_tie"])
         A.release()
 
-    found = joined.groupBy("bucket", "band").applyInArrow(run, "doc long, tie long, b_doc long, b_tie long")
+    # Few bytes and much work: dealt by number, which isn't merged into a few tasks.
+    dealt = joined.repartition(X.bucket_count(members), "bucket", "band")
+    found = dealt.groupBy("bucket", "band").applyInArrow(run, "doc long, tie long, b_doc long, b_tie long")
     return found.select(F.struct("doc", "tie").alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_tie").alias("tie")).alias("b"))
 
 
@@ -325,14 +336,14 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     to_local = members.join(local, key).select("node", F.col("best.node").alias("leader"))
     to_top = local.select("bucket", F.col("best.node").alias("node")).join(top.select("bucket", F.col("best.node").alias("leader")), "bucket").select("node", "leader")
     led = to_local.unionByName(to_top).where(F.col("node") != F.col("leader"))
-    found = cut(_aligned(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), texts))
-    named = cut(components(found))
+    found = cut(_aligned(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), texts), small=True)
+    named = components(found)
     members = members.join(named, "node", "left").select(*key, "node", "words", "size", F.coalesce("component", F.col("node")).alias("component"))
     # A bucket of two was compared whole.
     ends = [F.min("component").alias("lo"), F.max("component").alias("hi")]
     spread = members.where("size > 2").groupBy(*key).agg(*ends).groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     several = spread.where("lo != hi").select("bucket")
-    return found.unionByName(cut(_rest(members.join(several, "bucket", "left_semi"), texts)))
+    return found.unionByName(cut(_rest(members.join(several, "bucket", "left_semi"), texts), small=True))
 
 
 def classes(docs: DataFrame) -> DataFrame:
