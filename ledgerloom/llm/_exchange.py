@@ -69,7 +69,7 @@ def pack_texts(columns: Sequence[np.ndarray], data: np.ndarray, starts: np.ndarr
     """Arrays of one length and a text for each of their rows, compressed together."""
     n = len(starts)
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in (*columns, lengths.astype(np.int32))]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(n).tobytes(), *planes, data[span_places(starts, lengths)].tobytes()]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(n).tobytes(), *planes, data[span_places(starts, lengths)].tobytes()]))
 
 
 def unpack_texts(blob: bytes, kinds: Sequence) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

@@ -38,16 +38,16 @@ from ledgerloom.llm._spark import LAST_ID, cut
 THRESHOLD, SKETCH, FIRST, UNSURE = (4, 5), 1 << 20, 2, 6
 #: From so many words on, a line has 128 parities, else 64; a word's group of more lines is joined pivot by pivot.
 LONG_LINE, LARGE_GROUP = 96, 1500
-#: Words that a repeated join may tell all tasks about; if there are more of them, it goes through all postings.
-TOLD_WORDS = 2_000_000
+#: First words of lines that a repeated join may tell all tasks about; if there are more of them, it goes through all postings.
+TOLD_WORDS = 1_000_000
 
 _POSTING = (np.uint32, np.uint64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32)  # word, parity, size, position, doc_id, tie, line, home bucket
 _WIDE = (np.uint64,)  # of long lines: one of two words of their parities
-_LEADER = (np.uint64, np.uint64, np.int64, np.int64, np.int32)  # digest (128 bits), doc_id, tie, line
+_LEADER = (np.uint64, np.int64, np.int64, np.int32)  # digest, doc_id, tie, line
 _LINE = (np.int64, np.int64, np.int32)  # doc_id, tie, line
 LEADERS, COPIES, ASKED = 1, 2, 3  # kinds of blobs
-#: Bytes of lines that travel together.
-LEADER_BYTES = 4 << 20
+#: Bytes of documents that are read together, and of leaders that travel together.
+PIECE_BYTES, LEADER_BYTES = 4 << 20, 4 << 20
 PAIR = "x_doc long, x_tie long, x_line int, x_home int, y_doc long, y_tie long, y_line int, y_home int, more boolean"
 
 
@@ -95,16 +95,16 @@ def distinct_words(n: int, row: np.ndarray, h: np.ndarray, weight: np.ndarray |
     return np.searchsorted(row, np.arange(n + 1)), h
 
 
-def _digests(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set; the order of its words doesn't matter."""
-    return tuple(A.mix(np.add.reduceat(A.mix(h * np.uint64(2 * c + 1) + np.uint64(c + 11)), first[:-1])) if len(first) > 1 else np.zeros(0, np.uint64) for c in range(2))
+def _digest(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """64 bits of each set; the order of its words doesn't matter."""
+    return A.mix(np.add.reduceat(A.mix(h + np.uint64(11)), first[:-1])) if len(first) > 1 else np.zeros(0, np.uint64)
 
 
-def settle(d0: np.ndarray, d1: np.ndarray, place: Sequence[np.ndarray], text: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+def settle(digest: np.ndarray, place: Sequence[np.ndarray], text: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(leaders, copies): rows of the lines (digest, place in the corpus), each copy found equal to its leader."""
-    order = np.lexsort((*reversed(place), d1, d0))
-    a, b = d0[order], d1[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
+    order = np.lexsort((*reversed(place), digest))
+    d = digest[order]
+    new = np.concatenate([[True], d[1:] != d[:-1]]) if len(order) else np.zeros(0, bool)
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else new
     more: dict[int, list[tuple[frozenset, int]]] = {}  # digests of several sets
     for i in np.flatnonzero(~new).tolist():
@@ -128,12 +128,12 @@ def collapsed(docs: DataFrame, n: int) -> DataFrame:
         doc, line, start, end, row, h = line_words(data, offsets)
         if not len(doc):
             return
-        d0, d1 = _digests(*distinct_words(len(doc), row, h))
+        digest = _digest(*distinct_words(len(doc), row, h))
         place = [ids[doc], ties[doc], line]
-        lead, copies = settle(d0, d1, place, lambda i: data[start[i] : end[i]].tobytes())
-        yield X.scatter_texts((d0[lead] % np.uint64(n)).astype(np.int32), [c[lead] for c in (d0, d1, *place)], data, start[lead], end[lead] - start[lead], LEADERS)
+        lead, copies = settle(digest, place, lambda i: data[start[i] : end[i]].tobytes())
+        yield X.scatter_texts((digest[lead] % np.uint64(n)).astype(np.int32), [c[lead] for c in (digest, *place)], data, start[lead], end[lead] - start[lead], LEADERS)
         if len(copies):
-            yield _blobs_of_lines(d0[copies] % np.uint64(n), [c[copies] for c in place], COPIES)
+            yield _blobs_of_lines(np.full(len(copies), int(digest[copies[0]] % np.uint64(n))), [c[copies] for c in place], COPIES)
 
     def meet(bucket, found):
         for blob in found.get(COPIES, []):
@@ -141,10 +141,10 @@ def collapsed(docs: DataFrame, n: int) -> DataFrame:
         if LEADERS not in found:
             return
         parts = [X.unpack_texts(b, _LEADER) for b in found[LEADERS]]
-        d0, d1, *place = (np.concatenate([p[0][i] for p in parts]) for i in range(len(_LEADER)))
+        digest, *place = (np.concatenate([p[0][i] for p in parts]) for i in range(len(_LEADER)))
         data, offsets = np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
         del parts
-        lead, copies = settle(d0, d1, place, lambda i: data[offsets[i] : offsets[i + 1]].tobytes())
+        lead, copies = settle(digest, place, lambda i: data[offsets[i] : offsets[i + 1]].tobytes())
         if len(copies):
             yield _blobs_of_lines(np.full(len(copies), bucket), [c[copies] for c in place], COPIES)
         lead = lead[np.lexsort([c[lead] for c in reversed(place)])]
@@ -152,7 +152,7 @@ def collapsed(docs: DataFrame, n: int) -> DataFrame:
         for own in np.split(lead, np.flatnonzero(np.diff(np.cumsum(size) // LEADER_BYTES)) + 1):
             yield X.scatter_texts(np.full(len(own), bucket, np.int32), [c[own] for c in place], data, offsets[own], offsets[own + 1] - offsets[own], LEADERS)
 
-    return cut(X.by_bucket(X.over_pieces(docs, send, X.BLOBS), meet, X.BLOBS))
+    return cut(X.by_bucket(X.over_pieces(docs, send, X.BLOBS, PIECE_BYTES), meet, X.BLOBS))
 
 
 def _over_leaders(lines: DataFrame, work: Callable[..., Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -236,7 +236,8 @@ def _postings(lines: DataFrame, counts: np.ndarray, n: int, t: tuple[int, int])
         bit = A.mix(h)
         halves = _parities(bit, first)
         position = np.arange(len(h)) - first[row]
-        taken = np.flatnonzero((position < _prefix_length(size, t)[row]) & (size[row] >= least))
+        alone = _weights(np.ones(1))[0]  # a word that stands in one line only meets nobody
+        taken = np.flatnonzero((position < _prefix_length(size, t)[row]) & (size[row] >= least) & (shared.value[h & np.uint64(SKETCH - 1)] > alone))
         own = row[taken]
         bucket = (bit[taken] % np.uint64(n)).astype(np.int32)
         wide = size[own] >= LONG_LINE
@@ -251,25 +252,53 @@ def _postings(lines: DataFrame, counts: np.ndarray, n: int, t: tuple[int, int])
 _ROW = "word long, doc long, tie long, line int, parity long, words array<bigint>"
 
 
-def _prefix_rows(place, first, h, t, told) -> pa.RecordBatch:
-    """A row with the whole set for each of the lines' first words, or for those of them that are in ``told``."""
+def _prefix_rows(place, first, h, t, told=None) -> pa.RecordBatch:
+    """A row with the whole set for each of the lines' first words, or for those where ``told`` has a line that may be similar."""
     size = np.diff(first)
     row = np.repeat(np.arange(len(size)), size)
-    taken = np.arange(len(h)) - first[row] < _prefix_length(size, t)[row]
+    taken = np.flatnonzero(np.arange(len(h)) - first[row] < _prefix_length(size, t)[row])
+    halves = _parities(A.mix(h), first)
+    parity = halves[0] ^ halves[1]
     if told is not None:
-        taken &= told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h
+        taken = taken[told.may_match(h[taken], parity[row[taken]], size[row[taken]], t)]
     own = row[taken]
-    halves = _parities(A.mix(h), first)
     sets = pa.array([h[first[i] : first[i + 1]].view(np.int64) for i in own], pa.list_(pa.int64()))
-    arrays = [pa.array(h[taken].view(np.int64)), *(pa.array(c[own], k) for c, k in zip(place, (pa.int64(), pa.int64(), pa.int32()), strict=True)), pa.array((halves[0] ^ halves[1])[own].view(np.int64)), sets]
+    arrays = [pa.array(h[taken].view(np.int64)), *(pa.array(c[own], k) for c, k in zip(place, (pa.int64(), pa.int64(), pa.int32()), strict=True)), pa.array(parity[own].view(np.int64)), sets]
     return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _ROW.split(", ")])
 
 
+class Told:
+    """First words of some lines, with the lines' parities and sizes: a bounded number, which all tasks get."""
+
+    def __init__(self, word: np.ndarray, parity: np.ndarray, size: np.ndarray):
+        order = np.argsort(word)
+        self.word, self.parity, self.size = word[order], parity[order], size[order]
+
+    def rows_with(self, h: np.ndarray) -> np.ndarray:
+        """Places of the words that are told."""
+        return np.flatnonzero(self.word[np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)] == h)
+
+    def may_match(self, h: np.ndarray, parity: np.ndarray, size: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+        """Places of the words whose line passes the length and the parity filter with a told line of the same word."""
+        at = self.rows_with(h)
+        lo, hi = np.searchsorted(self.word, h[at]), np.searchsorted(self.word, h[at], "right")
+        kept = [at[:0]]
+        for part in _chunks(hi - lo, 500_000):
+            count = hi[part] - lo[part]
+            x = np.repeat(at[part], count)
+            y = X.span_places(lo[part], count)
+            total = size[x] + self.size[y]
+            need = _least_overlap(total, t)
+            bits = np.bitwise_count(parity[x] ^ self.parity[y]).astype(np.int64)
+            kept.append(np.unique(x[(np.minimum(size[x], self.size[y]) >= need) & (bits <= total - 2 * need)]))
+        return np.concatenate(kept)
+
+
 def _joined_whole(lines: DataFrame, sets: DataFrame, counts: np.ndarray, t: tuple[int, int]) -> DataFrame:
     """(y_doc, y_tie, y_line) of those lines of ``sets`` that have any similar earlier line at all.
 
     The lines' first words are told to all tasks if they are few; each task then sends the leaders that have one of them among their
-    own first words, with their sets, and a join by word verifies.
+    own first words and may be similar to a line that has it, with their sets, and a join by word verifies.
     """
     weights = _weights(counts)
 
@@ -282,18 +311,22 @@ def _joined_whole(lines: DataFrame, sets: DataFrame, counts: np.ndarray, t: tupl
             h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             row = np.repeat(np.arange(len(size)), size)
             h = h[np.lexsort((h, _codes(h, weights), row))]
-            yield _prefix_rows([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], np.append(0, np.cumsum(size)), h, t, None)
+            yield _prefix_rows([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], np.append(0, np.cumsum(size)), h, t)
 
-    ys = cut(sets.select("doc", "tie", "line", "words").mapInArrow(asked, _ROW))
-    found = ys.select("word").distinct().limit(TOLD_WORDS + 1).toArrow().column(0).to_numpy().view(np.uint64)
-    shared = lines.sparkSession.sparkContext.broadcast((weights, np.sort(found) if 0 < len(found) <= TOLD_WORDS else None))  # SKETCH bytes, TOLD_WORDS hashes at most
+    ys = cut(sets.select("doc", "tie", "line", "words").mapInArrow(asked, _ROW), small=True)
+    found = ys.select("word", "parity", F.size("words").cast("long").alias("size")).limit(TOLD_WORDS + 1).toArrow()
+    told = None
+    if 0 < len(found) <= TOLD_WORDS:
+        word, parity, size = (c.to_numpy() for c in found.columns)
+        told = Told(word.view(np.uint64), parity.view(np.uint64), size)
+    shared = lines.sparkSession.sparkContext.broadcast((weights, told))  # SKETCH bytes, 24 for each of TOLD_WORDS at most
 
     def tell(_, place, data, offsets):
         weights, told = shared.value
         row, h = word_rows(data, offsets)
         rows = np.arange(len(offsets) - 1)
         if told is not None:  # only lines that have a told word
-            rows = np.unique(row[told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h])
+            rows = np.unique(row[told.rows_with(h)])
             kept = np.isin(row, rows)
             row, h = np.searchsorted(rows, row[kept]), h[kept]
         if len(rows):
@@ -465,11 +498,11 @@ def removed_lines(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, first: int
     counts = word_counts(lines)
     x, y = ["x_doc", "x_tie", "x_line", "x_home"], ["y_doc", "y_tie", "y_line", "y_home"]
     pairs = candidates(lines, counts, t=t, first=first)
-    near = cut(pairs.groupBy(*x, *y).agg(F.max("more").alias("more")))
+    near = cut(pairs.groupBy(*x, *y).agg(F.max("more").alias("more")), small=True)
     sets = cut(_sets_of(lines, _sides(near)))
-    passed = cut(_verified(near, sets, t).select(*y[:3]).distinct())
+    passed = cut(_verified(near, sets, t).select(*y[:3]).distinct(), small=True)
     found = passed
-    left = cut(near.where("more").select(*y[:3]).distinct().join(passed, y[:3], "left_anti"))
+    left = cut(near.where("more").select(*y[:3]).distinct().join(passed, y[:3], "left_anti"), small=True)
     if left.limit(1).count():
         named = left.toDF("doc", "tie", "line")
         found = found.unionByName(_joined_whole(lines, sets.join(named, ["doc", "tie", "line"], "left_semi"), counts, t))

@@ -406,9 +406,9 @@ def test_lines_by_brute_force(docs, monkeypatch, first, group):
 def test_equal_digests_are_verified():
     texts = [b"a b", b"c d", b"b a", b"a b", b"d c", b"e"]
     same, place = np.zeros(6, np.uint64), [np.array([5, 4, 3, 2, 1, 0]), np.zeros(6, np.int64), np.zeros(6, np.int64)]
-    lead, copies = line_dedup.settle(same, same, place, texts.__getitem__)
+    lead, copies = line_dedup.settle(same, place, texts.__getitem__)
     assert lead.tolist() == [3, 4, 5] and copies.tolist() == [0, 1, 2]
-    assert [x.tolist() for x in line_dedup.settle(same[:0], same[:0], [p[:0] for p in place], texts.__getitem__)] == [[], []]
+    assert [x.tolist() for x in line_dedup.settle(same[:0], [p[:0] for p in place], texts.__getitem__)] == [[], []]
 
 
 def test_line_filter(docs, nothing):
