@@ -8,20 +8,37 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.snapshots import checkpointed
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    """Each edge once, its smaller end first, without loops."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of (a, b); the component is its least node.
 
-    Each round takes the least label of the neighbours and then that label's own label, so a chain shortens by a
-    factor every round and a star is done after two.  Labels are stored by checkpoint after each round.
+    In each round every node hooks onto its least neighbour, if that is smaller, and trees are flattened by pointer jumping; then the graph is
+    contracted to the trees' roots, so that the next round sees only links between different trees.  A star is done after one round, and a
+    chain shrinks to its local minima.  What a round makes is stored by checkpoint.
     """
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), small=True)
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), small=True)
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        done = checkpointed(step.join(jump, "component").select("node", "before", F.least("component", "root").alias("component")), small=True)
-        labels = done.select("node", "component")
-        if not done.where(F.col("before") != F.col("component")).limit(1).count():
+    edges = checkpointed(_ordered(links), small=True)
+    labels = links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    for level in range(max_rounds):
+        if not edges.limit(1).count():
             return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent")), small=True)
+        for _ in range(max_rounds):
+            above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+            jumped = checkpointed(parents.join(above, "parent").select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved")), small=True)
+            parents = jumped.select("node", "parent")
+            if not jumped.where("moved").limit(1).count():
+                break
+        root = lambda c: parents.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))
+        if level:
+            labels = labels.join(root("component"), "component", "left").select("node", F.coalesce("component_root", "component").alias("component"))
+        else:
+            labels = parents.select("node", F.col("parent").alias("component"))
+        labels = checkpointed(labels, small=True)
+        contracted = edges.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        edges = checkpointed(_ordered(contracted), small=True)
     raise RuntimeError(f"components didn't settle within {max_rounds} rounds")
