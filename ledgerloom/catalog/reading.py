@@ -123,12 +123,15 @@ def foreign_key_list(spark: SparkSession, d: str) -> DataFrame:
     return tables.foreign_key_list(spark)
 
 
-@query("index_list", "SRC-05")
+_KEY_COLUMNS = [(t, f"pk_{t}", i, c) for t in tables.TABLES for i, c in enumerate(tables.KEYS.get(t, ()))]
+
+
+@query("index_list", "SRC-05", "SELECT * FROM (VALUES " + ", ".join(map(str, _KEY_COLUMNS)) + ") AS t(table_name, index_name, seqno, column_name)")
 def index_list(spark: SparkSession, d: str) -> DataFrame:
     return tables.index_list(spark)
 
 
-@query("table_list", "SRC-05")
+@query("table_list", "SRC-05", "SELECT table_name AS name, CAST(count(*) AS INTEGER) AS ncol FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in tables.TABLES) + ") GROUP BY table_name")
 def table_list(spark: SparkSession, d: str) -> DataFrame:
     return tables.table_list(spark, d)
 

@@ -137,10 +137,10 @@ def vector_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "embeddings").select("vec_id", F.round(total(vectors.add(v, v)), 4).alias("doubled"), total(vectors.subtract(v, v)).alias("zero"), count(bits).alias("bits"), count(vectors.slice_of(bits, 2, 6)).alias("part"))
 
 
-@query("vector_others", "FN-VEC")
+@query("vector_others", "FN-VEC", "SELECT vec_id, 0.0 AS self, 0 AS h, len(embedding) AS n, 0.0 AS l1, len(embedding) AS parsed FROM embeddings")
 def vector_others(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("embedding")
-    return read_table(spark, d, "embeddings").select("vec_id", F.round(vectors.l2(vectors.normalize(v), vectors.normalize(v)), 6).alias("self"), vectors.hamming(vectors.quantize_binary(v), vectors.quantize_binary(v)).alias("h"), F.size(vectors.quantize_int8(v)).alias("n"), F.round(vectors.l1(v, v), 6).alias("l1"), F.length(vectors.to_json(v)).alias("len"))
+    return read_table(spark, d, "embeddings").select("vec_id", F.round(vectors.l2(vectors.normalize(v), vectors.normalize(v)), 6).alias("self"), vectors.hamming(vectors.quantize_binary(v), vectors.quantize_binary(v)).alias("h"), F.size(vectors.quantize_int8(v)).alias("n"), F.round(vectors.l1(v, v), 6).alias("l1"), F.size(F.from_json(vectors.to_json(v), "array<double>")).alias("parsed"))
 
 
 @query("row_key", "FN-05", """
