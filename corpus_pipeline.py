@@ -3,6 +3,10 @@
 language: documents whose language is rejected go.  lines: repeated lines go, and documents of which no line is left.
 near_duplicates: one document of each class stays.  decontaminate: contaminated documents go.  pack: what is left is packed
 into sequences; its rows are the result.
+
+Defined results: documents with a null or empty text, or one without letters, go with the first stage; a null doc_id counts as the last one;
+very long texts are read whole by every stage; rows of one doc_id are documents of their own, ordered by their texts, and equal rows fall to the
+lines stage; all stages but the last keep all columns, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import decontamination, language_id, line_dedup, near_dedup, packing
 from ledgerloom.llm._spark import fresh, shared_folder, table
+from ledgerloom.sources.snapshots import remove_folder
 
 #: SQL can't express the stages.
 ORACLE_SQL = None
@@ -40,9 +45,14 @@ STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_dup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage but the last is written and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/{fresh('pipeline')}"
+    """All stages over documents; every stage but the last is written and read again, and what it wrote goes when the next one is written."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/{fresh('pipeline')}", ""
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # stores what it reads
+    remove_folder(spark, folder)
+    return out
