@@ -69,7 +69,7 @@ def pack_texts(columns: Sequence[np.ndarray], data: np.ndarray, starts: np.ndarr
     """Arrays of one length and a text for each of their rows, compressed together."""
     n = len(starts)
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in (*columns, lengths.astype(np.int32))]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(n).tobytes(), *planes, data[span_places(starts, lengths)].tobytes()]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(n).tobytes(), *planes, span_bytes(data, starts, lengths)]))
 
 
 def unpack_texts(blob: bytes, kinds: Sequence) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -89,6 +89,17 @@ def span_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
+def span_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The bytes of all spans, one after the other."""
+    view = memoryview(np.ascontiguousarray(data))
+    return b"".join([view[a:b] for a, b in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)])
+
+
+def span_data(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of all spans, one after the other."""
+    return np.frombuffer(span_bytes(data, starts, lengths), np.uint8), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
 def scatter_texts(bucket: np.ndarray, columns: Sequence[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kind: int = 0) -> pa.RecordBatch:
     """One row for each bucket that occurs, with texts."""
     order = np.argsort(bucket, kind="stable")

@@ -35,9 +35,9 @@ from ledgerloom.llm import _exchange as X
 from ledgerloom.llm._spark import LAST_ID, cut
 
 #: The threshold as a fraction, the sketch's counters, and partners kept at first.
-THRESHOLD, SKETCH, FIRST, UNSURE = (4, 5), 1 << 20, 2, 6
+THRESHOLD, SKETCH, FIRST, UNSURE = (4, 5), 1 << 20, 2, 24
 #: From so many words on, a line has 128 parities, else 64; a word's group of more lines is joined pivot by pivot.
-LONG_LINE, LARGE_GROUP = 96, 1500
+LONG_LINE, LARGE_GROUP = 48, 1500
 #: First words of lines that a repeated join may tell all tasks about; if there are more of them, it goes through all postings.
 TOLD_WORDS = 1_000_000
 
@@ -45,7 +45,9 @@ _POSTING = (np.uint32, np.uint64, np.int32, np.int32, np.int64, np.int64, np.int
 _WIDE = (np.uint64,)  # of long lines: one of two words of their parities
 _LEADER = (np.uint64, np.int64, np.int64, np.int32)  # digest, doc_id, tie, line
 _LINE = (np.int64, np.int64, np.int32)  # doc_id, tie, line
-LEADERS, COPIES, ASKED = 1, 2, 3  # kinds of blobs
+LEADERS, COPIES, ASKED, COUNTS = 1, 2, 3, 4  # kinds of blobs
+#: Counters of a block, which travel together.
+COUNT_BLOCK = 1 << 12
 #: Bytes of documents that are read together, and of leaders that travel together.
 PIECE_BYTES, LEADER_BYTES = 4 << 20, 4 << 20
 PAIR = "x_doc long, x_tie long, x_line int, x_home int, y_doc long, y_tie long, y_line int, y_home int, more boolean"
@@ -122,20 +124,43 @@ def _blobs_of_lines(bucket: np.ndarray, columns: Sequence[np.ndarray], kind: int
 
 
 def collapsed(docs: DataFrame, n: int) -> DataFrame:
-    """Blobs of the leaders, with their texts, by bucket of their digest, and of the copies, of ``numbered`` documents."""
+    """Of ``numbered`` documents blobs of the leaders, with their texts, by bucket of their digest, of the copies, and of how often words occur."""
 
-    def send(ids, ties, data, offsets):
+    def send(ids, ties, data, offsets, total):
         doc, line, start, end, row, h = line_words(data, offsets)
         if not len(doc):
             return
         digest = _digest(*distinct_words(len(doc), row, h))
         place = [ids[doc], ties[doc], line]
         lead, copies = settle(digest, place, lambda i: data[start[i] : end[i]].tobytes())
+        kept = np.zeros(len(doc), bool)
+        kept[lead] = True
+        total += np.bincount((h[kept[row]] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         yield X.scatter_texts((digest[lead] % np.uint64(n)).astype(np.int32), [c[lead] for c in (digest, *place)], data, start[lead], end[lead] - start[lead], LEADERS)
         if len(copies):
             yield _blobs_of_lines(np.full(len(copies), int(digest[copies[0]] % np.uint64(n))), [c[copies] for c in place], COPIES)
 
+    def run(batches):
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            ids, ties = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            data, offsets = A.string_buffers(batch.column(2))
+            for lo, hi, d, o in A.pieces(data, offsets, PIECE_BYTES):
+                yield from send(ids[lo:hi], ties[lo:hi], d, o, total)
+            A.release()
+        yield _count_blobs(total, n)
+
+    def add(blobs):
+        total: dict[int, np.ndarray] = {}
+        for block, *counts in (X.unpack(b, (np.int64,) * 2) for b in blobs):
+            total[int(block[0])] = total.get(int(block[0]), 0) + counts[0]
+        return total
+
     def meet(bucket, found):
+        counts = np.zeros((SKETCH // COUNT_BLOCK, COUNT_BLOCK), np.int64)
+        for block, own in add(found.get(COUNTS, ())).items():
+            counts[block] = own
+        yield _count_blobs(counts.reshape(-1), n)
         for blob in found.get(COPIES, []):
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([COPIES], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
         if LEADERS not in found:
@@ -152,7 +177,14 @@ def collapsed(docs: DataFrame, n: int) -> DataFrame:
         for own in np.split(lead, np.flatnonzero(np.diff(np.cumsum(size) // LEADER_BYTES)) + 1):
             yield X.scatter_texts(np.full(len(own), bucket, np.int32), [c[own] for c in place], data, offsets[own], offsets[own + 1] - offsets[own], LEADERS)
 
-    return cut(X.by_bucket(X.over_pieces(docs, send, X.BLOBS, PIECE_BYTES), meet, X.BLOBS))
+    return cut(X.by_bucket(docs.select("doc_id", "tie", "text").mapInArrow(run, X.BLOBS), meet, X.BLOBS))
+
+
+def _count_blobs(total: np.ndarray, n: int) -> pa.RecordBatch:
+    """Blobs of the blocks of counters that aren't all 0, each with the block's number, by bucket of the block."""
+    parts = total.reshape(-1, COUNT_BLOCK)
+    full = np.flatnonzero(parts.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(full % n, pa.int32()), pa.array(np.full(len(full), COUNTS), pa.int32()), pa.array([X.pack([np.full(COUNT_BLOCK, i), parts[i]]) for i in full], pa.binary())], names=["bucket", "kind", "blob"])
 
 
 def _over_leaders(lines: DataFrame, work: Callable[..., Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -168,27 +200,11 @@ def _over_leaders(lines: DataFrame, work: Callable[..., Iterable[pa.RecordBatch]
 
 
 def word_counts(lines: DataFrame) -> np.ndarray:
-    """How often the leaders' words of each hash bucket occur; SKETCH counters, summed by block of counters."""
-    block = 1 << 12
-
-    def count(batches):
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for blob in batch.column(0):
-                _, h = word_rows(*X.unpack_texts(blob.as_py(), _LINE)[1:])
-                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        parts = total.reshape(-1, block)
-        full = np.flatnonzero(parts.any(1))
-        A.release()
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.zeros(len(full)), pa.int32()), pa.array([X.pack([parts[i]]) for i in full], pa.binary())], names=["bucket", "kind", "blob"])
-
-    def add(key, found):
-        total = sum(X.unpack(b, [np.int64])[0] for b in found[0])
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([0], pa.int32()), pa.array([X.pack([total])], pa.binary())], names=["bucket", "kind", "blob"])
-
-    out = np.zeros((SKETCH // block, block), np.int64)
-    for r in X.by_bucket(lines.where(F.col("kind") == LEADERS).select("blob").mapInArrow(count, X.BLOBS), add, X.BLOBS).collect():  # SKETCH / block rows at most
-        out[r.bucket] = X.unpack(bytes(r.blob), [np.int64])[0]
+    """How often the words of each hash bucket occur in lines that no line of their batch equals; SKETCH counters."""
+    out = np.zeros((SKETCH // COUNT_BLOCK, COUNT_BLOCK), np.int64)
+    for r in lines.where(F.col("kind") == COUNTS).select("blob").collect():  # a row for each block
+        block, counts = X.unpack(bytes(r.blob), (np.int64, np.int64))
+        out[block[0]] = counts
     return out.reshape(-1)
 
 
@@ -236,8 +252,7 @@ def _postings(lines: DataFrame, counts: np.ndarray, n: int, t: tuple[int, int])
         bit = A.mix(h)
         halves = _parities(bit, first)
         position = np.arange(len(h)) - first[row]
-        alone = _weights(np.ones(1))[0]  # a word that stands in one line only meets nobody
-        taken = np.flatnonzero((position < _prefix_length(size, t)[row]) & (size[row] >= least) & (shared.value[h & np.uint64(SKETCH - 1)] > alone))
+        taken = np.flatnonzero((position < _prefix_length(size, t)[row]) & (size[row] >= least))
         own = row[taken]
         bucket = (bit[taken] % np.uint64(n)).astype(np.int32)
         wide = size[own] >= LONG_LINE
@@ -459,8 +474,7 @@ def _sets_of(lines: DataFrame, asked: DataFrame) -> DataFrame:
             place, data, offsets = X.unpack_texts(blob, _LINE)
             rows = np.flatnonzero(np.isin(_key(*place), wanted))
             if len(rows):
-                length = offsets[rows + 1] - offsets[rows]
-                first, h = distinct_words(len(rows), *word_rows(data[X.span_places(offsets[rows], length)], np.concatenate([[0], np.cumsum(length)])))
+                first, h = distinct_words(len(rows), *word_rows(*X.span_data(data, offsets[rows], offsets[rows + 1] - offsets[rows])))
                 sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in place), sets], names=["doc", "tie", "line", "words"])
 
