@@ -6,9 +6,9 @@ by FOIL gain on two thirds of the sample, loses final literals while that helps
 kept if it is right often enough; what it covers leaves the sample and the next rule is sought.
 ``RuleList.verdict`` is the list as nested ``when`` expressions, so that scoring stays in the JVM.
 
-Defined results: a null or empty text has no words and fails the base rule; a null id is returned as null;
-repeated rows give repeated result rows; extra columns are ignored; without labels the list is empty and keeps
-what the base rule keeps.
+Defined results: a null or empty text has no words and fails the base rule; very long texts are counted whole; a null id is returned as null;
+of literals with equal gain the first feature's lowest threshold is taken; repeated rows give repeated result rows; extra columns, whatever
+their names, are ignored; an empty table gives no rows; without labels the list is empty and keeps what the base rule keeps.
 """
 
 from __future__ import annotations

@@ -1,15 +1,18 @@
 """Substring dedup (op 2): a de Bruijn graph of token k-mers, compacted, with source coordinates.
 
-The edges are the runs of ``K`` = 20 words.  As in minimizer-bucketed compaction, runs of edges that stand everywhere in the
-same surroundings are compacted before any edge is spelled out: a super-k-mer whose minimizer has one content
-only is a nonbranching piece, and its earliest occurrence is the source of all its edges.  The others are spelled out as
-edges with 128 bits of hash.  Equal edges meet in a grouping that keeps the smallest source coordinates; joins with the degrees of
-their nodes (the 19-word overlaps) tell where paths branch, and edges that follow one another at the source
-without a branch become one path.  A window is repeated if its own coordinates aren't its edge's source, so every repeated span is
-verified against its source coordinates before its words are removed.
-
-Defined results: windows are judged on the input; null and empty texts have no words; rows of one doc_id are
-ordered by their texts, and the earlier counts as earlier; a null doc_id is the last one; extra columns are ignored.
+The edges are the runs of ``K`` = 20 words.  As in minimizer-bucketed compaction, runs of edges that stand together are compacted before any
+edge is spelled out: a super-k-mer (``_superkmers``) is a piece of a path, and its earliest occurrence is the source of its edges.  Pieces
+that may share edges with other pieces are spelled out as edges with 128 bits of hash.  Equal edges are grouped, their
+smallest coordinates are their source, and each other occurrence is joined with it; joins with the degrees of their
+nodes (the 19-word overlaps) tell where paths branch, and a join of each occurrence with the one before it, in the document and at the source, where its
+repeated path begins.  Pieces and spelled paths are then compacted document by document into maximal paths, each with the coordinates of its source.
+
+Every path is verified: the words at its source are read from the source document and compared with the path's own.  Only windows
+whose 20 words are equal are removed.
+
+Defined results: windows are judged on the input; null and empty texts have no words; very long texts are read whole, in overlapping
+parts; rows of one doc_id are ordered by their texts, and the earlier counts as earlier, so of repeated rows the first keeps its words; a null
+doc_id is the last one; extra columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,23 +39,22 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return A.span_hashes(data, starts, ends), first
 
 
-def open_edges(docs: DataFrame, firsts: DataFrame, k: int, n: int) -> DataFrame:
+def open_edges(docs: DataFrame, records: DataFrame, k: int, n: int) -> DataFrame:
     """The edges of the open super-k-mers' earliest occurrences, with their end nodes."""
 
     def work(_, sides):
-        side = K.Side(sides.get(K.FIRSTS, []), K.FIRST)
+        side = K.Side(sides.get(K.OPENS, []), K.OPEN)
 
         def tell(ids, ties, data, offsets):
-            doc, (start, count, several, _) = side.together(ids, ties)
-            rows = np.flatnonzero(several)
-            if not len(rows):
+            doc, (start, count, _) = side.together(ids, ties)
+            if not len(doc):
                 return
-            used = np.unique(doc[rows])
-            own = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in used])
-            h, first = word_units(own, np.concatenate([[0], np.cumsum(offsets[used + 1] - offsets[used])]))
-            place = np.searchsorted(used, doc[rows])
-            at = K.ranges(first[place] + start[rows], count[rows])
-            owner = np.repeat(doc[rows], count[rows])
+            used = np.unique(doc)
+            length = offsets[used + 1] - offsets[used]
+            h, first = word_units(*X.span_data(data, offsets[used], length))
+            place = np.searchsorted(used, doc)
+            at = K.ranges(first[place] + start, count)
+            owner = np.repeat(doc, count)
             e0, node = A.window_hashes(h, k), A.window_hashes(h, k - 1)
             e1 = A.window_hashes(A.mix(h + np.uint64(77)), k)
             as_long = lambda x: pa.array(x.view(np.int64))
@@ -60,25 +62,33 @@ def open_edges(docs: DataFrame, firsts: DataFrame, k: int, n: int) -> DataFrame:
 
         return tell
 
-    return X.with_documents(docs, n, [firsts], work, _EDGE)
+    return X.with_documents(docs, n, [records.where(f"kind = {K.OPENS}")], work, _EDGE)
 
 
-def source_paths(edges: DataFrame) -> DataFrame:
-    """Compacted paths (doc, tie, start, edges, repeated) of the edges at their source coordinates.
+_PATH = ("doc", "tie", "start", "edges", "src_doc", "src_tie", "src_start")
 
-    A path ends where its node branches, where the number of occurrences becomes one or stops being one, and where the
-    source goes on elsewhere.
+
+def repeated_paths(edges: DataFrame) -> DataFrame:
+    """Compacted paths (doc, tie, start, edges, src_doc, src_tie, src_start) of the edges that an earlier edge equals.
+
+    A path begins where the edge before isn't repeated, where its source goes on elsewhere, and where its node branches.
     """
-    sources = cut(edges.groupBy("e0", "e1").agg(F.min(F.struct("doc", "tie", "pos")).alias("source"), F.first("tail").alias("tail"), F.first("head").alias("head"), (F.count("*") > 1).alias("repeated")))
-    graph = sources.where("repeated")
+    edges = cut(edges)
+    key = ["e0", "e1"]
+    sources = edges.groupBy(*key).agg(F.min(F.struct("doc", "tie", "pos")).alias("source"), F.count("*").alias("n"), F.first("tail").alias("tail"), F.first("head").alias("head")).where("n > 1")
+    graph = cut(sources.select(*key, "source", "tail", "head"))
     into = graph.groupBy(F.col("head").alias("tail")).agg(F.count("*").alias("n_in"))
     out_of = graph.groupBy("tail").agg(F.count("*").alias("n_out"))
     branching = into.join(out_of, "tail").where((F.col("n_in") > 1) | (F.col("n_out") > 1)).select("tail", F.lit(True).alias("branch"))
-    known = sources.join(branching, "tail", "left").select("source.doc", "source.tie", "source.pos", "repeated", F.coalesce("branch", F.lit(False)).alias("branch"))
-    order = Window.partitionBy("doc", "tie").orderBy("pos")
-    goes_on = (F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("repeated").over(order) == F.col("repeated")) & ~(F.col("repeated") & F.col("branch"))
-    marked = known.withColumn("path", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order))
-    return marked.groupBy("doc", "tie", "path").agg(F.min("pos").alias("start"), F.count("*").alias("edges"), F.first("repeated").alias("repeated")).drop("path")
+    again = edges.join(graph.select(*key, "source"), key).where(F.struct("doc", "tie", "pos") != F.col("source"))
+    again = cut(again.join(branching, "tail", "left").select("doc", "tie", "pos", F.col("source.doc").alias("src_doc"), F.col("source.tie").alias("src_tie"), F.col("source.pos").alias("src_pos"), F.coalesce("branch", F.lit(False)).alias("branch")))
+    # The edge before: the one that ends where this one begins, in the document and at the source.
+    step = again.select("doc", "tie", (F.col("pos") + 1).alias("pos"), "src_doc", "src_tie", (F.col("src_pos") + 1).alias("src_pos"), F.lit(True).alias("goes_on"))
+    linked = again.join(step, ["doc", "tie", "pos", "src_doc", "src_tie", "src_pos"], "left").withColumn("begins", F.col("branch") | F.col("goes_on").isNull())
+    order = Window.partitionBy("doc", "tie", "src_doc", "src_tie", F.col("src_pos") - F.col("pos")).orderBy("pos")
+    numbered = linked.withColumn("shift", F.col("src_pos") - F.col("pos")).withColumn("path", F.sum(F.col("begins").cast("int")).over(order))
+    found = numbered.groupBy("doc", "tie", "src_doc", "src_tie", "shift", "path").agg(F.min("pos").alias("start"), F.count("*").alias("edges"))
+    return found.withColumn("src_start", F.col("start") + F.col("shift")).select(*_PATH)
 
 
 def _kept_bytes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> list[bytes]:
@@ -92,34 +102,32 @@ def _kept_bytes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
     return [out[a:b][taken[a:b]].tobytes().removesuffix(b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def removals(docs: DataFrame, firsts: DataFrame, paths: DataFrame, k: int, n: int, *, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) and, if asked for, the kept text of every ``numbered`` document."""
-
-    def spans(batches):
+def _path_blobs(paths: DataFrame, n: int) -> DataFrame:
+    def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield K.span_blobs(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), n)
+                yield K.repeat_blobs([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(_PATH))], n)
+
+    return paths.select(*_PATH).mapInArrow(run, X.BLOBS)
+
+
+def removals(docs: DataFrame, paths: DataFrame, answers: DataFrame, k: int, n: int, *, keep_text: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) and, if asked for, the kept text of every ``numbered`` document."""
 
     def work(_, sides):
-        side, own_spans = K.Side(sides.get(K.FIRSTS, []), K.FIRST), K.Side(sides.get(K.SPANS, []), K.SPAN)
+        sources = K.Sources(sides, K.WordBounds())
 
         def tell(ids, ties, data, offsets):
+            doc, start, count = sources.verified(ids, ties, data, offsets, k)
             # A kept word may touch the next document: a word ends at its document's end.
             padded = np.insert(data, offsets[1:], 32)
             offsets = offsets + np.arange(len(offsets))
             starts, ends, first = A.words(padded, offsets)
-            n_words = np.diff(first)
             again = np.zeros(len(starts) + 1, bool)
-            long = np.flatnonzero(n_words >= k)
-            again[K.ranges(first[long], n_words[long] - k + 1)] = True
-            doc, (start, count, several, _) = side.together(ids, ties)
-            clean = several == 0
-            again[K.ranges(first[doc[clean]] + start[clean], count[clean])] = False
-            doc, (start, count) = own_spans.together(ids, ties)
-            again[K.ranges(first[doc] + start, count)] = False
+            again[K.ranges(first[doc] + start, count)] = True
             removed = A.cover(len(starts), np.flatnonzero(again[:-1]), k)
             texts = _kept_bytes(padded, offsets, starts, ends, ~removed)
-            columns = [pa.array(ids, mask=ids == LAST_ID), pa.array(n_words), pa.array(A.segment_sums(removed, first)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+            columns = [pa.array(ids, mask=ids == LAST_ID), pa.array(np.diff(first)), pa.array(A.segment_sums(removed, first)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
                 columns.append(pa.array([t.decode("utf-8", "replace") for t in texts]))
@@ -128,14 +136,14 @@ def removals(docs: DataFrame, firsts: DataFrame, paths: DataFrame, k: int, n: in
 
         return tell
 
-    side = paths.select("doc", "tie", "start", F.col("edges").cast("long")).mapInArrow(spans, X.BLOBS)
-    return X.with_documents(docs, n, [firsts, side], work, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return X.with_documents(docs, n, [paths.where(f"kind = {K.REPEATS}"), answers], work, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
 def dedup(docs: DataFrame, *, k: int = WINDOW, m: int = GRAM, keep_text: bool = False) -> DataFrame:
     """Removes from every document the words that repeated windows cover."""
     numbered = X.numbered(docs)
     n = X.bucket_count(docs)
-    firsts = cut(K.firsts(numbered, word_units, k, m, n, across=False))
-    paths = cut(source_paths(open_edges(numbered, firsts, k, n)))
-    return removals(numbered, firsts, paths, k, n, keep_text=keep_text)
+    records = cut(K.records(numbered, word_units, k, m, n, across=False))
+    spelled = _path_blobs(repeated_paths(open_edges(numbered, records, k, n)), n)
+    paths = cut(K.paths(records.unionByName(spelled), k, n))
+    return removals(numbered, paths, K.answers(numbered, paths, K.WordBounds(), n), k, n, keep_text=keep_text)

@@ -9,8 +9,9 @@ Pieces and their order come from a public vocabulary file; a piece's score is th
 place, as the file has places and no probabilities.  A full trie (``MAX_NODES``) is emptied; that costs time, never results.
 Beyond ``MAX_DEPTH`` characters of a pre-token no nodes are made and the forward scores run on in a window.
 
-Defined results: null and empty texts have no tokens and score 0; equal sums take the segmentation with fewer tokens;
-repeated rows repeat results; a null id is returned as null; extra columns are ignored.
+Defined results: null and empty texts have no tokens and score 0; very long texts and very long pre-tokens are counted whole; equal sums take
+the segmentation with fewer tokens; repeated rows repeat results; a null id is returned as null; extra columns, whatever their names, are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

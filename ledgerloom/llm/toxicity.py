@@ -8,8 +8,9 @@ each bucket's association with the label, counted on one part of the sample; the
 part.  All labelled documents that neither part has calibrate, with classes weighted by their true counts: for each language
 the logits are moved so that the threshold of best F1 becomes ``DECISION``.  The language is that of the compression classifier on the text itself, never the column.
 
-Defined results: a null or empty text gets the score of a text without words; repeated rows repeat results; extra columns
-are ignored; without labels of both classes every score is 0; a null label doesn't count.
+Defined results: a null or empty text gets the score of a text without words; very long texts are convolved whole, block by block; equal
+texts get equal scores, repeated rows repeat results; extra columns, whatever their names, are ignored; an empty table gives no rows; without
+labels of both classes every score is 0; a null label doesn't count, and of several labels of one doc_id each counts.
 """
 
 from __future__ import annotations

@@ -122,6 +122,12 @@ def test_suffix_array(s):
     assert lyndon.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+@pytest.mark.parametrize("pattern", ["a", "ab", "aab", "abaab", "ba"])
+def test_suffix_array_of_periods(pattern):
+    s = [ord(c) for c in pattern * 400] + [0]
+    assert lyndon.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
 def test_blobs_round_trip():
     texts = np.frombuffer(b"abcdef", np.uint8)
     (x,), data, offsets = X.unpack_texts(X.pack_texts([np.array([7, 8])], texts, np.array([4, 0]), np.array([2, 3])), (np.int64,))
@@ -310,7 +316,7 @@ def test_bytes_by_brute_force(docs, nothing):
     assert suffix_dedup.dedup(nothing).count() == 0
 
 
-def test_earliest_documents_and_parts():
+def test_earliest_places_and_parts():
     r = random.Random(5)
     texts = list({bytes(r.choice(b"ab") for _ in range(r.randint(8, 40))) for _ in range(30)})
     least = [r.randrange(100) for _ in texts]
@@ -319,12 +325,38 @@ def test_earliest_documents_and_parts():
     for t, d in zip(texts, least, strict=True):
         for i in range(len(t) - k + 1):
             wanted[t[i : i + k]] = min(d, wanted.get(t[i : i + k], 1000))
-    found = suffix_dedup.earliest_documents(texts, least, k)
-    assert all(found[n][i] == wanted[t[i : i + k]] for n, t in enumerate(texts) for i in range(len(t) - k + 1))
+
+    def fine(given, documents, found):
+        for t, (other, place) in zip(given, found, strict=True):
+            for x in range(len(t) - k + 1):
+                assert given[other[x]][place[x] : place[x] + k] == t[x : x + k] and documents[other[x]] == wanted[t[x : x + k]]
+
+    fine(texts, least, suffix_dedup.earliest_places(texts, least, k))
     for part in suffix_dedup._parts(texts, k, 100):
-        given = suffix_dedup.earliest_documents([texts[i][a:b] for i, a, b in part], [least[i] for i, _, _ in part], k)
-        for (i, a, b), values in zip(part, given, strict=True):
-            assert all(values[x] == wanted[texts[i][a + x : a + x + k]] for x in range(b - a - k + 1))
+        given = [texts[i][a:b] for i, a, b in part]
+        fine(given, [least[i] for i, _, _ in part], suffix_dedup.earliest_places(given, [least[i] for i, _, _ in part], k))
+
+
+def test_only_verified_windows_count():
+    """Paths that a collision of hashes would name are cut down to the windows that are equal at the source."""
+    texts = [b"a b  c d e f g h", b"a b c d X f g h i"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.array([0, 16, 33])
+    for bounds, (start, size, wanted) in ((K.WordBounds(), (0, 8, [(0, 2), (5, 1)])), (K.ByteBounds(), (0, 8, [(0, 2)]))):
+        path = [np.array([x]) for x in (1, 0, start)] + [np.array([size - 2], np.int32)] + [np.array([x]) for x in (0, 0, 0)]
+        a, b = bounds(data, offsets, np.array([0]), np.array([0]), np.array([size]))
+        answer = X.pack_texts([np.array([0]), np.array([0]), np.array([0])], data, a, b - a)
+        sources = K.Sources({K.REPEATS: [X.pack(path)], K.ANSWERS: [answer]}, bounds)
+        doc, at, count = sources.verified(np.array([0, 1]), np.array([0, 0]), data, offsets, 3)
+        assert doc.tolist() == [1] * len(wanted) and list(zip(at.tolist(), count.tolist(), strict=True)) == wanted
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 20), st.integers(1, 4), st.integers(-3, 3)), max_size=30, unique_by=lambda x: x[:2]))
+def test_chains_cover_the_same_windows(rows):
+    columns = [np.array([r[0] for r in rows], np.int64), np.zeros(len(rows), np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.full(len(rows), 9), np.zeros(len(rows), np.int64), np.array([r[1] + r[3] for r in rows], np.int64)]
+    spread = lambda c: {(int(d), int(s) + i, int(x) + i) for d, _, s, n, _, _, x in zip(*c, strict=True) for i in range(int(n))}
+    found = K.chain(*columns)
+    assert spread(found) == spread(columns) and len(found[0]) <= len(rows)
 
 
 # 3: token counts.
