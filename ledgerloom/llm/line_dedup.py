@@ -37,7 +37,7 @@ from ledgerloom.llm._spark import LAST_ID, cut
 #: The threshold as a fraction, the sketch's counters, and partners kept at first.
 THRESHOLD, SKETCH, FIRST, UNSURE = (4, 5), 1 << 20, 2, 24
 #: From so many words on, a line has 128 parities, else 64; a word's group of more lines is joined pivot by pivot.
-LONG_LINE, LARGE_GROUP = 48, 1500
+LONG_LINE, LARGE_GROUP = 96, 1500
 #: First words of lines that a repeated join may tell all tasks about; if there are more of them, it goes through all postings.
 TOLD_WORDS = 1_000_000
 
@@ -48,6 +48,8 @@ _LINE = (np.int64, np.int64, np.int32)  # doc_id, tie, line
 LEADERS, COPIES, ASKED, COUNTS = 1, 2, 3, 4  # kinds of blobs
 #: Counters of a block, which travel together.
 COUNT_BLOCK = 1 << 12
+#: Bits of the filter that tells all tasks which leaders are asked for, whatever their number, and of its blocks; a full filter only costs time.
+ASKED_BITS, ASKED_BLOCK = 1 << 25, 1 << 20
 #: Bytes of documents that are read together, and of leaders that travel together.
 PIECE_BYTES, LEADER_BYTES = 4 << 20, 4 << 20
 PAIR = "x_doc long, x_tie long, x_line int, x_home int, y_doc long, y_tie long, y_line int, y_home int, more boolean"
@@ -374,12 +376,11 @@ def _similar_pairs(p: dict, x: np.ndarray, y: np.ndarray, t: tuple[int, int]) ->
     return at[ok], bits[ok] / np.maximum(allowed[ok], 1)
 
 
-def candidates(lines: DataFrame, counts: np.ndarray, *, t: tuple[int, int] = THRESHOLD, first: int = FIRST) -> DataFrame:
+def candidates(lines: DataFrame, counts: np.ndarray, n: int, *, t: tuple[int, int] = THRESHOLD, first: int = FIRST) -> DataFrame:
     """Pairs (x earlier, y later) of leaders that passed the filters.
 
     At most ``first``, or ``first * UNSURE``, for a later line and word; ``more`` if there were more.
     """
-    n = X.bucket_count(lines)
 
     def join(_, found):
         narrow, wide = X.gather(found.get(0, []), _POSTING), X.gather(found.get(1, []), _POSTING + _WIDE)
@@ -457,8 +458,36 @@ def _chunks(costs: np.ndarray, limit: int):
         lo = hi
 
 
+def _places_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each key."""
+    return tuple((x % np.uint64(ASKED_BITS)).astype(np.int64) for x in (key, key >> np.uint64(32)))
+
+
+def _asked_filter(asked: DataFrame) -> np.ndarray:
+    """The bits of all asked leaders (doc, tie, line, ...), by blocks."""
+
+    def mark(batches):
+        bits = np.zeros(ASKED_BITS, bool)
+        for batch in batches:
+            for at in _places_of(_key(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))):
+                bits[at] = True
+        parts = np.packbits(bits).reshape(-1, ASKED_BLOCK // 8)
+        full = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.zeros(len(full)), pa.int32()), pa.array([X.pack([parts[i]]) for i in full], pa.binary())], names=["bucket", "kind", "blob"])
+
+    def merge(key, found):
+        bits = np.bitwise_or.reduce([X.unpack(b, [np.uint8])[0] for b in found[0]])
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([0], pa.int32()), pa.array([X.pack([bits])], pa.binary())], names=["bucket", "kind", "blob"])
+
+    out = np.zeros((ASKED_BITS // ASKED_BLOCK, ASKED_BLOCK // 8), np.uint8)
+    for r in X.by_bucket(asked.mapInArrow(mark, X.BLOBS), merge, X.BLOBS).collect():  # a row for each block
+        out[r.bucket] = X.unpack(bytes(r.blob), [np.uint8])[0]
+    return out.reshape(-1)
+
+
 def _sets_of(lines: DataFrame, asked: DataFrame) -> DataFrame:
     """(doc, tie, line, words) of the asked leaders (doc, tie, line, home)."""
+    shared = lines.sparkSession.sparkContext.broadcast(_asked_filter(asked.coalesce(2 * lines.sparkSession.sparkContext.defaultParallelism)))  # ASKED_BITS / 8 bytes
 
     def ask(batches):
         for batch in batches:
@@ -466,6 +495,14 @@ def _sets_of(lines: DataFrame, asked: DataFrame) -> DataFrame:
                 doc, tie, line, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
                 yield X.scatter(home.astype(np.int32), [doc, tie, line.astype(np.int32)], ASKED)
 
+    def offer(home, place, data, offsets):
+        bits, ok = shared.value, np.ones(len(offsets) - 1, bool)
+        for at in _places_of(_key(*place)):
+            ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        rows = np.flatnonzero(ok)
+        if len(rows):
+            yield X.scatter_texts(np.full(len(rows), home, np.int32), [c[rows] for c in place], data, offsets[rows], offsets[rows + 1] - offsets[rows], LEADERS)
+
     def work(_, found):
         wanted = _key(*X.gather(found.get(ASKED, []), _LINE))
         if not len(wanted):
@@ -478,8 +515,8 @@ def _sets_of(lines: DataFrame, asked: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in place), sets], names=["doc", "tie", "line", "words"])
 
-    leaders = lines.where(F.col("kind") == LEADERS)
-    return X.by_bucket(leaders.unionByName(asked.select("doc", "tie", "line", "home").mapInArrow(ask, X.BLOBS)), work, "doc long, tie long, line int, words array<bigint>")
+    offered = _over_leaders(lines, offer, X.BLOBS)
+    return X.by_bucket(offered.unionByName(asked.select("doc", "tie", "line", "home").mapInArrow(ask, X.BLOBS)), work, "doc long, tie long, line int, words array<bigint>")
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
@@ -508,12 +545,13 @@ def _copies(lines: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, *, t: tuple[int, int] = THRESHOLD, first: int = FIRST) -> DataFrame:
     """(doc, tie, line) of the lines to remove; ``docs`` are ``numbered``."""
-    lines = collapsed(docs, X.bucket_count(docs))
+    n = X.bucket_count(docs)
+    lines = collapsed(docs, n)
     counts = word_counts(lines)
     x, y = ["x_doc", "x_tie", "x_line", "x_home"], ["y_doc", "y_tie", "y_line", "y_home"]
-    pairs = candidates(lines, counts, t=t, first=first)
+    pairs = candidates(lines, counts, n, t=t, first=first)
     near = cut(pairs.groupBy(*x, *y).agg(F.max("more").alias("more")), small=True)
-    sets = cut(_sets_of(lines, _sides(near)))
+    sets = cut(_sets_of(lines, cut(_sides(near), small=True)))
     passed = cut(_verified(near, sets, t).select(*y[:3]).distinct(), small=True)
     found = passed
     left = cut(near.where("more").select(*y[:3]).distinct().join(passed, y[:3], "left_anti"), small=True)
