@@ -2,8 +2,8 @@
 
 Fingerprints of all words or bytes of a corpus are many small records.  Moved as rows each costs an object and tens of
 bytes in every shuffle; packed, a batch's records for one bucket are one binary value whose columns
-are split into byte planes and compressed.  Every reducer then works on whole arrays.  The number of buckets follows
-spark.sql.shuffle.partitions, so a bucket's size is the input's size over a number that the session sets.
+are split into byte planes and compressed.  Every reducer then works on whole arrays.  A worker holds one bucket at a time; there are as
+many as spark.sql.shuffle.partitions, and more where the input's files would else give a bucket over ``BUCKET_BYTES``.
 """
 
 from __future__ import annotations
@@ -21,12 +21,17 @@ from ledgerloom.llm import _arrays as A
 from ledgerloom.llm._spark import LAST_ID, shuffle_partitions
 
 BLOBS = "bucket int, kind int, blob binary"
-#: Documents that are compressed together, in bytes.
-TEXT_BYTES = 8 << 20
+#: Bits of a filter of documents, and of its blocks.
+DOC_BITS, DOC_BLOCK = 1 << 25, 1 << 20
+#: Documents that are compressed together, in bytes; bytes of files for a bucket, buckets at most, and from where on a plan's size is only a guess.
+TEXT_BYTES, BUCKET_BYTES, MOST_BUCKETS, UNKNOWN_BYTES = 8 << 20, 128 << 20, 1 << 20, 1 << 55
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return shuffle_partitions(docs.sparkSession)
+    """Buckets for documents: by the size of their files, which the plan knows without reading them, and at least one for each shuffle partition."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = -(-known // BUCKET_BYTES) if known < UNKNOWN_BYTES else 1
+    return max(shuffle_partitions(docs.sparkSession), min(by_size, MOST_BUCKETS))
 
 
 def pack(columns: Sequence[np.ndarray]) -> bytes:
@@ -109,6 +114,28 @@ def scatter_texts(bucket: np.ndarray, columns: Sequence[np.ndarray], data: np.nd
     return pa.RecordBatch.from_arrays([pa.array(sorted_[edge], pa.int32()), pa.array(np.full(len(edge), kind), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
 
+class Gathered:
+    """Texts for buckets, from many small pieces of work, sent together when they are ``TEXT_BYTES`` or all there is."""
+
+    def __init__(self, kind: int = 0):
+        self.kind, self.parts, self.size = kind, [], 0
+
+    def add(self, bucket: np.ndarray, columns: Sequence[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((bucket, columns, span_bytes(data, starts, lengths), lengths))
+        self.size += int(lengths.sum()) + 32 * len(lengths)
+        if self.size >= TEXT_BYTES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        parts, self.parts, self.size = self.parts, [], 0
+        lengths = np.concatenate([p[3] for p in parts])
+        columns = [np.concatenate(c) for c in zip(*(p[1] for p in parts), strict=True)]
+        data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        yield scatter_texts(np.concatenate([p[0] for p in parts]), columns, data, np.cumsum(lengths) - lengths, lengths, self.kind)
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rest: bool = False) -> DataFrame:
     """(doc_id, tie, text): doc_id with LAST_ID for null; tie tells rows of one doc_id apart, by their texts' order.
 
@@ -144,18 +171,68 @@ def over_pieces(docs: DataFrame, work: Callable[..., Iterable[pa.RecordBatch]],
 TEXT = 99  # the kind of blobs that hold documents
 
 
-def packed_texts(docs: DataFrame, n: int) -> DataFrame:
-    """Documents as compressed blobs by document bucket."""
+class Marked:
+    """Which documents something is about: two bits of DOC_BITS for each (doc_id, tie), whatever their number; a full filter marks more, never fewer."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(ids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = A.join2(ids.astype(np.uint64), ties.astype(np.uint64))
+        return tuple((x % np.uint64(DOC_BITS)).astype(np.int64) for x in (key, key >> np.uint64(32)))
+
+    def has(self, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(ids), bool)
+        for at in self.places(ids, ties):
+            ok &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        return ok
+
+
+def marked(blobs: DataFrame, kind: int, kinds: Sequence):
+    """A broadcast Marked of the documents that blobs of a kind are about; their first two columns are doc_id and tie."""
+
+    def mark(batches):
+        bits = np.zeros(DOC_BITS, bool)
+        for batch in batches:
+            for blob in batch.column(0):
+                ids, ties = unpack(blob.as_py(), kinds)[:2]
+                for at in Marked.places(ids, ties):
+                    bits[at] = True
+        parts = np.packbits(bits).reshape(-1, DOC_BLOCK // 8)
+        full = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.zeros(len(full)), pa.int32()), pa.array([pack([parts[i]]) for i in full], pa.binary())], names=["bucket", "kind", "blob"])
+        del bits
+        A.release()
+
+    def merge(key, found):
+        bits = np.bitwise_or.reduce([unpack(b, [np.uint8])[0] for b in found[0]])
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([0], pa.int32()), pa.array([pack([bits])], pa.binary())], names=["bucket", "kind", "blob"])
+
+    context = blobs.sparkSession.sparkContext
+    few = blobs.where(f"kind = {kind}").select("blob").coalesce(2 * context.defaultParallelism)
+    out = np.zeros((DOC_BITS // DOC_BLOCK, DOC_BLOCK // 8), np.uint8)
+    for r in by_bucket(few.mapInArrow(mark, BLOBS), merge, BLOBS).collect():  # a row for each block
+        out[r.bucket] = unpack(bytes(r.blob), [np.uint8])[0]
+    return context.broadcast(Marked(out.reshape(-1)))  # DOC_BITS / 8 bytes
+
+
+def packed_texts(docs: DataFrame, n: int, only=None) -> DataFrame:
+    """Documents, all or those that ``only`` marks, as compressed blobs by document bucket."""
 
     def run(ids, ties, data, offsets):
-        bucket = document_bucket(ids, n)
+        kept = np.arange(len(ids)) if only is None else np.flatnonzero(only.value.has(ids, ties))
+        if not len(kept):
+            return
+        bucket = document_bucket(ids[kept], n)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
         rows = []
-        for own in np.split(order, edges[1:]):
-            texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in own]
-            head = np.concatenate([[len(own)], ids[own], ties[own], [len(t) for t in texts]]).astype(np.int64)
-            rows.append((int(bucket[own[0]]), TEXT, zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(texts))))
+        for part in np.split(order, edges[1:]):
+            own = kept[part]
+            length = offsets[own + 1] - offsets[own]
+            head = np.concatenate([[len(own)], ids[own], ties[own], length]).astype(np.int64)
+            rows.append((int(bucket[part[0]]), TEXT, zstandard.ZstdCompressor(level=3).compress(head.tobytes() + span_bytes(data, offsets[own], length))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
 
     return over_pieces(docs, run, BLOBS, TEXT_BYTES)
@@ -184,19 +261,28 @@ def by_bucket(blobs: DataFrame, work: Callable[[dict[int, list[bytes]]], Iterabl
     return blobs.groupBy("bucket").applyInArrow(run, schema)
 
 
-def with_documents(docs: DataFrame, n: int, sides: Sequence[DataFrame], work: Callable, schema: str) -> DataFrame:
-    """work(side blobs by kind, (doc_ids, ties, data, offsets)) for every text blob, beside its bucket's side blobs.
+def with_documents(docs: DataFrame, n: int, sides: Sequence[DataFrame], work: Callable, schema: str, only=None, rest: Callable[..., Iterable[pa.RecordBatch]] | None = None) -> DataFrame:
+    """work(bucket, side blobs by kind) gives what takes (doc_ids, ties, data, offsets) of every text blob of the bucket, and what to do after the last.
 
-    ``docs`` are ``numbered``; the sides are BLOBS whose bucket is that of the document that they are about.
+    ``docs`` are ``numbered``; the sides are BLOBS whose bucket is that of the document that they are about.  Only the documents that ``only``
+    marks are moved; if ``rest`` is given, rest(doc_ids, ties, data, offsets) takes the others where they are.
     """
 
     def run(key: int, found: dict[int, list[bytes]]):
         texts = found.pop(TEXT, [])
-        tell = work(key, found)
+        tell, *last = work(key, found)
         for blob in texts:
             yield from tell(*unpacked_texts(blob))
+        for finish in last:
+            yield from finish()
+
+    def stay(ids, ties, data, offsets):
+        others = np.flatnonzero(~only.value.has(ids, ties))
+        if len(others):
+            yield from rest(ids[others], ties[others], *span_data(data, offsets[others], offsets[others + 1] - offsets[others]))
 
-    every = packed_texts(docs, n)
+    every = packed_texts(docs, n, only)
     for side in sides:
         every = every.unionByName(side)
-    return by_bucket(every, run, schema)
+    out = by_bucket(every, run, schema)
+    return out if rest is None else out.unionByName(over_pieces(docs, stay, schema))

@@ -138,8 +138,8 @@ def records(docs: DataFrame, units, k: int, m: int, n: int, *, across: bool, lim
             yield repeat_blobs([own[i], tie[i], start[i], count[i], own[j], tie[j], start[j]], n)
 
     def settle(bucket, found):
-        if kept := found.get(REPEATS):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(kept), pa.int32()), pa.array([REPEATS] * len(kept), pa.int32()), pa.array(kept, pa.binary())], names=["bucket", "kind", "blob"])
+        if kept := found.get(REPEATS):  # they only pass by, on their way to this bucket's documents
+            yield repeat_blobs(X.gather(kept, REPEAT), n)
         if not found.get(0):
             return
         gram, content, left, right, own, tie, start, count = X.gather(found.pop(0), _RECORD)
@@ -192,17 +192,17 @@ def answers(docs: DataFrame, asked: DataFrame, bounds, n: int) -> DataFrame:
     """
 
     def work(_, sides):
-        side = Side(sides.get(ASKS, []), ASK)
+        side, out = Side(sides.get(ASKS, []), ASK), X.Gathered(ANSWERS)
 
         def tell(ids, ties, data, offsets):
             doc, (lo, hi, bucket) = side.together(ids, ties)
             if len(doc):
                 a, b = bounds(data, offsets, doc, lo, hi)
-                yield X.scatter_texts(bucket, [ids[doc], ties[doc], lo], data, a, b - a, ANSWERS)
+                yield from out.add(bucket, [ids[doc], ties[doc], lo], data, a, b - a)
 
-        return tell
+        return tell, out.flush
 
-    return X.with_documents(docs, n, [asked.where(f"kind = {ASKS}")], work, X.BLOBS)
+    return X.with_documents(docs, n, [asked.where(f"kind = {ASKS}")], work, X.BLOBS, X.marked(asked, ASKS, ASK))
 
 
 class Sources:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import _arrays as A
 from ledgerloom.llm import _exchange as X
-from ledgerloom.llm._spark import LAST_ID, cut
+from ledgerloom.llm._spark import LAST_ID, cut, shuffle_partitions
 from ledgerloom.operators.graph import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)
@@ -214,7 +214,7 @@ def _payloads(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             packed = [zstandard.ZstdCompressor(level=1).compress(data[offsets[i] : offsets[i + 1]].tobytes()) for i in own]
             yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(ties[own], pa.int64()), pa.array(packed, pa.binary())], names=["doc", "tie", "text"])
 
-        return tell
+        return (tell,)
 
     side = nodes.select("node.doc", "node.tie").mapInArrow(ask, X.BLOBS)
     return X.with_documents(docs, n, [side], work, "doc long, tie long, text binary").select(F.struct("doc", "tie").alias("node"), "text")
@@ -314,14 +314,14 @@ def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
         A.release()
 
     # Few bytes and much work: dealt by number, which isn't merged into a few tasks.
-    dealt = joined.repartition(X.bucket_count(members), "bucket", "band")
+    dealt = joined.repartition(shuffle_partitions(members.sparkSession), "bucket", "band")
     found = dealt.groupBy("bucket", "band").applyInArrow(run, "doc long, tie long, b_doc long, b_tie long")
     return found.select(F.struct("doc", "tie").alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_tie").alias("tie")).alias("b"))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) that join all classes of the nodes, which are representatives of equal texts with their sketches."""
-    share = F.pmod(F.xxhash64("node"), F.lit(max(16, X.bucket_count(docs)))).cast("int")
+    share = F.pmod(F.xxhash64("node"), F.lit(max(16, shuffle_partitions(docs.sparkSession)))).cast("int")
     held = nodes.where("n > 0").select("node", "words", share.alias("share"), F.posexplode("sketches").alias("j", "h")).select("node", "words", F.xxhash64("j", "h").alias("bucket"), "share")
     key = ["bucket", "share"]
     counted = held.groupBy(*key).agg(F.count("*").alias("n"))

@@ -60,9 +60,9 @@ def open_edges(docs: DataFrame, records: DataFrame, k: int, n: int) -> DataFrame
             as_long = lambda x: pa.array(x.view(np.int64))
             yield pa.RecordBatch.from_arrays([as_long(e0[at]), as_long(e1[at]), as_long(node[at]), as_long(node[at + 1]), pa.array(ids[owner]), pa.array(ties[owner]), pa.array(at - first[np.searchsorted(used, owner)])], names=[c.split()[0] for c in _EDGE.split(", ")])
 
-        return tell
+        return (tell,)
 
-    return X.with_documents(docs, n, [records.where(f"kind = {K.OPENS}")], work, _EDGE)
+    return X.with_documents(docs, n, [records.where(f"kind = {K.OPENS}")], work, _EDGE, X.marked(records, K.OPENS, K.OPEN))
 
 
 _PATH = ("doc", "tie", "start", "edges", "src_doc", "src_tie", "src_start")
@@ -114,29 +114,29 @@ def _path_blobs(paths: DataFrame, n: int) -> DataFrame:
 def removals(docs: DataFrame, paths: DataFrame, answers: DataFrame, k: int, n: int, *, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) and, if asked for, the kept text of every ``numbered`` document."""
 
+    def report(ids, ties, data, offsets, doc, start, count):
+        # A kept word may touch the next document: a word ends at its document's end.
+        padded = np.insert(data, offsets[1:], 32)
+        offsets = offsets + np.arange(len(offsets))
+        starts, ends, first = A.words(padded, offsets)
+        again = np.zeros(len(starts) + 1, bool)
+        again[K.ranges(first[doc] + start, count)] = True
+        removed = A.cover(len(starts), np.flatnonzero(again[:-1]), k)
+        texts = _kept_bytes(padded, offsets, starts, ends, ~removed)
+        columns = [pa.array(ids, mask=ids == LAST_ID), pa.array(np.diff(first)), pa.array(A.segment_sums(removed, first)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+        if keep_text:
+            columns.append(pa.array([t.decode("utf-8", "replace") for t in texts]))
+            names.append("kept_text")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
     def work(_, sides):
         sources = K.Sources(sides, K.WordBounds())
+        return (lambda *piece: report(*piece, *sources.verified(*piece, k)),)
 
-        def tell(ids, ties, data, offsets):
-            doc, start, count = sources.verified(ids, ties, data, offsets, k)
-            # A kept word may touch the next document: a word ends at its document's end.
-            padded = np.insert(data, offsets[1:], 32)
-            offsets = offsets + np.arange(len(offsets))
-            starts, ends, first = A.words(padded, offsets)
-            again = np.zeros(len(starts) + 1, bool)
-            again[K.ranges(first[doc] + start, count)] = True
-            removed = A.cover(len(starts), np.flatnonzero(again[:-1]), k)
-            texts = _kept_bytes(padded, offsets, starts, ends, ~removed)
-            columns = [pa.array(ids, mask=ids == LAST_ID), pa.array(np.diff(first)), pa.array(A.segment_sums(removed, first)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if keep_text:
-                columns.append(pa.array([t.decode("utf-8", "replace") for t in texts]))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        return tell
-
-    return X.with_documents(docs, n, [paths.where(f"kind = {K.REPEATS}"), answers], work, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    none = np.zeros(0, np.int64)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    return X.with_documents(docs, n, [paths.where(f"kind = {K.REPEATS}"), answers], work, schema, X.marked(paths, K.REPEATS, K.REPEAT), lambda *piece: report(*piece, none, none, none))
 
 
 def dedup(docs: DataFrame, *, k: int = WINDOW, m: int = GRAM, keep_text: bool = False) -> DataFrame:
