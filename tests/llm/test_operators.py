@@ -473,24 +473,30 @@ def test_line_query_has_lines_of_any_length(spark, tmp_path):
 # 7: decontamination.
 
 
-def test_contamination_by_brute_force(spark, docs, nothing):
+def _hits(items, rows):
+    """(id, words, hit words, items, contaminated) of rows (id, text), from windows of items (id, text)."""
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    items = [("a", " ".join(invented(0, 120).split()[30:60]).upper().replace("É", "é")), ("b", "one  two"), ("c", None), ("d", "..."), (None, invented(1, 120)), ("e", "É é K")]
-    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("extra", F.lit(1))
     windows = collections.defaultdict(set)
     for i, t in items:
         w = words(t)
         for k in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[k : k + 13])].add(i)
-    wanted = collections.Counter()
-    for i, t in ordered(docs):
+    out = []
+    for i, t in rows:
         w, hit, found = words(t), set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
                 if own := windows.get(tuple(w[k : k + n])):
                     found |= {x for x in own if x is not None}
                     hit.update(range(k, k + n))
-        wanted[repr((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))] += 1
+        out.append((i, len(w), len(hit), sorted(map(str, found)), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def test_contamination_by_brute_force(spark, docs, nothing):
+    items = [("a", " ".join(invented(0, 120).split()[30:60]).upper().replace("É", "é")), ("b", "one  two"), ("c", None), ("d", "..."), (None, invented(1, 120)), ("e", "É é K")]
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("extra", F.lit(1))
+    wanted = collections.Counter(repr((i, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bad)) for i, n, hit, found, bad in _hits(items, ordered(docs)))
     assert collections.Counter(repr(tuple(r)) for r in decontamination.contamination(docs, bench).collect()) == wanted
     clean = decontamination.without_contaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(n for r, n in wanted.items() if r.endswith("False)"))
@@ -498,6 +504,14 @@ def test_contamination_by_brute_force(spark, docs, nothing):
     assert decontamination.contamination(nothing, bench).count() == 0
 
 
+def test_large_benchmarks_are_shuffled(spark, docs, monkeypatch):
+    items = [("a", " ".join(invented(0, 120).split()[30:60])), ("b", "one  two")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    wanted = collections.Counter(repr((i, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bad)) for i, n, hit, found, bad in _hits(items, ordered(docs)))
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert collections.Counter(repr(tuple(r)) for r in decontamination.contamination(docs, bench).collect()) == wanted
+
+
 def test_decontamination_plan_has_no_python(spark, docs):
     bench = spark.createDataFrame([(1, invented(0, 120))], "item_id long, text string")
     plan = decontamination.contamination(spark.read.parquet(f"{FOLDER}/documents.parquet"), bench)._jdf.queryExecution().toString()
@@ -650,9 +664,9 @@ def test_pipeline_by_stages(spark):
             out.append(line)
         if out:
             kept.append((r.doc_id, "\n".join(out)))
-    after = spark.createDataFrame(kept, "doc_id long, text string")
-    first = {r.doc_id for r in near_dedup.near_duplicates(after).collect() if r.kept}
-    bad = {r.doc_id for r in decontamination.contamination(after, bench).collect() if r.contaminated}
+    classes = _links([t for _, t in kept])[1]
+    first = {kept[i][0] for i, c in enumerate(classes) if c == i}
+    bad = {i for i, *_, contaminated in _hits([(r.item_id, r.text) for r in bench.collect()], kept) if contaminated}
     own = packing.tokenizer(packing.default_vocabulary())
     wanted = {i: len(own.ids(t)) + 1 for i, t in kept if i in first and i not in bad}
     found = collections.Counter()
