@@ -14,8 +14,9 @@ from ledgerloom.ledger import replay
 from ledgerloom.operators import aggregates, recursion
 from ledgerloom.plans.budget import within
 from ledgerloom.plans.policy import Rejected
+from ledgerloom.sources.bytes_store import BytesStore
 from ledgerloom.sources.event_store import EventStore, chunks, read_range
-from ledgerloom.sources.snapshots import shared_folder
+from ledgerloom.sources.snapshots import checkpointed, remove_folder, shared_folder
 from ledgerloom.sources.tables import read_table
 
 REGISTRY = Registry()
@@ -32,6 +33,17 @@ def event_store(spark: SparkSession, d: str) -> DataFrame:
     return store.load()
 
 
+@query("bytes_store", "SRC-19", "SELECT 'o/' || o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS value FROM orders WHERE o_orderkey % 7 <> 0")
+def bytes_store(spark: SparkSession, d: str) -> DataFrame:
+    """All orders put, a fifth put again, a seventh deleted; what the newest version holds."""
+    o = read_table(spark, d, "orders").select(F.concat(F.lit("o/"), "o_orderkey").alias("key"), F.col("o_orderstatus").cast("binary").alias("value"), "o_orderkey")
+    store = BytesStore(spark)
+    store.put(o.select("key", "value"))
+    store.put(o.where("o_orderkey % 5 = 0").select("key", F.lit("X").cast("binary").alias("value")))
+    store.put(o.where("o_orderkey % 7 = 0").select("key", F.lit(None).cast("binary").alias("value")))
+    return store.get(store.keys("o/")).select("key", F.col("value").cast("string").alias("value"))
+
+
 @query("content_range", "SRC-20", "SELECT doc_id, substr(hex(text), 2 * 90 + 1, 2 * 250) AS part FROM documents WHERE strlen(text) > 90")
 def content_range(spark: SparkSession, d: str) -> DataFrame:
     parts = chunks(read_table(spark, d, "documents"), "doc_id", "text", 64)
@@ -84,7 +96,9 @@ def _round_trip(kind: str, **options: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         path, rows = f"{shared_folder(spark)}/formats-{uuid.uuid4().hex[:10]}", read_table(spark, d, "customer")
         rows.write.format(kind).options(**options).save(path)
-        return spark.read.format(kind).options(**options).schema(rows.schema).load(path)
+        back = checkpointed(spark.read.format(kind).options(**options).schema(rows.schema).load(path))
+        remove_folder(spark, path)
+        return back
 
     return run
 

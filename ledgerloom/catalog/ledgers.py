@@ -155,6 +155,18 @@ def ledger_leased_revision(spark: SparkSession, d: str) -> DataFrame:
     return m.store.leased(lease, "log").select("idx", "tx_id", "outcome")
 
 
+@query("ledger_checkpoints_kept", "LG-08 LG-09", f"{_LOG} SELECT p.prefix, (SELECT count(*) FROM log WHERE idx <= p.prefix AND ok) AS accepted FROM (SELECT 0 AS prefix UNION ALL SELECT 3 * (count(*) // 4) FROM events UNION ALL SELECT count(*) FROM events) p")
+def ledger_checkpoints_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints after four appends, of which the empty one and the newest two stay, each with what its revision says."""
+    whole = checkpointed(programs(spark, d))
+    n = whole.count()
+    m = replay.Materializer(spark, SnapshotStore(spark), every=max(1, n // 4), keep=2)
+    for length in (n // 4, 2 * (n // 4), 3 * (n // 4), n):
+        m.materialize(whole.where(F.col("idx") <= length))
+    rows = [(prefix, m.local_log(revision).where("outcome = 'accepted'").count()) for prefix, revision in m.checkpoints.items()]
+    return spark.createDataFrame(rows, "prefix long, accepted long")
+
+
 @query("ledger_blocked", "LG-19 LG-20", "SELECT true AS blocked, true AS unavailable, true AS unchanged")
 def ledger_blocked(spark: SparkSession, d: str) -> DataFrame:
     """An unknown manifest and a lost revision stop the work and reject nothing."""

@@ -267,7 +267,8 @@ def registry_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return own.reconcile(catalog, spark.createDataFrame([("a",), ("c",), ("d",)], "tbl string"))
 
 
-@query("seeding_window", "OW-19", "SELECT false AS open")
+@query("seeding_window", "OW-19", "SELECT event_id AS idx, event_id <= (SELECT min(event_id) FROM events WHERE event_type = 'signup') AS open FROM events")
 def seeding_window(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "events").select(F.when(F.col("event_id") == 5, "close-seeding").otherwise(F.col("event_type")).alias("operation"), F.lit("accepted").alias("outcome"))
-    return own.seeding_open(e)
+    """Which transactions may seed, if the first signup closes the window."""
+    e = read_table(spark, d, "events").select(F.col("event_id").alias("idx"), F.when(F.col("event_type") == "signup", "close-seeding").otherwise(F.col("event_type")).alias("operation"), F.lit("accepted").alias("outcome"))
+    return own.seeding_window(e)

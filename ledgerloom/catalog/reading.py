@@ -76,7 +76,7 @@ SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN (SELECT CAST(c_custkey AS VA
 ON CAST(c.code AS BIGINT) = o.o_custkey""")
 
 
-@query("explain_plan", "PRJ-26", "SELECT * FROM (VALUES ('aggregate', 2), ('exchange', 1), ('filter', 1), ('scan', 1)) AS t(operator, n)")
+@query("explain_plan", "PRJ-26 AG-19", "SELECT * FROM (VALUES ('aggregate', 2), ('exchange', 1), ('filter', 1), ('scan', 1)) AS t(operator, n)")
 def explain_plan(spark: SparkSession, d: str) -> DataFrame:
     """The operators of the plan that EXPLAIN prints for a filtered aggregate: partial and final aggregates around one exchange."""
     read_table(spark, d, "orders").createOrReplaceTempView("orders")

@@ -190,6 +190,7 @@ def foreign_key_problems(keys: Sequence[tuple[str, str, str]]) -> list[tuple[str
     return [(child, f"{when} {action}") for child, update, delete in keys for when, action in (("on update", update), ("on delete", delete)) if action.lower() not in FOREIGN_KEY_ACTIONS]
 
 
-def seeding_open(outcomes: DataFrame, seed_operation: str = "close-seeding") -> DataFrame:
-    """One row: is the seeding window still open, that is, has no accepted transaction closed it?"""
-    return outcomes.agg(F.coalesce(~F.bool_or((F.col("operation") == seed_operation) & (F.col("outcome") == "accepted")), F.lit(True)).alias("open"))
+def seeding_window(outcomes: DataFrame, seed_operation: str = "close-seeding") -> DataFrame:
+    """(idx, open) of transactions (idx, operation, outcome): the window is open up to the first accepted transaction that closes it, which itself still may seed."""
+    closed = outcomes.where((F.col("operation") == seed_operation) & (F.col("outcome") == "accepted")).agg(F.min("idx").alias("closed"))
+    return outcomes.crossJoin(F.broadcast(closed)).select("idx", F.coalesce(F.col("idx") <= F.col("closed"), F.lit(True)).alias("open"))  # one row

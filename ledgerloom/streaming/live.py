@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.snapshots import SnapshotStore, shared_folder
+from ledgerloom.sources.snapshots import SnapshotStore, checkpointed, remove_folder, shared_folder
 
 
 def file_stream(spark: SparkSession, path: str, *, files_per_batch: int | None = None) -> DataFrame:
@@ -31,7 +31,9 @@ def stored(stream: DataFrame, *, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
+    out = checkpointed(spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns))
+    remove_folder(spark, folder)
+    return out
 
 
 def joined_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, seconds: int, late: str = "1 hour") -> DataFrame:
