@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.snapshots import checkpointed
+from ledgerloom.sources.snapshots import Steps
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -18,18 +18,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     In each round every node hooks onto its least neighbour, if that is smaller, and trees are flattened by pointer jumping; then the graph is
     contracted to the trees' roots, so that the next round sees only links between different trees.  A star is done after one round, and a
-    chain shrinks to its local minima.  What a round makes is stored by checkpoint.
+    chain shrinks to its local minima.  What a round makes is stored in the shared folder.
     """
-    edges = checkpointed(_ordered(links), small=True)
+    steps = Steps(links.sparkSession)
+    edges = steps.keep(_ordered(links))
     labels = links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     for level in range(max_rounds):
         if not edges.limit(1).count():
-            return labels
+            return steps.result(labels)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent")), small=True)
+        parents = steps.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent")))
         for _ in range(max_rounds):
             above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-            jumped = checkpointed(parents.join(above, "parent").select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved")), small=True)
+            jumped = steps.keep(parents.join(above, "parent").select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved")))
             parents = jumped.select("node", "parent")
             if not jumped.where("moved").limit(1).count():
                 break
@@ -38,7 +39,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             labels = labels.join(root("component"), "component", "left").select("node", F.coalesce("component_root", "component").alias("component"))
         else:
             labels = parents.select("node", F.col("parent").alias("component"))
-        labels = checkpointed(labels, small=True)
+        labels = steps.keep(labels)
         contracted = edges.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        edges = checkpointed(_ordered(contracted), small=True)
+        edges = steps.keep(_ordered(contracted))
     raise RuntimeError(f"components didn't settle within {max_rounds} rounds")

@@ -25,19 +25,44 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _fewer(df: DataFrame) -> DataFrame:
+    """An eighth as many partitions as a shuffle has, though no fewer than keep all cores busy."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 8))
+
+
 def checkpointed(df: DataFrame, *, small: bool = False) -> DataFrame:
     """df stored by a reliable checkpoint, which outlives the executors that wrote it.
 
-    A ``small`` table, of numbers and keys beside the texts that it was made from, goes to an eighth as many files as a shuffle has partitions,
-    though to no fewer than would keep all cores busy.
+    A ``small`` table, of numbers and keys beside the texts that it was made from, goes to fewer files.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    if small:
-        df = df.coalesce(max(2 * context.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 8))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return (_fewer(df) if small else df).checkpoint(eager=True)
+
+
+class Steps:
+    """Tables of a loop, in a folder of their own.
+
+    A checkpoint keeps the size that its plan was estimated at, and a join multiplies estimates: in a loop of joins they
+    grow to numbers of millions of digits.  What is read from files is as large as its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex[:10]}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        path, self.n = f"{self.folder}/{self.n}", self.n + 1
+        _fewer(df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df, stored by a checkpoint; the loop's tables go."""
+        out = checkpointed(df, small=True)
+        remove_folder(self.spark, self.folder)
+        return out
 
 
 class RevisionUnavailable(LookupError):
