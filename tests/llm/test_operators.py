@@ -359,6 +359,28 @@ def test_chains_cover_the_same_windows(rows):
     assert spread(found) == spread(columns) and len(found[0]) <= len(rows)
 
 
+def test_more_buckets_for_larger_files(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/d")
+    given = spark.read.parquet(f"{tmp_path}/d")
+    assert X.bucket_count(given) == 4
+    monkeypatch.setattr(X, "BUCKET_BYTES", 1500)
+    assert X.bucket_count(given) > 8
+    rows = ordered(given)
+    assert bag(map(tuple, substring_dedup.dedup(given).collect())) == bag(_removed_words(rows))
+    assert bag(map(tuple, suffix_dedup.dedup(given).collect())) == bag(_removed_bytes(rows))
+    assert collections.Counter(repr(tuple(r)) for r in line_dedup.line_report(given).collect()) == _removed_lines(rows)
+
+
+def test_marks_are_never_missed():
+    rng = np.random.default_rng(3)
+    ids, ties = rng.integers(0, 2**62, 500), rng.integers(0, 3, 500)
+    bits = np.zeros(X.DOC_BITS, bool)
+    for at in X.Marked.places(ids[:100], ties[:100]):
+        bits[at] = True
+    found = X.Marked(np.packbits(bits)).has(ids, ties)
+    assert found[:100].all() and found[100:].sum() < 5
+
+
 # 3: token counts.
 
 
