@@ -206,16 +206,20 @@ def test_near_duplicate_recall(spark, folder, least):
         elif k:
             texts.append((len(own), r.doc_id, own))
     texts.sort(key=lambda x: x[:2])
-    index, n, hit = collections.defaultdict(list), 0, 0
+    size = np.array([x[0] for x in texts])
+    tally = np.stack([np.bincount((w.labelled % np.uint64(256)).astype(np.int64), minlength=256) for _, _, w in texts])
     rare = collections.Counter(h for _, _, w in texts for h in w.labelled.tolist())
-    for size, i, w in texts:  # the exact join: similar texts share one of their rarest words
-        seen = {}
-        for h in sorted(w.labelled.tolist(), key=lambda h: (rare[h], h))[: size - -(-4 * size // 5) + 1]:
-            seen |= {id(x): x for x in index[h]}
-            index[h].append((i, w))
-        for j, other in seen.values():
-            if near_dedup.linked(other, w):
-                n, hit = n + 1, hit + (found[i] == found[j])
+    index, n, hit = collections.defaultdict(list), 0, 0
+    for x, (m, i, w) in enumerate(texts):  # the exact join: similar texts share one of their rarest words, and enough words of any kind
+        met = set()
+        for h in sorted(w.labelled.tolist(), key=lambda h: (rare[h], h))[: m - -(-4 * m // 5) + 1]:
+            met.update(index[h])
+            index[h].append(x)
+        met = np.array(sorted(met), np.int64)
+        met = met[(5 * size[met] >= 4 * m) & (5 * np.minimum(tally[met], tally[x]).sum(1) >= 4 * m)]
+        for j in met.tolist():
+            if near_dedup.linked(texts[j][2], w):
+                n, hit = n + 1, hit + (found[i] == found[texts[j][1]])
     assert n >= least and hit >= 0.9 * n, (n, hit)
 
 
