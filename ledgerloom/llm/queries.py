@@ -32,6 +32,59 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0
 FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
 """
 
+#: Sets of distinct words of lines: later copies, and sets that are similar to an earlier one with a word among the rarest in common.
+OP5_SQL = r"""
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''
+), line AS (
+  SELECT doc_id, i - 1 AS line, list_sort(list_distinct(list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w
+  FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM split)
+), ranked AS (
+  SELECT doc_id, line, w, row_number() OVER (PARTITION BY w ORDER BY doc_id, line) AS copy FROM line WHERE len(w) > 0
+), lead AS (
+  SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, line, w, len(w) AS n FROM ranked WHERE copy = 1
+), word AS (
+  SELECT id, n, unnest(w) AS x FROM lead
+), often AS (
+  SELECT x, count(*) AS c FROM word GROUP BY x
+), prefix AS (
+  SELECT id, n, x FROM (SELECT id, n, word.x, row_number() OVER (PARTITION BY id ORDER BY c, word.x) AS r FROM word JOIN often ON word.x = often.x) WHERE r <= n - (4 * n + 4) // 5 + 1
+), pair AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.x = b.x AND a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+), gone AS (
+  SELECT doc_id, line FROM ranked WHERE copy > 1
+  UNION SELECT q.doc_id, q.line FROM pair JOIN lead p ON p.id = pair.a JOIN lead q ON q.id = pair.b WHERE 9 * len(list_intersect(p.w, q.w)) >= 4 * (p.n + q.n)
+), per AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(split.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(per.n, 0) AS BIGINT) AS n_removed, coalesce(per.removed, '') AS removed_lines
+FROM documents d LEFT JOIN split ON split.doc_id = d.doc_id LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
+#: Strings of 50 bytes as hexadecimal text; the runs that strings of smaller documents cover, and what is left between them.
+OP6_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), win AS (
+  SELECT doc_id, s, substr(h, 2 * s - 1, 100) AS w FROM (SELECT doc_id, h, unnest(generate_series(1, n - 49)) AS s FROM doc WHERE n >= 50)
+), again AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY w) AS least FROM win) WHERE least < doc_id
+), run AS (
+  SELECT doc_id, first, last + 49 AS last FROM (
+    SELECT doc_id, min(s) AS first, max(s) AS last FROM (
+      SELECT doc_id, s, sum(CASE WHEN s <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS k
+      FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM again)) GROUP BY doc_id, k)
+), piece AS (
+  SELECT run.doc_id, first, last, substr(h, 2 * (coalesce(lag(last) OVER w, 0) + 1) - 1, 2 * (first - 1 - coalesce(lag(last) OVER w, 0))) AS kept
+  FROM run JOIN doc ON run.doc_id = doc.doc_id WINDOW w AS (PARTITION BY run.doc_id ORDER BY first)
+), cut AS (
+  SELECT doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans, max(last) AS reached, string_agg(kept, '' ORDER BY first) AS kept FROM piece GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(reached, 0) + 1))) AS kept_sha256
+FROM doc LEFT JOIN cut ON doc.doc_id = cut.doc_id
+"""
+
 #: Windows of 13 words of items and documents, compared as text; n_hit counts words within matching windows.
 OP7_SQL = r"""
 WITH item AS (
@@ -79,7 +132,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    report = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return report.withColumn("removed_lines", F.array_join("removed_lines", ","))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,4 +188,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Statements only where one can express the whole result on whole tables."""
-    return {"op2_substring_dedup": OP2_SQL, "op7_benchmark_decontamination": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL}
