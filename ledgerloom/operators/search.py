@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import vectors
+from ledgerloom.sources.snapshots import checkpointed
 
 #: Fixed value: what separates terms, everything but letters and digits of any script.
 TERM_BREAK = r"[^\p{L}\p{N}]+"
@@ -63,13 +64,13 @@ def match_near(index: DataFrame, a: str, b: str, within: int) -> DataFrame:
 def bm25(docs: DataFrame, wanted: Sequence[str], *, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of documents that hold a term; the sum over terms of idf times the saturated frequency.
 
-    Lengths and frequencies are counted within each row; only one row of totals is aggregated.
+    Lengths and frequencies are counted within each row, from one split of its text, and stored; only one row of totals is aggregated.
     """
-    counted = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("t"))
-    count_of = lambda w: F.size(F.filter("t", lambda x: x == w))
-    tf = [count_of(w).alias(f"tf{i}") for i, w in enumerate(dict.fromkeys(wanted))]
-    counted = counted.select("doc_id", F.size("t").alias("len"), *tf).where("len > 0")
-    n_terms = len(tf)
+    distinct = list(dict.fromkeys(wanted))
+    count_of = lambda t, w: F.size(F.filter(t, lambda x: x == w))
+    counts = F.transform(F.array(terms(F.col(text_col))), lambda t: F.struct(F.size(t).alias("len"), *(count_of(t, w).alias(f"tf{i}") for i, w in enumerate(distinct))))
+    counted = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.explode(counts).alias("c")).select("doc_id", "c.*").where("len > 0"))
+    n_terms = len(distinct)
     totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(n_terms)))
     held = F.lit(False)
     score = F.lit(0.0)
