@@ -157,9 +157,10 @@ def values_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("seed_rows", "SRC-21", "SELECT s_suppkey, s_nationkey, CAST(dense_rank() OVER (ORDER BY s_nationkey) AS INTEGER) AS owner FROM supplier")
 def seed_rows(spark: SparkSession, d: str) -> DataFrame:
-    supplier = read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    """All suppliers, in the order of their keys dealt into seeds of as many rows as one may have."""
+    supplier = writes.with_row_ids(read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ["s_suppkey"], -1, "__n").withColumn("seed", F.floor(F.col("__n") / tables.MAX_SEED_ROWS))
     nations = supplier.select(F.col("s_nationkey").alias("key")).distinct().withColumn("id", F.dense_rank().over(Window.orderBy("key")))  # 25 nations
-    return tables.seed_rows(supplier, nations, owner_key="s_nationkey").select("s_suppkey", "s_nationkey", "owner")
+    return tables.seed_rows(supplier, nations, owner_key="s_nationkey", seed="seed").select("s_suppkey", "s_nationkey", "owner")
 
 
 sql("view_scan", "SRC-14", "SELECT n_name, r_name FROM (SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey) v WHERE r_name <> 'ASIA'")

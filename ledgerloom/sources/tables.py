@@ -19,6 +19,9 @@ FOREIGN_KEYS: dict[str, tuple[tuple[str, str, str], ...]] = {
     "lineitem": (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")),
 }
 
+#: Rows that one bulk seed may have.
+MAX_SEED_ROWS = 10_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's Parquet files; filters and columns are pushed into the scan."""
@@ -62,12 +65,13 @@ def quick_check(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return nulls.unionByName(again).where("n > 0")
 
 
-def seed_rows(df: DataFrame, owners: DataFrame, *, owner_key: str, most: int = 10_000) -> DataFrame:
+def seed_rows(df: DataFrame, owners: DataFrame, *, owner_key: str, seed: str | None = None, most: int = MAX_SEED_ROWS) -> DataFrame:
     """Rows for a bulk seed, each with its owner's principal id; refused if they are more than ``most`` or an owner is unknown.
 
-    ``owners``: (key, id).  The count is taken on one more row than allowed.
+    ``owners``: (key, id).  The column ``seed`` tells several seeds apart, and the bound is on each of them; without it all rows are one seed,
+    whose count is taken on one more row than allowed.
     """
-    if df.limit(most + 1).count() > most:
+    if (df.limit(most + 1).count() > most) if seed is None else df.groupBy(seed).count().where(F.col("count") > most).limit(1).count():
         raise ValueError("too_large: a seed has more rows than allowed")
     out = df.join(owners.select(F.col("key").alias(owner_key), F.col("id").alias("owner")), owner_key, "left")
     if out.where(F.col("owner").isNull()).limit(1).count():

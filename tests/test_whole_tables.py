@@ -3,6 +3,7 @@
 import pytest
 
 from ledgerloom.catalog import all_queries
+from ledgerloom.sources import tables
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
@@ -47,3 +48,15 @@ def test_ledger_queries_meet_the_whole_ledger(spark, monkeypatch):
     monkeypatch.setattr(events, "page", lambda flat, log, **k: paged.append(log.count()) or page(flat, log, **k))
     assert all_queries()["ledger_final_prefix"].run(spark, FOLDER).count() == n // 4 and seen == [0, n // 2, n]
     assert all_queries()["event_cursor_checks"].run(spark, FOLDER).head().moved and set(paged) == {n}
+
+
+def test_seeds_of_more_rows_than_one_may_have(spark, tmp_path):
+    n, most = 20_001, tables.MAX_SEED_ROWS
+    rows = spark.range(n).selectExpr("id AS s_suppkey", "CAST(id % 25 AS INT) AS s_nationkey")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = all_queries()["seed_rows"].run(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, i % 25, i % 25 + 1) for i in range(n)]
+    owners = rows.selectExpr("s_nationkey AS key", "s_nationkey + 1 AS id").distinct()
+    for seed in (None, "half"):  # one seed alone is still refused
+        with pytest.raises(ValueError, match="too_large"):
+            tables.seed_rows(rows.selectExpr("*", f"s_suppkey <= {most} AS half"), owners, owner_key="s_nationkey", seed=seed)
