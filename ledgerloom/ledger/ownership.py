@@ -19,6 +19,11 @@ from ledgerloom.operators.folds import line_digests
 ROLES = ("reader", "member", "admin")
 
 
+def apart(side: DataFrame) -> DataFrame:
+    """A join's side that is dealt out by key and sorted, never broadcast: what explodes is estimated at the size of the files below it."""
+    return side.hint("merge")
+
+
 def role_rank(role: Column) -> Column:
     out = F.lit(None).cast("int")
     for i, r in enumerate(ROLES):
@@ -30,7 +35,7 @@ def actor_owners(actors: DataFrame, members: DataFrame, collectives: DataFrame)
     """(actor, owner, op) of the owners each actor may act for: itself, and collectives whose required role its own reaches."""
     own = actors.select(F.col("actor"), F.col("actor").alias("owner"), F.explode(F.array(*(F.lit(o) for o in ("insert", "update", "delete")))).alias("op"))
     active = members.where((F.col("state") == "active") & F.col("left_tx").isNull())
-    joined = active.join(collectives, "collective").join(actors, F.col("member") == F.col("actor"))
+    joined = active.join(collectives, "collective").join(apart(actors), F.col("member") == F.col("actor"))
     needs = F.explode(F.array(*(F.struct(F.lit(o).alias("op"), F.col(f"{o}_role").alias("needed")) for o in ("insert", "update", "delete"))))
     allowed = joined.select("actor", F.col("collective").alias("owner"), "role", needs.alias("n")).where(role_rank(F.col("role")) >= role_rank(F.col("n.needed")))
     return own.unionByName(allowed.select("actor", "owner", "n.op"))
@@ -51,16 +56,19 @@ def check_writes(writes: DataFrame, owners: DataFrame, grants: DataFrame, tbl: s
     columns, if it names any, hold all changed ones.  A change of owner is never allowed here; that takes a transfer.  While the
     ``seeding`` window is open inserts are allowed for any owner.
     """
-    rows = writes.withColumn("__w", F.monotonically_increasing_id())
-    direct = rows.join(owners, ["actor", "owner", "op"], "left_semi").select("__w").withColumn("own", F.lit(True))
-    g = grants.where(F.col("tbl") == tbl).select(F.col("grantor").alias("owner"), F.col("grantee").alias("actor"), F.col("row_key").alias("g_key"), "op_insert", "op_update", "op_delete", F.col("columns").alias("caps"))
-    may = F.when(F.col("op") == "insert", F.col("op_insert")).when(F.col("op") == "update", F.col("op_update")).otherwise(F.col("op_delete"))
-    fits = F.col("caps").isNull() | (F.size(F.array_except("changed", "caps")) == 0)
-    granted = rows.join(g, ["actor", "owner"]).where((F.col("g_key").isNull() | (F.col("g_key") == F.col("row_key"))) & F.coalesce(may, F.lit(False)) & fits).select("__w").distinct().withColumn("grant", F.lit(True))
-    out = rows.join(direct, "__w", "left").join(granted, "__w", "left")
+    names = ("actor", "owner", "op", "row_key", "changed")
+    rows = writes.select("*", *(F.col(c).alias(f"__{c}") for c in names))
+    ask = {c: F.col(f"__{c}").outer() for c in names}  # under names that no subquery has, even in what it doesn't select
+    own = apart(owners).where((F.col("actor") == ask["actor"]) & (F.col("owner") == ask["owner"]) & (F.col("op") == ask["op"])).exists()
+    may = F.when(ask["op"] == "insert", F.col("op_insert")).when(ask["op"] == "update", F.col("op_update")).otherwise(F.col("op_delete"))
+    on_row = F.col("g_key").isNull() | (F.col("g_key") == ask["row_key"])
+    fits = F.col("caps").isNull() | (F.size(F.array_except(ask["changed"], F.col("caps"))) == 0)
+    g = apart(grants.where(F.col("tbl") == tbl).select("grantor", "grantee", F.col("row_key").alias("g_key"), "op_insert", "op_update", "op_delete", F.col("columns").alias("caps")))
+    granted = g.where((F.col("grantor") == ask["owner"]) & (F.col("grantee") == ask["actor"]) & on_row & F.coalesce(may, F.lit(False)) & fits).exists()
     stays = F.col("new_owner").isNull() | (F.col("new_owner") == F.col("owner"))
     seed = (F.col("op") == "insert") & F.lit(seeding)
-    return out.withColumn("allowed", (F.coalesce("own", "grant", F.lit(False)) | seed) & stays).drop("__w", "own", "grant")
+    out = rows.withColumn("__own", own).withColumn("__grant", granted).withColumn("allowed", (F.col("__own") | F.col("__grant") | seed) & stays)
+    return out.drop("__own", "__grant", *(f"__{c}" for c in names))
 
 
 def check_replaces(writes: DataFrame, owners: DataFrame, grants: DataFrame, tbl: str) -> DataFrame:
@@ -68,7 +76,7 @@ def check_replaces(writes: DataFrame, owners: DataFrame, grants: DataFrame, tbl:
     parts = F.array(F.struct(F.lit("insert").alias("op"), F.col("owner")), F.struct(F.lit("delete").alias("op"), F.col("old_owner").alias("owner")))
     both = writes.select("tx_id", "actor", "row_key", "changed", F.explode(parts).alias("p")).select("tx_id", "actor", "row_key", "changed", "p.op", "p.owner", F.lit(None).cast("string").alias("new_owner")).where("owner IS NOT NULL")
     per = check_writes(both, owners, grants, tbl).groupBy("tx_id", "row_key").agg(F.bool_and("allowed").alias("allowed"))
-    return writes.join(per, ["tx_id", "row_key"])
+    return writes.join(apart(per), ["tx_id", "row_key"])
 
 
 def statement_outcomes(checked: DataFrame, tbl: str) -> DataFrame:

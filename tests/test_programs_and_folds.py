@@ -142,6 +142,25 @@ def test_a_replace_needs_both_rights(spark):
     assert {r.tx_id: r.allowed for r in ownership.check_replaces(writes, owners, none, "t").collect()} == {1: True, 2: False, 3: False, 4: True}
 
 
+def test_no_side_of_the_write_checks_is_broadcast(spark):
+    """What explodes is estimated at the size of its files, so an estimate lets far too many rows through the driver."""
+    actors = spark.range(50).selectExpr("CAST(id AS STRING) AS actor")
+    members = actors.selectExpr("'c' AS collective", "actor AS member", "'admin' AS role", "'active' AS state", "1 AS joined_tx", "CAST(NULL AS BIGINT) AS left_tx")
+    rights = spark.createDataFrame([("c", "member", "admin", "admin")], "collective string, insert_role string, update_role string, delete_role string")
+    owners = ownership.actor_owners(actors, members, rights)
+    grants = actors.selectExpr("CAST(actor AS BIGINT) AS grant_id", "'t' AS tbl", "actor AS grantor", "'7' AS grantee", "IF(actor % 2 = 0, 'k5', NULL) AS row_key", "true AS op_insert", "false AS op_update", "actor < 20 AS op_delete", "CAST(NULL AS ARRAY<STRING>) AS columns", "1L AS created_tx", "CAST(NULL AS BIGINT) AS revoked_tx")
+    writes = actors.selectExpr("CAST(actor AS BIGINT) AS tx_id", "IF(actor < 30, '7', actor) AS actor", "actor AS owner", "concat('k', actor % 10) AS row_key", "IF(actor % 3 = 0, 'c', actor) AS old_owner", "CAST(array() AS ARRAY<STRING>) AS changed")
+    got = ownership.check_replaces(writes, owners, grants, "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 1, plan  # the collectives' rights
+
+    def granted(i, op):
+        return (i % 2 == 1 or i % 10 == 5) and (op == "insert" or i < 20)
+
+    want = {i: (i >= 30 or i == 7 or granted(i, "insert")) and (i % 3 == 0 or i >= 30 or i == 7 or granted(i, "delete")) for i in range(50)}
+    assert {r.tx_id: r.allowed for r in got.collect()} == want
+
+
 def test_a_cluster_needs_a_named_folder():
     class Context:
         master = "spark://somewhere:7077"
