@@ -341,6 +341,58 @@ def test_earliest_places_and_parts():
         fine(given, [least[i] for i, _, _ in part], suffix_dedup.earliest_places(given, [least[i] for i, _, _ in part], k))
 
 
+def test_only_strings_that_texts_share_are_sorted(monkeypatch):
+    """Suffix arrays get what two texts share, once and whole, also where a bucket's texts are more than one part takes."""
+    r, k, m = random.Random(6), suffix_dedup.WINDOW, suffix_dedup.GRAM
+    letters = [bytes(r.choice(b"abcdefgh") for _ in range(40)) for _ in range(1600)]
+    common = [bytes(r.choice(b"abcdefgh") for _ in range(60)) for _ in range(40)]
+    texts = list(dict.fromkeys(a + common[r.randrange(40)] + b for a, b in zip(letters[::2], letters[1::2], strict=True)))
+    documents = np.array([r.randrange(10_000) for _ in texts])
+    hashes = np.concatenate([A.window_hashes(A.BYTE_CODES[np.frombuffer(t, np.uint8)], k) for t in texts])
+    wanted, given = {}, []
+    for t, d in zip(texts, documents.tolist(), strict=True):
+        for i in range(len(t) - k + 1):
+            wanted[t[i : i + k]] = min(d, wanted.get(t[i : i + k], d))
+    sort = suffix_dedup.earliest_places
+    monkeypatch.setattr(suffix_dedup, "earliest_places", lambda t, *a: given.append(sum(map(len, t))) or sort(t, *a))
+    for limit in (1 << 20, 2000):
+        monkeypatch.setattr(suffix_dedup, "PART_BYTES", limit)
+        given.clear()
+        text, place = suffix_dedup.earliest_strings(texts, documents, hashes, k)
+        at = 0
+        for t in texts:
+            for i in range(len(t) - k + 1):
+                assert texts[text[at]][place[at] : place[at] + k] == t[i : i + k] and documents[text[at]] == wanted[t[i : i + k]]
+                at += 1
+        assert len(given) > 10 if limit == 2000 else sum(given) < sum(map(len, texts)) // 2
+    # Texts of one minimizer each are dealt without reading any byte twice.
+    doc, start, count, *_ = K.super_kmers(A.BYTE_CODES[np.frombuffer(b"".join(texts), np.uint8)], np.concatenate([[0], np.cumsum([len(t) for t in texts])]), k, m)
+    pieces = list({texts[d][s : s + c + k - 1] for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True)})
+    assert sum(b - a for part in suffix_dedup._parts(pieces, k, 50_000) for _, a, b in part) < 1.02 * sum(map(len, pieces))
+
+
+def test_records_of_many_pieces_travel_together():
+    n, r = 500, np.random.default_rng(3)
+    dealt, out, sent = X.Dealt(n), [], []
+    for _ in range(400):
+        sent.append(r.integers(0, 1 << 40, 1000))
+        out += dealt.add((sent[-1] % n).astype(np.int32), [sent[-1]])
+    out += dealt.flush()
+    assert sum(b.num_rows for b in out) <= n * 2  # a blob for each bucket from every piece would be 400 * n
+    got = {k: np.concatenate([X.unpack(x.as_py(), [np.int64])[0] for b in out for k2, x in zip(b.column(0).to_pylist(), b.column(2), strict=True) if k2 == k]) for k in (0, 7, n - 1)}
+    every = np.concatenate(sent)
+    assert all(sorted(v.tolist()) == sorted(every[every % n == k].tolist()) for k, v in got.items())
+
+
+@pytest.mark.parametrize("size", [60, 5000, (1 << 20) + 300])
+def test_hashes_of_some_places(size):
+    h = np.random.default_rng(4).integers(0, 1 << 62, size).astype(np.uint64)
+    some = A.WindowHashes(h)
+    for k in (14, 18, 50):
+        at = np.array([0, 3, size - k])
+        assert (some.every(k) == A.window_hashes(h, k)).all() and (some.at(k, at) == A.window_hashes(h, k)[at]).all()
+
+
 def test_only_verified_windows_count():
     """Paths that a collision of hashes would name are cut down to the windows that are equal at the source."""
     texts = [b"a b  c d e f g h", b"a b c d X f g h i"]
